@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .archives import ORACLE as OP10_ORACLE
+from .archives import op10_archives
+from .decontaminate import op9_decontamination
 from .packing import op1_best_fit_packing
 from .simhash import op4_simhash
 from .token_files import op2_token_files
+from .transport import op8_transport_streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
     "op4_simhash": op4_simhash,
+    "op8_transport_streams": op8_transport_streams,
+    "op9_decontamination": op9_decontamination,
+    "op10_archives": op10_archives,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_archives": OP10_ORACLE}

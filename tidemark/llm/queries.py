@@ -12,14 +12,19 @@ from .decontaminate import op9_decontamination
 from .packing import op1_best_fit_packing
 from .simhash import op4_simhash
 from .token_files import op2_token_files
+from .tool_calls import ORACLE as OP3_ORACLE
+from .tool_calls import op3_tool_calls
+from .toxicity import op5_toxicity
 from .transport import op8_transport_streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_files": op2_token_files,
+    "op3_tool_calls": op3_tool_calls,
     "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
     "op8_transport_streams": op8_transport_streams,
     "op9_decontamination": op9_decontamination,
     "op10_archives": op10_archives,
 }
-ORACLES: dict[str, str] = {"op10_archives": OP10_ORACLE}
+ORACLES: dict[str, str] = {"op3_tool_calls": OP3_ORACLE, "op10_archives": OP10_ORACLE}

@@ -12,6 +12,7 @@ from .decontaminate import op9_decontamination
 from .packing import op1_best_fit_packing
 from .simhash import op4_simhash
 from .substrings import op6_substring_dedup
+from .suffixes import op7_suffix_dedup
 from .token_files import op2_token_files
 from .tool_calls import ORACLE as OP3_ORACLE
 from .tool_calls import op3_tool_calls
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_transport_streams": op8_transport_streams,
     "op9_decontamination": op9_decontamination,
     "op10_archives": op10_archives,

@@ -24,7 +24,7 @@ _EDGE = re.compile(r" (?=\S)")
 class UnitEncoder:
     """Memo of two generations with at most 2 x `limit` units; `drops_space` tells the kind of the tokenizer."""
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 300_000):
+    def __init__(self, path: str, drops_space: bool, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,6 +32,10 @@ class UnitEncoder:
         assert sys.byteorder == "little" and array("I").itemsize == 4
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space, self.limit = drops_space, limit
+        #: the tokenizer parts letters from "." and ",", and takes A-Z for a-z (its own file tells)
+        tells = self.tokenizer.to_str().partition('"model"')[0]
+        self.splits = "\\\\p{L}" in tells or '"ByteLevel"' in tells and '"use_regex":true' in tells
+        self.folds = '"type":"Lowercase"' in tells
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -62,13 +66,34 @@ class UnitEncoder:
             missing -= loose
         if missing:
             new.update((u, old[u]) for u in missing if u in old)
-            names = list(missing.difference(old))
+            missing.difference_update(old)
+            plain = {u: self._plain(u) for u in missing} if self.splits else {}
+            plain = {u: p for u, p in plain.items() if p}
+            missing.difference_update(plain)
+            for core, tail in plain.values():
+                for x in (core, tail):
+                    if x and x not in new:
+                        missing.add(x)
+            names = list(missing)
             for i in range(0, len(names), 20_000):
                 part = names[i : i + 20_000]
                 new.update(zip(part, self.library([u if isinstance(u, str) else u[0] for u in part]), strict=True))
+            for u, (core, tail) in plain.items():
+                new[u] = new[core] + new[tail] if tail else new[core]
         whole = iter(self.library([t for t, units in zip(texts, split, strict=True) if units is None]))
         return [next(whole) if units is None else b"".join(map(new.__getitem__, units)) for units in split]
 
+    def _plain(self, unit) -> tuple[str, str] | None:
+        """A unit of Latin letters and then "." or ",", as two units that are independent of each other."""
+        if not isinstance(unit, str):
+            return None
+        core = unit.rstrip(".,")
+        letters = core[1:] if core[:1] == " " else core
+        if not letters.isalpha() or not (letters.isascii() or max(letters) < "\u0250"):
+            return None
+        low = core.lower() if self.folds and core.isascii() else core
+        return None if low == unit else (low, unit[len(core) :])
+
     @staticmethod
     def _safe_units(text: str) -> list:
         """The first unit is marked (a tuple): it may be white space that is no unit elsewhere."""

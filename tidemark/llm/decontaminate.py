@@ -190,3 +190,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, with each item's containment."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shingle: int = 5, permutations: int = 64, block: int = 10_000) -> DataFrame:
+    """docs without the rows that hold an item at or over the threshold; all columns are kept."""
+    spark = docs.sparkSession
+    ship(spark)
+
+    def without(rows: DataFrame, part: list[tuple]) -> DataFrame:
+        index = spark.sparkContext.broadcast(ContainmentIndex(part, shingle, threshold, permutations))
+
+        def run(batches):
+            memo, ix = _Memo(), index.value
+            for batch in batches:
+                for i, j in slices(batch, 2_000_000):
+                    some = batch.slice(i, j - i)
+                    keep = np.ones(j - i, bool)
+                    keep[[n for n, *_ in ix.search(some.column("text").to_pylist(), memo)]] = False
+                    yield some.filter(pa.array(keep))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    out, part = docs, []
+    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
+        part.append((row["item_id"], row["text"]))
+        if len(part) == block:
+            out, part = without(out, part), []
+    return without(out, part) if part else out

@@ -190,6 +190,40 @@ def cut_repeats(docs: DataFrame, batches: int = 2, n: int = WORDS) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, mark int, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
+def drop_repeats(docs: DataFrame, batches: int = 2, n: int = WORDS) -> DataFrame:
+    """docs with the words of repeated windows cut from text (and n_chars, if there, made anew); all columns are kept.
+
+    A text in which nothing repeats is left as it is; one that loses all its words goes, with its row.
+    """
+    found = repeated_windows(docs, batches, n)
+    names = docs.columns
+    mark = F.hash(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (mark == found["mark"]), "left").select(*(docs[c] for c in names), found["starts"].alias("_starts"))
+    at = names.index("text")
+
+    def run(batches_):
+        for batch in batches_:
+            for i, j in slices(batch):
+                some = batch.slice(i, j - i)
+                texts, keep = [], []
+                for text, starts in zip(some.column("text").to_pylist(), some.column("_starts"), strict=True):
+                    if starts.is_valid:
+                        w = text.encode("utf-8", "surrogatepass").split()
+                        s = starts.values.to_numpy().astype(np.int64)
+                        gone = covered(s, np.ones(len(s), np.int64), n, len(w))
+                        text = b" ".join(x for x, cut in zip(w, gone.tolist(), strict=True) if not cut).decode("utf-8", "surrogatepass")
+                    texts.append(text)
+                    keep.append(not starts.is_valid or bool(text))
+                out = some.drop_columns(["_starts"]).set_column(at, some.schema.field(at), pa.array(texts, some.schema.field(at).type))
+                if "n_chars" in names:
+                    k = names.index("n_chars")
+                    old = some.column("n_chars").to_pylist()
+                    out = out.set_column(k, some.schema.field(k), pa.array([len(t) if s.is_valid else o for t, s, o in zip(texts, some.column("_starts"), old, strict=True)], some.schema.field(k).type))
+                yield out.filter(pa.array(keep))
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract op6: words of windows that stand elsewhere are removed."""
     return cut_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")

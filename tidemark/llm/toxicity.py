@@ -230,3 +230,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract op5: a score for every document by a model of the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return toxicity(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, model: TextCNN, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose text scores at or over the threshold; all columns are kept."""
+    spark = docs.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batches):
+        memo, m = Memo(), sent.value
+        for batch in batches:
+            for i, j in slices(batch, 1_000_000):
+                some = batch.slice(i, j - i)
+                yield some.filter(pa.array(m.score(*encode(some.column("text").to_pylist(), memo)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

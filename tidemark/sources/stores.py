@@ -58,7 +58,7 @@ def read_dimension(spark: SparkSession, path: str, columns: dict[str, str]) -> D
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """name and text of whole files."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
 
 
 def read_sidecars(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

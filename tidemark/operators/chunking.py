@@ -102,10 +102,14 @@ def fuzzy_pairs(titles: DataFrame, ratio: float, blocks: int = 8, grams: int = 3
     placed = g.join(often, "g").groupBy("id", "title", "n").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("gs"))
     loss = F.ceil(F.col("n") * (1 - ratio) * 2 / ratio)
     keep = F.least(F.size("gs"), (loss + (grams - 1) * (blocks - 1) + 1).cast("int"))
-    probes = placed.select("id", "title", "n", F.explode(F.slice("gs", F.lit(1), keep)).alias("x")).select("id", "title", "n", "x.g")
+    placed = placed.withColumn("all", F.transform("gs", lambda x: x["g"]))
+    probes = placed.select("id", "title", "n", "all", F.explode(F.slice("gs", F.lit(1), keep)).alias("x")).select("id", "title", "n", "all", "x.g")
     a, b = probes.alias("a"), probes.alias("b")
     fit = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * (ratio / (2 - ratio))) & (F.col("a.id") < F.col("b.id"))
-    found = a.join(b, (F.col("a.g") == F.col("b.g")) & fit).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.title").alias("x"), F.col("b.title").alias("y")).distinct()
+    found = a.join(b, (F.col("a.g") == F.col("b.g")) & fit).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.title").alias("x"), F.col("b.title").alias("y"), F.col("a.all").alias("p"), F.col("b.all").alias("q")).distinct()
+    # M matching characters in so many stretches share M - 2 blocks trigrams at least, but for those that a title repeats
+    repeats = F.greatest(F.length("x") - 2 - F.size("p"), F.length("y") - 2 - F.size("q"))
+    found = found.where(F.size(F.array_intersect("p", "q")) >= F.ceil(ratio * (F.length("x") + F.length("y")) / 2) - (grams - 1) * blocks - repeats)
     return found.withColumn("ratio", similarity("x", "y")).where(F.col("ratio") >= ratio).select("a", "b", F.round("ratio", 6).alias("ratio"))
 
 

@@ -39,6 +39,11 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def sized(df: DataFrame, rows: int, per: int = 200_000, least: int = 12) -> DataFrame:
+    """df in no more partitions than so many rows need: a table of few rows is not written as a file for each shuffle partition."""
+    return df.coalesce(max(least, -(-rows // per)))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame that stored() returned."""
     path = getattr(df, "_tidemark_path", None)

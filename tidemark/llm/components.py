@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, sized, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,13 +17,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     rows = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     rows = stored(rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    count = rows.count()  # no round makes more edges
     while True:
         both = rows.unionByName(rows.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        new = stored(small.where("u <> v").distinct(), "edges")
+        new = stored(sized(small.where("u <> v").distinct(), count), "edges")
         discard(rows)
         rows = new
         twice = rows.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, ship, slices, stored, table
+from .common import discard, ship, sized, slices, stored, table
 from .components import components
 
 
@@ -96,12 +96,14 @@ def link(nodes: DataFrame, lanes: int, bits: int, radius: int, most: int, verify
 
     nodes: unique `node` and lanes, stored.  verify takes and returns pairs (a, b).
     """
+    count = nodes.count()
     ball = probes(nodes, lanes, bits, radius)
     # what stands under a key exactly: the least and the greatest node, and how many
     held = ball.where("exact").groupBy("key").agg(F.min("me").alias("low"), F.max("me").alias("high"), F.count(F.lit(1)).alias("n"))
     hits = ball.join(held, "key")
     deep = F.col("n") > 2
-    hits = stored(hits.where("n > 1 OR me.node <> low.node").select("key", "exact", "me", deep.alias("deep"), F.when(F.col("me.node") != F.col("low.node"), F.col("low")).alias("low"), F.when((F.col("n") > 1) & (F.col("me.node") != F.col("high.node")), F.col("high")).alias("high")), "hits")
+    hits = hits.where("n > 1 OR me.node <> low.node").select("key", "exact", "me", deep.alias("deep"), F.when(F.col("me.node") != F.col("low.node"), F.col("low")).alias("low"), F.when((F.col("n") > 1) & (F.col("me.node") != F.col("high.node")), F.col("high")).alias("high"))
+    hits = stored(sized(hits, count, 20_000), "hits")
 
     def near(pairs: DataFrame) -> DataFrame:
         close = pairs.where(distance(lanes, "x", "y") <= most)
@@ -109,18 +111,18 @@ def link(nodes: DataFrame, lanes: int, bits: int, radius: int, most: int, verify
         return verify(found) if verify else found
 
     first = hits.select(F.col("me").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("y IS NOT NULL")
-    edges = stored(near(first), "links")
+    edges = stored(sized(near(first), count), "links")
     found = components(edges)
     many = hits.where("deep").select("key", "exact", "me")
     if not many.isEmpty():
         label = found.select(F.col("node").alias("_node"), "component")
         many = many.join(label, F.col("me.node") == F.col("_node"), "left").select("key", "exact", "me", F.coalesce("component", "me.node").alias("label"))
         mixed = many.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
-        many = stored(many.join(mixed, "key"), "mixed")
+        many = stored(sized(many.join(mixed, "key"), count, 20_000), "mixed")
         if not many.isEmpty():
             sides = many.select("key", "label").distinct().join(many.where("exact").select("key", F.col("label").alias("other")).distinct(), "key").where("label <> other")
             pairs = many.join(sides, ["key", "label"]).select("key", F.col("me").alias("x"), "other").join(many.where("exact").select("key", F.col("me").alias("y"), F.col("label").alias("other")), ["key", "other"]).select("x", "y")
-            edges = edges.unionByName(stored(near(pairs), "links"))
+            edges = edges.unionByName(stored(sized(near(pairs), count), "links"))
             found = components(edges)
     discard(hits)
     return found
@@ -139,7 +141,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, most: int = 3) -> Data
     found = link(nodes.select("node", "l0"), 1, 32, 1, most)
     named = nodes.join(found, "node", "left").select("l0", "first", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = stored(named.join(least, "component").select("l0", "component_id"), "components")
+    count = nodes.count()
+    by_print = stored(sized(named.join(least, "component").select("l0", "component_id"), count), "components")
     return marked.select("doc_id", "l0").join(by_print, "l0").select("doc_id", F.lpad(F.lower(F.hex("l0")), 16, "0").alias("fingerprint"), "component_id")
 
 

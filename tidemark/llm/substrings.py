@@ -106,13 +106,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _flat(lists) -> tuple[np.ndarray, pa.StructArray]:
+    """The row and the struct of each element of a list column."""
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+
+
+def _on_document(rows: DataFrame, right: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    return rows.join(right, rows.doc_id.eqNullSafe(right.doc_id) & (rows.mark == right.mark), how).select(rows.doc_id, rows.mark, "text", column)
+
+
 def repeated_windows(docs: DataFrame, batches: int = 2, n: int = WORDS, k: int = GRAM) -> DataFrame:
-    """(doc_id, mark, starts array<int>): starts of windows whose word sequence also starts anywhere else.
+    """(doc_id, mark, runs array<struct<start, windows>>): windows whose word sequence also starts anywhere else.
 
-    The table goes through the index in `batches` parts (by a hash of doc_id).  Windows are compared by two 64-bit
-    hashes of different content (all their words, and their anchor).
+    The table goes through the index in `batches` parts (by a hash of doc_id).  A run whose words stand elsewhere as they
+    are repeats as a whole; of the others, and one of each of those, single windows are compared if their anchor stands
+    in more than one of them or twice in a document.  Comparison is by two 64-bit hashes of different stretches.
     """
     spark = docs.sparkSession
+    ship(spark)
     rows = rows_of(docs)
     index, met = FingerprintIndex(spark, n=n, k=k), None
     for b in range(batches):
@@ -121,46 +132,70 @@ def repeated_windows(docs: DataFrame, batches: int = 2, n: int = WORDS, k: int =
         met = found if met is None else met.unionByName(found)
     # an anchor may be met in several batches
     marked = index.entries().join(met.distinct(), "anchor", "left_semi")
-    marked = stored(marked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "windows")).alias("runs")), "marked")
+    marked = stored(marked.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("anchor", "start", "windows", "again")).alias("runs")), "marked")
     for run in index.runs:
         discard(run)
     release(spark)
-    ship(spark)
 
-    def run(batches_):
+    def describe(batches_):
+        memo = _Hashes()
+        for batch in batches_:
+            for i, j in slices(batch, 2_000_000):
+                some = batch.slice(i, j - i)
+                h, ends = _hashed(some.column("text").to_pylist(), memo)
+                own, flat = _flat(some.column("runs"))
+                start, count = flat.field("start"), flat.field("windows").to_numpy().astype(np.int64)
+                at = start.to_numpy().astype(np.int64) + np.concatenate([[0], ends[:-1]])[own]
+                sums, to = prefix(h), pa.array(own)
+                whole, half = span_hash(sums, at, count + n - 1), span_hash(sums, at + 1, n - 1)
+                yield pa.RecordBatch.from_arrays([flat.field("anchor"), pa.array(whole.view(np.int64)), pa.array(half.view(np.int64)), some.column("doc_id").take(to), some.column("mark").take(to), start, flat.field("windows"), flat.field("again")], names=["anchor", "whole", "half", "doc_id", "mark", "start", "windows", "again"])
+
+    stretches = stored(_on_document(rows, marked, "runs").mapInArrow(describe, "anchor long, whole long, half long, doc_id long, mark int, start int, windows int, again boolean"), "stretches")
+    discard(marked)
+    release(spark)
+    key = ["anchor", "whole", "half", "windows"]
+    kinds = stored(stretches.groupBy(*key).agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("again").alias("again")), "kinds")
+    full = stored(stretches.join(kinds.where("n > 1").select(*key), key, "left_semi").select("doc_id", "mark", "start", "windows"), "full")
+    discard(stretches)
+    crowd = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd"))
+    open_ = kinds.join(crowd, "anchor").where("crowd > 1 OR again").select("first.*", "windows", (F.col("n") == 1).alias("solo"))
+    open_ = stored(open_.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "windows", "solo")).alias("runs")), "open")
+    discard(kinds)
+    release(spark)
+
+    def single(batches_):
         memo = _Hashes()
         for batch in batches_:
             for i, j in slices(batch, 2_000_000):
                 some = batch.slice(i, j - i)
                 h, ends = _hashed(some.column("text").to_pylist(), memo)
                 first = np.concatenate([[0], ends[:-1]])
-                lists = some.column("runs")
-                size = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten()
-                own = np.repeat(np.arange(j - i), size)
+                own, flat = _flat(some.column("runs"))
                 start, count = flat.field("start").to_numpy().astype(np.int64), flat.field("windows").to_numpy().astype(np.int64)
-                # equal rows with one key have each run once for each of them
                 at = np.repeat(first[own] + start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                at, keep = np.unique(at, return_index=True)
-                own = np.repeat(own, count)[keep]
-                sums = prefix(h)
-                whole = span_hash(sums, at, n)
-                half = span_hash(sums, at, n // 2)
-                to = pa.array(own)
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(half.view(np.int64)), some.column("doc_id").take(to), some.column("mark").take(to), pa.array((at - first[own]).astype(np.int32))], names=["whole", "half", "doc_id", "mark", "start"])
-
-    joined = rows.join(marked, rows.doc_id.eqNullSafe(marked.doc_id) & (rows.mark == marked.mark)).select(rows.doc_id, rows.mark, "text", "runs")
-    windows = stored(joined.mapInArrow(run, "whole long, half long, doc_id long, mark int, start int"), "windows")
-    discard(marked)
+                solo, own = np.repeat(flat.field("solo").to_numpy(zero_copy_only=False), count), np.repeat(own, count)
+                sums, to = prefix(h), pa.array(own)
+                yield pa.RecordBatch.from_arrays([pa.array(span_hash(sums, at, n).view(np.int64)), pa.array(span_hash(sums, at + 1, n - 1).view(np.int64)), some.column("doc_id").take(to), some.column("mark").take(to), pa.array((at - first[own]).astype(np.int32)), pa.array(solo)], names=["whole", "half", "doc_id", "mark", "start", "solo"])
+
+    windows = stored(_on_document(rows, open_, "runs").mapInArrow(single, "whole long, half long, doc_id long, mark int, start int, solo boolean"), "windows")
+    discard(open_)
     release(spark)
     twice = windows.groupBy("whole", "half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("whole", "half")
-    again = windows.join(twice, ["whole", "half"], "left_semi")
-    out = stored(again.groupBy("doc_id", "mark").agg(F.collect_set("start").alias("starts")), "starts")
+    again = windows.where("solo").join(twice, ["whole", "half"], "left_semi").select("doc_id", "mark", "start", F.lit(1).alias("windows"))
+    out = stored(full.unionByName(again).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "windows")).alias("runs")), "repeats")
     discard(windows)
+    discard(full)
     release(spark)
     return out
 
 
+def _kept(w: list[bytes], runs_, n: int) -> list[bytes]:
+    """Words that no repeated window covers."""
+    v = runs_.values
+    gone = covered(v.field("start").to_numpy().astype(np.int64), v.field("windows").to_numpy().astype(np.int64), n, len(w))
+    return [x for x, cut in zip(w, gone.tolist(), strict=True) if not cut]
+
+
 def cut_repeats(docs: DataFrame, batches: int = 2, n: int = WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words left, joined by one space) for every row.
 
@@ -175,19 +210,14 @@ def cut_repeats(docs: DataFrame, batches: int = 2, n: int = WORDS) -> DataFrame:
             for i, j in slices(batch):
                 some = batch.slice(i, j - i)
                 out = []
-                for text, starts in zip(some.column("text").to_pylist(), some.column("starts"), strict=True):
+                for text, runs_ in zip(some.column("text").to_pylist(), some.column("runs"), strict=True):
                     w = text.encode("utf-8", "surrogatepass").split()
-                    kept = w
-                    if starts.is_valid:
-                        s = starts.values.to_numpy().astype(np.int64)
-                        gone = covered(s, np.ones(len(s), np.int64), n, len(w))
-                        kept = [x for x, cut in zip(w, gone.tolist(), strict=True) if not cut]
+                    kept = _kept(w, runs_, n) if runs_.is_valid else w
                     left = b" ".join(kept)
                     out.append((len(w), len(w) - len(kept), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "surrogatepass")))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("mark"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc_id", "mark", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    joined = rows.join(found, rows.doc_id.eqNullSafe(found.doc_id) & (rows.mark == found.mark), "left").select(rows.doc_id, rows.mark, "text", "starts")
-    return joined.mapInArrow(run, "doc_id long, mark int, n_words long, n_removed long, kept_sha256 string, kept string")
+    return _on_document(rows, found, "runs", "left").mapInArrow(run, "doc_id long, mark int, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def drop_repeats(docs: DataFrame, batches: int = 2, n: int = WORDS) -> DataFrame:
@@ -198,7 +228,7 @@ def drop_repeats(docs: DataFrame, batches: int = 2, n: int = WORDS) -> DataFrame
     found = repeated_windows(docs, batches, n)
     names = docs.columns
     mark = F.hash(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (mark == found["mark"]), "left").select(*(docs[c] for c in names), found["starts"].alias("_starts"))
+    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (mark == found["mark"]), "left").select(*(docs[c] for c in names), found["runs"].alias("_runs"))
     at = names.index("text")
 
     def run(batches_):
@@ -206,19 +236,16 @@ def drop_repeats(docs: DataFrame, batches: int = 2, n: int = WORDS) -> DataFrame
             for i, j in slices(batch):
                 some = batch.slice(i, j - i)
                 texts, keep = [], []
-                for text, starts in zip(some.column("text").to_pylist(), some.column("_starts"), strict=True):
-                    if starts.is_valid:
-                        w = text.encode("utf-8", "surrogatepass").split()
-                        s = starts.values.to_numpy().astype(np.int64)
-                        gone = covered(s, np.ones(len(s), np.int64), n, len(w))
-                        text = b" ".join(x for x, cut in zip(w, gone.tolist(), strict=True) if not cut).decode("utf-8", "surrogatepass")
+                for text, runs_ in zip(some.column("text").to_pylist(), some.column("_runs"), strict=True):
+                    if runs_.is_valid:
+                        text = b" ".join(_kept(text.encode("utf-8", "surrogatepass").split(), runs_, n)).decode("utf-8", "surrogatepass")
                     texts.append(text)
-                    keep.append(not starts.is_valid or bool(text))
-                out = some.drop_columns(["_starts"]).set_column(at, some.schema.field(at), pa.array(texts, some.schema.field(at).type))
+                    keep.append(not runs_.is_valid or bool(text))
+                out = some.drop_columns(["_runs"]).set_column(at, some.schema.field(at), pa.array(texts, some.schema.field(at).type))
                 if "n_chars" in names:
                     k = names.index("n_chars")
                     old = some.column("n_chars").to_pylist()
-                    out = out.set_column(k, some.schema.field(k), pa.array([len(t) if s.is_valid else o for t, s, o in zip(texts, some.column("_starts"), old, strict=True)], some.schema.field(k).type))
+                    out = out.set_column(k, some.schema.field(k), pa.array([len(t) if s.is_valid else o for t, s, o in zip(texts, some.column("_runs"), old, strict=True)], some.schema.field(k).type))
                 yield out.filter(pa.array(keep))
 
     return joined.mapInArrow(run, docs.schema)

@@ -19,6 +19,7 @@ def test_suffix_array_and_prefixes(data, alphabet):
     a = np.frombuffer(data, np.uint8)
     order, words = suffixes.suffix_array(a)
     assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+    order, words = suffixes.suffix_array(a, 64)
     got = suffixes.common_prefixes(a, order, words, 40, stride=4)
     for k in range(1, len(data)):
         x, y = data[order[k - 1] :], data[order[k] :]

@@ -25,18 +25,18 @@ ENTRIES = "anchor long, doc_id long, mark int, start int, windows int, again boo
 _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, words): places in the order of their suffixes, by Larsson-Sadakane refinement.
+def suffix_array(data: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, words): places in the order of their suffixes' first `depth` bytes at least (None: all), by Larsson-Sadakane refinement.
 
     Groups start as those of equal first 8 bytes (words, zero behind the end); a group is split by its members' groups h
-    places on, h = 8, 16, ..., and what has become single is left alone.  Places beyond the end come first.
+    places on, h = 8, 16, ..., and what has become single is left alone.  Of suffixes that end, the shorter comes first.
     """
     n = len(data)
     words = np.zeros(n, np.uint64)
     for k in range(8):
         words <<= np.uint64(8)
-        words[: n - k] |= data[k:]
-    order = np.argsort(words, kind="stable")
+        words[: max(0, n - k)] |= data[k:]
+    order = np.argsort(words)
     head = np.ones(n, bool)
     if n:
         head[1:] = words[order[1:]] != words[order[:-1]]
@@ -44,7 +44,7 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(n, np.int64)
     rank[order] = start
     h = 8
-    while h < n:
+    while depth is None or h < max(depth, 9):
         single = head & np.append(head[1:], True)
         at = np.flatnonzero(~single)
         if not len(at):
@@ -52,8 +52,8 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         places = order[at]
         group = rank[places]
         on = places + h
-        second = np.where(on < n, rank[np.minimum(on, n - 1)] + 1, 0)
-        sort = np.lexsort((second, group))
+        second = np.where(on < n, rank[np.minimum(on, n - 1)] + 1, n - on - 1)
+        sort = np.argsort(group * (n + h + 1) + second + h)
         order[at] = places = places[sort]
         group, second = group[sort], second[sort]
         new = np.ones(len(at), bool)
@@ -68,7 +68,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, words: np.ndarray, cap:
     """Kasai's longest common prefixes of neighbours in the order, up to cap; the first is 0.
 
     Kasai's bound (a suffix shares at least one byte less with its neighbour than the suffix before it does) is used in
-    strides: every stride-th place is compared in full, the places between start from the bound.
+    strides: every stride-th place is compared in full, the places between start from the bound.  Where the full comparison
+    ended at the cap, the order may go no deeper, and there is no bound.
     """
     n = len(order)
     before = np.full(n, -1, np.int64)
@@ -92,7 +93,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, words: np.ndarray, cap:
     extend(np.arange(0, n, stride))
     rest = np.arange(n)
     rest = rest[rest % stride > 0]
-    shared[rest] = np.maximum(shared[rest - rest % stride] - rest % stride, 0)
+    bound = shared[rest - rest % stride]
+    shared[rest] = np.where(bound < cap, np.maximum(bound - rest % stride, 0), 0)
     extend(rest)
     return np.minimum(shared, cap)[order]
 
@@ -145,7 +147,7 @@ def shard_repeats(blocks: list[dict], n: int) -> tuple[np.ndarray, np.ndarray]:
     """
     sizes = np.array([len(b["segment"]) for b in blocks], np.int64)
     data = np.frombuffer(b"".join(b["segment"] for b in blocks), np.uint8)
-    order, words = suffix_array(data)
+    order, words = suffix_array(data, n)
     shared = common_prefixes(data, order, words, n)
     group = np.cumsum(shared < n)
     begin = np.cumsum(sizes) - sizes
@@ -165,7 +167,7 @@ def late_windows(docs: DataFrame, n: int = BYTES, k: int = GRAM, shard_segments:
     rows = rows_of(docs)
     index = stored(entries(docs, n, k), "run")
     met = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("anchor")
-    marked = index.join(met, "anchor", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("anchor", "start", "windows")).alias("runs"))
+    marked = index.join(met, "anchor", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("anchor", "start", "windows", "again")).alias("runs"))
     marked = stored(marked, "marked")
     discard(index)
     release(spark)
@@ -182,20 +184,21 @@ def late_windows(docs: DataFrame, n: int = BYTES, k: int = GRAM, shard_segments:
                 at = start + np.repeat(first, sizes)
                 to = pa.array(np.repeat(np.arange(j - i), sizes))
                 anchor = np.concatenate([r.values.field("anchor").to_numpy() for r in some.column("runs")])
+                again = np.concatenate([r.values.field("again").to_numpy(zero_copy_only=False) for r in some.column("runs")])
                 whole, half = span_hash(sums, at, count + n - 1), span_hash(sums, at + 1, n - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole.view(np.int64)), pa.array(half.view(np.int64)), some.column("doc_id").take(to), some.column("mark").take(to), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], names=["anchor", "whole", "half", "doc_id", "mark", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole.view(np.int64)), pa.array(half.view(np.int64)), some.column("doc_id").take(to), some.column("mark").take(to), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again)], names=["anchor", "whole", "half", "doc_id", "mark", "start", "windows", "again"])
 
-    segments = stored(_join(rows, marked, "runs").mapInArrow(describe, "anchor long, whole long, half long, doc_id long, mark int, start int, windows int"), "segments")
+    segments = stored(_join(rows, marked, "runs").mapInArrow(describe, "anchor long, whole long, half long, doc_id long, mark int, start int, windows int, again boolean"), "segments")
     discard(marked)
     release(spark)
     key = ["anchor", "whole", "half", "windows"]
-    first = stored(segments.groupBy(*key).agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    first = stored(segments.groupBy(*key).agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("again").alias("again")), "first")
     place = F.struct("doc_id", "mark", "start")
     copies = stored(segments.join(first.where("n > 1").select(*key, "first"), key).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "mark", "start", "windows"), "copies")
     discard(segments)
-    # the earliest of equal segments; alone under its anchor, it can only repeat itself
+    # the earliest of equal segments; one that is alone under its anchor, which its document has once, repeats nothing
     crowd = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd"))
-    owners = first.select("anchor", "first.*", "windows").join(crowd, "anchor").withColumn("salts", F.ceil(F.col("crowd") / shard_segments).cast("int"))
+    owners = first.select("anchor", "first.*", "windows", "again").join(crowd, "anchor").where("crowd > 1 OR again").withColumn("salts", F.ceil(F.col("crowd") / shard_segments).cast("int"))
     owners = owners.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "start", "windows", "salts")).alias("runs"))
     owners = stored(owners, "owners")
     discard(first)

@@ -18,10 +18,14 @@ Schemas = dict[str, dict[str, tuple[str, bool]]]
 _KINDS = {"string": "^STRING$", "integer": "^(BIGINT|DECIMAL\\(\\d+,0\\))$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY", "object": "^OBJECT", "null": "^VOID$"}
 
 
-def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
-    """An array of what is wrong with a JSON text of arguments; empty if nothing is."""
-    kinds = F.transform_values(F.from_json(F.when(F.try_parse_json(arguments).isNotNull(), arguments), "map<string,variant>"), lambda k, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(arguments)).startswith("OBJECT"), F.lit(False))
+def argument_kinds(arguments: Column) -> Column:
+    """parameter: type, of a JSON text that is an object; else null."""
+    is_object = F.schema_of_variant(F.try_parse_json(arguments)).startswith("OBJECT")
+    return F.when(is_object, F.transform_values(F.from_json(arguments, "map<string,variant>"), lambda k, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))))
+
+
+def argument_errors(name: Column, kinds: Column, schemas: Schemas) -> Column:
+    """An array of what is wrong with arguments of such types; empty if nothing is."""
     out = F.array(F.concat(F.lit("tool: unknown "), F.coalesce(name, F.lit("null"))))
     for tool, parameters in schemas.items():
         checks = []
@@ -30,7 +34,7 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
             checks.append(F.when(~there, F.lit(f"{p}: missing") if required else F.lit(None)).when(~F.try_element_at(kinds, F.lit(p)).rlike(_KINDS[kind]), F.lit(f"{p}: no {kind}")))
         unknown = F.transform(F.array_sort(_others(F.map_keys(kinds), tuple(parameters))), lambda k: F.concat(k, F.lit(": unknown")))
         found = F.concat(F.filter(F.array(*checks), lambda x: x.isNotNull()), unknown)
-        out = F.when(name == tool, F.when(is_object, found).otherwise(F.array(F.lit("arguments: no JSON object")))).otherwise(out)
+        out = F.when(name == tool, F.when(kinds.isNotNull(), found).otherwise(F.array(F.lit("arguments: no JSON object")))).otherwise(out)
     return out
 
 
@@ -89,10 +93,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     bad = needs.join(edges, [*key, "needs"], "left_anti").groupBy(*key).agg(F.array_sort(F.collect_set("needs")).alias("bad"))
     answers = results.groupBy(*key).agg(F.min_by("content", F.struct("turn", "content")).alias("content"), F.count(F.lit(1)).alias("n_results"))
     joined = calls.join(answers, key, "left").join(steps(nodes, edges), key, "left").join(bad, key, "left")
+    joined = joined.withColumns({"_kinds": argument_kinds(F.col("arguments")), "_parsed": F.try_parse_json(F.col("arguments"))})
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     step = F.when(~named, F.lit(0)).otherwise(F.col("step"))
-    errors = F.concat(argument_errors(F.col("name"), F.col("arguments"), schemas), F.transform(F.coalesce("bad", F.array().cast("array<string>")), lambda n: F.concat(F.lit("needs: unknown "), n)), F.when(step.isNull(), F.array(F.lit("needs: cycle"))).otherwise(F.array().cast("array<string>")))
-    parsed = F.try_parse_json(F.col("arguments"))
+    errors = F.concat(argument_errors(F.col("name"), F.col("_kinds"), schemas), F.transform(F.coalesce("bad", F.array().cast("array<string>")), lambda n: F.concat(F.lit("needs: unknown "), n)), F.when(step.isNull(), F.array(F.lit("needs: cycle"))).otherwise(F.array().cast("array<string>")))
+    parsed = F.col("_parsed")
     message = F.to_json(F.struct(F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed).alias("arguments"), F.array_sort(F.array_distinct("depends_on")).alias("depends_on"), F.col("call_id").alias("id"), F.col("name").alias("name"), F.col("content").alias("result"), step.alias("step")), {"ignoreNullFields": "false"})
     linked = joined.select("conv_id", "turn", "call_id", "name", F.when(F.col("n_results").isNull(), "no_result").otherwise("linked").alias("status"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), step.alias("step"), F.array_join(errors, "; ").alias("errors"), message.alias("message"))
     orphans = results.join(nodes, key, "left_anti").select("conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.lit("orphan_result").alias("status"), F.lit(1).cast("long").alias("n_results"), F.lit(None).cast("int").alias("step"), F.lit("result: no call").alias("errors"), F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), {"ignoreNullFields": "false"}).alias("message"))

@@ -153,14 +153,20 @@ class TextCNN:
                 grown_e[ids] += ge**2
                 self.table[ids] -= rate * ge / np.sqrt(grown_e[ids])
                 self.table[0] = 0
-        self._calibrate([texts[n] for n in np.flatnonzero(aside)], labels[aside], langs[aside])
+        if labels[aside].sum() >= 20:
+            self._calibrate([texts[n] for n in np.flatnonzero(aside)], labels[aside], langs[aside])
+        else:  # too few to choose by: as many rows of all are over the threshold as have label 1
+            p, k = np.sort(self._each(texts))[::-1], int(labels.sum())
+            cut = float(np.clip((p[k - 1] + p[k]) / 2, 0.01, 0.99)) if 0 < k < len(p) else 0.99
+            self.cuts = dict.fromkeys(self.cuts, cut)
         return self
 
+    def _each(self, texts: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([self.probability(np.concatenate([t, [0, 0]]).astype(np.int32), np.array([0, len(t) + 2])) for t in texts])
+
     def _calibrate(self, texts: list[np.ndarray], labels: np.ndarray, langs: np.ndarray) -> None:
         """The threshold of the best F1 for each language; those with under 20 rows of label 1 take that of all rows."""
-        if not len(texts):
-            return
-        p = np.concatenate([self.probability(np.concatenate([t, [0, 0]]).astype(np.int32), np.array([0, len(t) + 2])) for t in texts])
+        p = self._each(texts)
 
         def best(some: np.ndarray) -> float:
             q, y = p[some], labels[some]
@@ -172,7 +178,7 @@ class TextCNN:
             below = q[order][k + 1] if k + 1 < len(q) else 0
             return float(np.clip((q[order][k] + below) / 2, 0.01, 0.99))
 
-        everywhere = best(np.ones(len(p), bool)) if labels.any() else THRESHOLD
+        everywhere = best(np.ones(len(p), bool))
         for lang in self.cuts:
             some = langs == lang
             self.cuts[lang] = best(some) if labels[some].sum() >= 20 else everywhere

@@ -71,7 +71,7 @@ def test_maintenance(spark):
 
 LINES = [
     ("Page 3 of 12", "page_number"), ("https://a.b https://c.d", "link_heavy"), ("=== 12 === 34 ===", "symbol_heavy"), ("12 | 34 | 56", None),
-    ("Please subscribe today", "nav"), ("Sponsored content", "promo"), ("Read next: more", "related"), ("Find us on LinkedIn now", "social"), ("Already a subscriber? go", "paywall"),
+    ("Please subscribe today", "nav"), ("Sponsored content", "promo"), ("Read next: more", "related"), ("Find us on LinkedIn now", "social"), ("Create an account for more", "paywall"), ("Already a subscriber? go", "nav"),
     ("Copyright 2024 Someone", "legal"), ("Photo: J. Doe", "image_credit_short"), ("FIRST MENU", None), ("SECOND MENU", "short_allcaps_menu"), ("By Jane Doe", "byline"), ("An ordinary line of text here", None),
 ]
 
@@ -91,7 +91,7 @@ def test_chunks_lose_no_words(text):
 
 
 def test_overlap_is_recursive():
-    text = "\n\n".join(f"{c * 600}" for c in "abc")
+    text = "\n\n".join((f"{c} " * 300).strip() for c in "abc")
     out = K.overlap_chunks(text, 1100, 700)
     assert len(out) == 3 and out[1].startswith("a") and "a" in out[2]
 

@@ -105,3 +105,22 @@ def test_near_duplicates_against_jaccard(spark, edge, none, sf_dir):
 def test_segments_grow_with_the_table():
     small, large = segments(1000), segments(10**9)
     assert small[1] < large[1] <= 32 and small[0] < large[0]
+
+
+def test_near_duplicates_of_any_edit(spark):
+    """Appended, truncated, replaced and repeated passages spoil 2-word shingles or their numbers; pairs are found all the same."""
+    r = np.random.default_rng(11)
+    text = lambda n: [f"v{k}" for k in r.integers(0, 50_000, n)]
+    rows, want = [], set()
+    for k in range(40):
+        a = text(300)
+        appended, cut, block = a + text(60), a[40:], a[:150] + text(28) + a[178:]
+        repeated = a[:30] * 12 + a[30:]
+        for n, b in enumerate((appended, cut, block, repeated)):
+            x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+            assert len(x & y) >= 0.8 * len(x | y)
+            rows.append((100 * k + n + 1, " ".join(b)))
+            want.add(100 * k + n + 1)
+        rows += [(100 * k, " ".join(a)), (100 * k + 50, " ".join(a[:100] + text(80) + a[180:]))]  # the last is under 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id for x in near_duplicates(docs).collect()} == want

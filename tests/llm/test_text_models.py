@@ -134,3 +134,14 @@ def test_toxicity_edges(spark, edge, none):
         assert len(got) == len(edge_rows()) and all(0 <= x.score <= 1 for x in got)
         assert len({x.score for x in got if x.doc_id in (1, 2, 3)}) == 1
     assert toxicity(none, train(none, labels.limit(0))).count() == 0
+
+
+def test_items_of_few_shingles_are_never_missed():
+    from tidemark.llm.decontaminate import ContainmentIndex, _Memo
+
+    r = np.random.default_rng(2)
+    text = lambda n: " ".join(f"u{k}" for k in r.integers(0, 100_000, n))
+    items = [text(n) for n in (5, 6, 7, 8) for _ in range(500)] + ["a b " * 40 + text(1)]
+    docs = [f"{text(23)} {x} {text(30)}" for x in items]
+    got = ContainmentIndex(list(enumerate(items))).search(docs, _Memo())
+    assert {(n, m) for n, m, *_ in got} == {(n, n) for n in range(len(items))}

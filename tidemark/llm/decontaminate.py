@@ -3,7 +3,8 @@
 Items are partitioned by size: an item of q shingles is of the class of the least power of two s >= q (at least 8).
 For each class the stretches of 2 s shingles that begin at every s-th shingle of a document are its search windows, so
 an item that stands in a document lies within one window and makes up over a quarter of it: the Jaccard similarity is
-bounded below whatever the document's length, where a signature of the whole long document would be swamped.  Windows
+bounded below whatever the document's length (items of under 5 distinct shingles, or of at most half their class, are
+looked up by each of their shingles instead, and none is missed), where a signature of the whole long document would be swamped.  Windows
 are unions of blocks of 8 shingles, so minima are taken once and merged upwards.  A window and an item of its class are
 a candidate if they share a minimum under any permutation (bands of one row).  With p permutations a window that holds
 the share c >= 0.8 of an item is missed with probability below (1 - 0.8 / 4.2) ** p, 4e-6 for 64.  Candidates are
@@ -71,7 +72,9 @@ class ContainmentIndex:
         self.odd = mix(np.arange(1, permutations + 1, dtype=np.uint64) * MULTIPLIER) | np.uint64(1)
         self.items: list[tuple[int | None, np.ndarray]] = []
         self.short: dict[int, list[int]] = {}  # by number of words
+        self.few: tuple[np.ndarray, np.ndarray] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         classes: dict[int, list[int]] = {}
+        few: list[int] = []
         for item_id, text in items:
             w = words_of(text)
             if not w:
@@ -81,8 +84,15 @@ class ContainmentIndex:
             self.items.append((item_id, s))
             if len(w) < shingle:
                 self.short.setdefault(len(w), []).append(number)
+            elif len(s) < 5 or 2 * len(s) <= 1 << (len(w) - shingle).bit_length():
+                few.append(number)
             else:
                 classes.setdefault(max(8, 1 << (len(w) - shingle).bit_length()), []).append(number)
+        if few:
+            # their shingles in order, and whose they are
+            h, whose = np.concatenate([self.items[n][1] for n in few]), np.repeat(few, [len(self.items[n][1]) for n in few])
+            order = np.argsort(h, kind="stable")
+            self.few = h[order], whose[order]
         # for each class and permutation: minima in order, and whose they are
         self.classes = {}
         for s, numbers in sorted(classes.items()):
@@ -96,6 +106,11 @@ class ContainmentIndex:
     def candidates(self, h: np.ndarray, owner: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs; h: shingle hashes of documents one after another, each padded to whole blocks of 8."""
         found: set[tuple[int, int]] = set()
+        if len(h) and len(self.few[0]):
+            hashes, whose = self.few
+            a, b = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            for k in np.flatnonzero(b > a):
+                found.update((int(owner[k]), int(n)) for n in whose[a[k] : b[k]])
         if not len(h) or not self.classes:
             return found
         largest = max(self.classes)

@@ -145,3 +145,11 @@ def test_items_of_few_shingles_are_never_missed():
     docs = [f"{text(23)} {x} {text(30)}" for x in items]
     got = ContainmentIndex(list(enumerate(items))).search(docs, _Memo())
     assert {(n, m) for n, m, *_ in got} == {(n, n) for n in range(len(items))}
+
+
+def test_turns_of_other_roles_are_no_calls(spark):
+    from tidemark.llm.tool_calls import turns_as_calls
+
+    turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, None, "n"), (1, 2, "user", "u"), (1, 3, "assistant", "a"), (1, 4, "tool", "t")], "conv_id long, turn long, role string, text string")
+    calls, results = turns_as_calls(turns)
+    assert [r.turn for r in calls.collect()] == [2] and [r.turn for r in results.collect()] == [3]

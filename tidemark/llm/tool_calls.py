@@ -117,6 +117,7 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The tool follows from the text's length n (n % 3); some arguments break the schema (n even).  The call of turn t
     needs that of the turn half as far into the conversation.
+    Turns of any other role (system, null, others) are neither calls nor results and give no row, here and in the SQL.
     """
     t = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     n, i = F.length("text"), F.floor(F.col("turn") / 2)

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from tidemark.llm.archives import Package, read_packages, write_package, write_packages
 from tidemark.llm.common import stored
-from tidemark.llm.transport import PACKET, demux, mux, payload_of, read_media, to_media
+from tidemark.llm.transport import PACKET, demux, mux, op8_transport_streams, payload_of, read_media, to_media
 
 from .conftest import edge_rows
 
@@ -21,7 +21,13 @@ def test_streams_round_trip(payload, size):
     x = demux(s)
     assert len(s) % PACKET == 0 and b"".join(p[3] for p in x["packets"]) == payload
     assert (x["lost"], x["jumps"], x["short"]) == (0, 0, 0) and x["programs"] == {1: 4096} and x["streams"] == {257: 6}
-    assert [p[1] for p in x["packets"]] == [k * 3600 for k in range(-(-len(payload) // size))] and all(p[2] for p in x["packets"])
+    assert [p[1] for p in x["packets"]] == [k * 3600 for k in range(-(-len(payload) // size))]
+    assert [k for k, p in enumerate(x["packets"]) if p[2]] == list(range(0, len(x["packets"]), 16))
+    for k, p in enumerate(x["packets"]):
+        if p[2]:  # a reader that begins with the tables before a point gets all that follows
+            rest = demux(s[p[4] - 2 * PACKET :])
+            assert b"".join(q[3] for q in rest["packets"]) == payload[k * size :] and rest["jumps"] == 0 and rest["programs"] == {1: 4096}
+            assert rest["packets"][0][1] == p[1]
 
 
 def test_streams_with_faults():
@@ -46,6 +52,24 @@ def test_documents_as_streams(spark, edge, none):
     assert read_media(to_media(none)).count() == 0
 
 
+def test_query_reads_a_stored_table(spark, tmp_path, edge):
+    import re
+
+    edge.write.parquet(f"{tmp_path}/documents.parquet")
+    got = op8_transport_streams(spark, str(tmp_path))
+    assert re.search(r"Location: [^\n]*/tidemark/media-", got._jdf.queryExecution().executedPlan().treeString())
+    rows = sorted(got.collect(), key=lambda r: (str(r.doc_id), r.payload_sha256))
+    want = []
+    for d, t in edge_rows():
+        payload = payload_of(t)
+        media = mux(payload)
+        points = [p for p in demux(media)["packets"] if p[2]]
+        last = (len(payload) - 1) // 32768 * 3600
+        feature = f"programs=1:4096;streams=257:6;pes={-(-len(payload) // 32768)};pts=0-{last};access={','.join(str(p[4]) for p in points)};errors=0"
+        want.append((d, len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+    assert [tuple(r) for r in rows] == sorted(want, key=lambda r: (str(r[0]), r[3]))
+
+
 @pytest.mark.parametrize("wide", [True, False])
 def test_package_of_a_file(tmp_path, wide):
     from tidemark.llm.archives import record

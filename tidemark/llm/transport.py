@@ -1,7 +1,8 @@
 """MPEG transport streams: a multiplexer and a reader.
 
 The reader parses program association and program map tables (with their CRCs), checks continuity counters, reassembles
-elementary packets, and keeps presentation times and random-access points.
+elementary packets, and keeps presentation times and random-access points: the places, in bytes, of the transport packets
+at which a reader can begin, with the time of what begins there.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, table
+from .common import lean, ship, slices, stored, table
 
 PACKET, SYNC, PMT_PID, ES_PID, PRIVATE_DATA, STREAM_ID = 188, 0x47, 0x1000, 0x101, 0x06, 0xBD
 PES_BYTES, TICKS = 32_768, 3_600  # payload of one elementary packet, and its duration on the 90 kHz clock
@@ -61,7 +62,10 @@ def _time(mark: int, t: int) -> bytes:
 
 
 def mux(payload: bytes, pes_bytes: int = PES_BYTES) -> bytes:
-    """A single-program stream: tables, then one elementary packet for each pes_bytes, each a random-access point."""
+    """A single-program stream: one elementary packet for each pes_bytes, with the tables before every 16th.
+
+    Only the elementary packets behind tables are random-access points: a reader that begins there knows the program.
+    """
     out, counter = [], 0
     for k, at in enumerate(range(0, len(payload), pes_bytes)):
         chunk, pts = payload[at : at + pes_bytes], k * TICKS & (1 << 33) - 1
@@ -70,7 +74,7 @@ def mux(payload: bytes, pes_bytes: int = PES_BYTES) -> bytes:
         body = b"\0\0\1" + struct.pack(">BHBBB", STREAM_ID, len(chunk) + 8, 0x84, 0x80, 5) + _time(2, pts) + chunk
         clock = struct.pack(">Q", (pts << 15 | 0x3F << 9) << 16)[:6]
         stuffing = max(0, 176 - len(body))
-        out.append(struct.pack(">BHBBB", SYNC, 0x4000 | ES_PID, 0x30 | counter, 7 + stuffing, 0x50) + clock + b"\xff" * stuffing + body[:176])
+        out.append(struct.pack(">BHBBB", SYNC, 0x4000 | ES_PID, 0x30 | counter, 7 + stuffing, 0x10 if k % 16 else 0x50) + clock + b"\xff" * stuffing + body[:176])
         counter = counter + 1 & 15
         full, rest = divmod(max(0, len(body) - 176), 184)
         if full:
@@ -102,16 +106,16 @@ def _sections(rows: np.ndarray, starts: np.ndarray) -> list[bytes]:
 
 
 def demux(stream: bytes) -> dict:
-    """programs {number: pmt pid}, streams {pid: type}, packets [(pid, pts or None, random access, payload)], counts of errors.
+    """programs {number: pmt pid}, streams {pid: type}, packets [(pid, pts or None, random access, payload, place)], counts of errors.
 
-    Packets without the sync byte or with the error flag, broken sections, counters that don't follow on, and elementary
+    place is where the elementary packet's first transport packet begins in the stream.  Packets without the sync byte or with the error flag, broken sections, counters that don't follow on, and elementary
     packets shorter than they say are counted, never an exception.  A packet sent twice counts once.
     """
     whole = len(stream) // PACKET
     rows = np.frombuffer(stream, np.uint8, whole * PACKET).reshape(whole, PACKET)
     good = (rows[:, 0] == SYNC) & (rows[:, 1] < 0x80)
     lost = int((~good).sum()) + bool(len(stream) % PACKET)
-    rows = rows[good]
+    rows, index = rows[good], np.flatnonzero(good)
     pid = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
     unit, has_field, has_payload = rows[:, 1] & 0x40 > 0, rows[:, 3] & 0x20 > 0, rows[:, 3] & 0x10 > 0
     flags = np.where(has_field & (rows[:, 4] > 0), rows[:, 5], 0)
@@ -155,7 +159,7 @@ def demux(stream: bytes) -> dict:
             short += bool(size and len(unit_data) < 6 + size)
             t = unit_data[9:14]
             pts = (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1 if unit_data[7] & 0x80 and len(t) == 5 else None
-            packets.append((es, pts, bool(flags[at[i]] & 0x40), body))
+            packets.append((es, pts, bool(flags[at[i]] & 0x40), body, int(index[at[i]]) * PACKET))
     return {"programs": programs, "streams": streams, "packets": packets, "lost": lost, "jumps": jumps, "short": short}
 
 
@@ -165,7 +169,7 @@ def payload_of(text: str | None) -> bytes:
 
 
 MEDIA = "doc_id long, n_bytes long, media binary"
-READ = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, programs string, streams string, pes long, first_pts long, last_pts long, random_access array<long>, lost long, jumps long, short long"
+READ = "doc_id long, n_bytes long, payload binary, media_bytes long, media_sha256 string, programs string, streams string, times array<long>, points array<struct<at: long, pts: long>>, lost long, jumps long, short long"
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -182,13 +186,17 @@ def to_media(docs: DataFrame) -> DataFrame:
                 texts = some.column("text").to_pylist()
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array([mux(payload_of(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, MEDIA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), MEDIA)
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """The payload and the tables, times, random-access points and error counts of each stream; null media count as empty."""
+    """The payload and the tables, times, random-access points and error counts of each stream; null media count as empty.
+
+    times: the presentation time of each elementary packet, null where it has none; points: place and time of those
+    that a reader can begin with.
+    """
     ship(media.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("programs", pa.string()), ("streams", pa.string()), ("pes", pa.int64()), ("first_pts", pa.int64()), ("last_pts", pa.int64()), ("random_access", pa.list_(pa.int64())), ("lost", pa.int64()), ("jumps", pa.int64()), ("short", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("programs", pa.string()), ("streams", pa.string()), ("times", pa.list_(pa.int64())), ("points", pa.list_(pa.struct([("at", pa.int64()), ("pts", pa.int64())]))), ("lost", pa.int64()), ("jumps", pa.int64()), ("short", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -197,15 +205,17 @@ def read_media(media: DataFrame) -> DataFrame:
                 for r in batch.slice(i, j - i).to_pylist():
                     raw = r["media"] or b""
                     x = demux(raw)
-                    times = [p[1] for p in x["packets"] if p[1] is not None]
-                    rows.append({"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "payload": b"".join(p[3] for p in x["packets"]), "media_bytes": len(raw), "media_sha256": hashlib.sha256(raw).hexdigest(), "programs": ",".join(f"{a}:{b}" for a, b in sorted(x["programs"].items())), "streams": ",".join(f"{a}:{b}" for a, b in sorted(x["streams"].items())), "pes": len(x["packets"]), "first_pts": times[0] if times else None, "last_pts": times[-1] if times else None, "random_access": [k for k, p in enumerate(x["packets"]) if p[2]], "lost": x["lost"], "jumps": x["jumps"], "short": x["short"]})
+                    rows.append({"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "payload": b"".join(p[3] for p in x["packets"]), "media_bytes": len(raw), "media_sha256": hashlib.sha256(raw).hexdigest(), "programs": ",".join(f"{a}:{b}" for a, b in sorted(x["programs"].items())), "streams": ",".join(f"{a}:{b}" for a, b in sorted(x["streams"].items())), "times": [p[1] for p in x["packets"]], "points": [{"at": p[4], "pts": p[1]} for p in x["packets"] if p[2]], "lost": x["lost"], "jumps": x["jumps"], "short": x["short"]})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, READ)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), READ)
 
 
 def op8_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract op8: documents as transport streams, read back."""
-    back = read_media(to_media(table(spark, sf_dir, "documents")))
-    feature = F.concat_ws(";", F.concat(F.lit("programs="), "programs"), F.concat(F.lit("streams="), "streams"), F.concat(F.lit("pes="), F.col("pes").cast("string")), F.concat(F.lit("pts="), F.col("first_pts").cast("string"), F.lit("-"), F.col("last_pts").cast("string")), F.concat(F.lit("access="), F.size("random_access").cast("string")), F.concat(F.lit("errors="), (F.col("lost") + F.col("jumps") + F.col("short")).cast("string")))
+    """Contract op8: documents as transport streams in a stored table, read back from it."""
+    media = stored(to_media(table(spark, sf_dir, "documents")), "media", compression="zstd")
+    back = read_media(media)
+    edge = lambda f: F.coalesce(f("times").cast("string"), F.lit(""))
+    part = lambda name, value: F.concat(F.lit(f"{name}="), value.cast("string"))
+    feature = F.concat_ws(";", part("programs", F.col("programs")), part("streams", F.col("streams")), part("pes", F.size("times")), F.concat(F.lit("pts="), edge(F.array_min), F.lit("-"), edge(F.array_max)), part("access", F.array_join(F.transform("points", lambda p: p.at.cast("string")), ",")), part("errors", F.col("lost") + F.col("jumps") + F.col("short")))
     return back.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))

@@ -2,12 +2,14 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import substrings, suffixes
-from tidemark.llm.windows import covered, runs
+from tidemark.llm.near_dedup import drop_near_duplicates
+from tidemark.llm.windows import covered, runs, words
 
 from .conftest import LONG, edge_rows
 
@@ -69,14 +71,48 @@ def test_words_against_brute_force(spark, edge, none, batches):
     assert substrings.cut_repeats(none).count() == 0
 
 
-def test_index_meets_old_and_new_and_compacts(spark):
+def test_index_meets_old_and_new_compacts_and_opens(spark):
     row = lambda i, t: spark.createDataFrame([(i, t)], "doc_id long, text string")
     index = substrings.FingerprintIndex(spark, fan_in=2)
     assert index.add(row(1, LONG)).count() == 0
     assert index.add(row(2, "nothing to see")).count() == 0
+    before = index.entries().count()
     assert index.add(row(3, "x " + LONG)).count() > 0
-    assert len(index.runs) == 1
-    assert index.add(row(4, LONG + " y")).count() > 0
+    assert len(index.runs) == 1 and index.entries().count() > before
+    # another session of work
+    again = substrings.FingerprintIndex.open(spark, index.path)
+    assert (again.runs, again.fan_in, again.n, again.k, again.state) == (index.runs, 2, 35, 6, index.state)
+    assert again.add(row(4, LONG + " y")).count() > 0 and again.add(row(5, "z " * 20)).count() == 0
+    assert len(substrings.FingerprintIndex.open(spark, index.path).runs) == len(again.runs)
+    with pytest.raises(ValueError):
+        substrings.FingerprintIndex.open(spark, again.path + "/" + again.runs[0])
+    again.drop()
+
+
+def test_the_query_compacts(spark, edge, monkeypatch):
+    seen, compact = [], substrings.FingerprintIndex.compact
+    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: (seen.append(len(self.runs)), compact(self)))
+    substrings.cut_repeats(edge).count()
+    assert seen == [3]
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB \t\n\x1cé日", max_size=60)), max_size=6), st.booleans(), st.integers(0, 2))
+@settings(max_examples=150, deadline=None)
+def test_word_hashes(texts, lower, skip):
+    texts = [t and t.replace("日", "日" * 100) for t in texts]
+    h, ends = words(pa.array(texts, pa.string())[skip:], lower)
+    split = [(t or "").encode().lower().split() if lower else (t or "").encode().split() for t in texts[skip:]]
+    flat = [w for x in split for w in x]
+    assert ends.tolist() == np.cumsum([len(x) for x in split]).astype(int).tolist()
+    assert len(h) == len(flat) and len(set(zip(flat, h.tolist(), strict=True))) == len(set(flat)) == len(set(h.tolist()))
+
+
+def test_rows_keep_clashing_columns(spark):
+    rows = [(1, LONG, 1, "a", "b", "c", 7), (2, "x " + LONG, 2, "d", "e", "f", 8), (3, None, 3, "g", "h", "i", 9)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _runs int, mark string, runs string, row string, n_chars long")
+    got = {tuple(r) for r in substrings.drop_repeats(docs).collect()}
+    assert got == {(2, "x", 2, "d", "e", "f", 1), (3, None, 3, "g", "h", "i", 9)}
+    assert {tuple(r) for r in drop_near_duplicates(docs).collect()} == {rows[0], rows[2]}
 
 
 def test_drop_repeats_keeps_clean_rows(spark, edge):

@@ -8,21 +8,18 @@ import tempfile
 import types
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext.getCheckpointDir()
-        if not current:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-            current = spark.sparkContext.getCheckpointDir()
-        base = current
-    return base.rstrip("/")
+    """The shared folder for intermediate tables: spark.checkpoint.dir; where it is unset, a folder of the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -44,21 +41,26 @@ def sized(df: DataFrame, rows: int, per: int = 200_000, least: int = 12) -> Data
     return df.coalesce(max(least, -(-rows // per)))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame that stored() returned."""
     path = getattr(df, "_tidemark_path", None)
     if path:
-        spark = df.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        delete(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context."""
+    """Send this package to the executors, once for each Spark context, and bound the bytes of a batch for Python."""
     sc = spark.sparkContext
     if getattr(sc, "_tidemark_shipped", False):
         return
     sc._tidemark_shipped = True
+    if sc.getConf().get(BATCH_BYTES) is None:
+        spark.conf.set(BATCH_BYTES, str(12 << 20))  # texts are long: batches for Python are bounded by bytes too
     root = Path(__file__).resolve().parents[1]
     out = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark_code.zip"
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -67,6 +69,33 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(out))
 
 
+def trim() -> None:
+    """Give memory that a finished task has freed back to the system; Python workers live through many tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that ends with trim()."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def worker_state() -> types.ModuleType:
     """A namespace that lives as long as a Python worker, for bounded memos between tasks."""
     return sys.modules.setdefault("_tidemark_worker_state", types.ModuleType("_tidemark_worker_state"))

@@ -3,8 +3,8 @@
 Windows of n bytes that may repeat are found by their anchors (windows.py).  Every run of such windows, with the bytes
 they cover, is a segment; equal segments are one, of which the earliest keeps its bytes.  Segments are dealt to shards by
 their anchor, so equal windows meet in one shard, and a shard's suffix array shows which windows also start earlier.  An
-anchor with more segments than a shard may hold is dealt over several; these shards' lists of first windows, sorted, are
-then merged, with the ends of equal windows found by binary search.
+anchor with more segments than a shard may hold is dealt over several; each of these shards gives its first windows, and
+those that stand in several shards are found by their bytes, in sorted order, with the ends of equal ones by binary search.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, ship, slices, stored, table
+from .common import discard, lean, ship, slices, stored, table
 from .substrings import release, rows_of
-from .windows import covered, mix, prefix, runs, span_hash
+from .windows import covered, mix, runs
 
 BYTES, GRAM = 100, 16
-ENTRIES = "anchor long, doc_id long, mark int, start int, windows int, again boolean"
+ENTRIES = "anchor long, doc_id long, mark long, start int, windows int, again boolean"
 _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -121,7 +121,7 @@ def entries(docs: DataFrame, n: int, k: int, piece: int = 1 << 22) -> DataFrame:
                 to = pa.array(np.array(owner)[own])
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), some.column("doc_id").take(to), some.column("mark").take(to), pa.array((start - first[own] + np.array(offset)[own]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again)], names=[x.split()[0] for x in ENTRIES.split(", ")])
 
-    return rows_of(docs).mapInArrow(run, ENTRIES)
+    return rows_of(docs).mapInArrow(lean(run), ENTRIES)
 
 
 def _join(rows: DataFrame, right: DataFrame, column: str, how: str = "inner") -> DataFrame:
@@ -160,7 +160,7 @@ def shard_repeats(blocks: list[dict], n: int) -> tuple[np.ndarray, np.ndarray]:
     return place, first[group]
 
 
-def late_windows(docs: DataFrame, n: int = BYTES, k: int = GRAM, shard_segments: int = 20_000, shard_bytes: int = 3 << 20) -> DataFrame:
+def late_windows(docs: DataFrame, n: int = BYTES, k: int = GRAM, shard_segments: int = 1_000, shard_bytes: int = 3 << 20) -> DataFrame:
     """(doc_id, mark, runs array<struct<start, windows>>): windows of n bytes that also start earlier in the corpus."""
     spark = docs.sparkSession
     ship(spark)
@@ -173,22 +173,24 @@ def late_windows(docs: DataFrame, n: int = BYTES, k: int = GRAM, shard_segments:
     release(spark)
 
     def describe(batches):
+        import xxhash
+
         for batch in batches:
             for i, j in slices(batch, 2_000_000):
                 some = batch.slice(i, j - i)
                 texts, starts, counts = _spans(some)
-                sizes = np.array([len(s) for s in starts], np.int64)
-                first = np.cumsum([0] + [len(t) for t in texts])[:-1]
-                sums = prefix(_SYMBOL[np.concatenate(texts)])
-                start, count = np.concatenate(starts), np.concatenate(counts)
-                at = start + np.repeat(first, sizes)
-                to = pa.array(np.repeat(np.arange(j - i), sizes))
+                to = pa.array(np.repeat(np.arange(j - i), [len(s) for s in starts]))
                 anchor = np.concatenate([r.values.field("anchor").to_numpy() for r in some.column("runs")])
                 again = np.concatenate([r.values.field("again").to_numpy(zero_copy_only=False) for r in some.column("runs")])
-                whole, half = span_hash(sums, at, count + n - 1), span_hash(sums, at + 1, n - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole.view(np.int64)), pa.array(half.view(np.int64)), some.column("doc_id").take(to), some.column("mark").take(to), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again)], names=["anchor", "whole", "half", "doc_id", "mark", "start", "windows", "again"])
-
-    segments = stored(_join(rows, marked, "runs").mapInArrow(describe, "anchor long, whole long, half long, doc_id long, mark int, start int, windows int, again boolean"), "segments")
+                # 128 bits of a segment's bytes
+                own: list[bytes] = []
+                for t, s, c in zip(texts, starts, counts, strict=True):
+                    raw = memoryview(t)
+                    own += [xxhash.xxh3_128_digest(raw[x : x + y + n - 1]) for x, y in zip(s.tolist(), c.tolist(), strict=True)]
+                whole, half = np.frombuffer(b"".join(own), np.int64).reshape(-1, 2).T.copy()
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole), pa.array(half), some.column("doc_id").take(to), some.column("mark").take(to), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32)), pa.array(again)], names=["anchor", "whole", "half", "doc_id", "mark", "start", "windows", "again"])
+
+    segments = stored(_join(rows, marked, "runs").mapInArrow(lean(describe), "anchor long, whole long, half long, doc_id long, mark long, start int, windows int, again boolean"), "segments")
     discard(marked)
     release(spark)
     key = ["anchor", "whole", "half", "windows"]
@@ -216,12 +218,12 @@ def late_windows(docs: DataFrame, n: int = BYTES, k: int = GRAM, shard_segments:
                     raw = t.tobytes()
                     yield pa.RecordBatch.from_arrays([r.values.field("anchor"), some.column("doc_id").take(to), some.column("mark").take(to), pa.array(s.astype(np.int32)), pa.array(c.astype(np.int32)), r.values.field("salts"), pa.array([raw[a : a + b + n - 1] for a, b in zip(s.tolist(), c.tolist(), strict=True)], pa.binary())], names=["anchor", "doc_id", "mark", "start", "windows", "salts", "segment"])
 
-    parts = _join(rows, owners, "runs").mapInArrow(cut, "anchor long, doc_id long, mark int, start int, windows int, salts int, segment binary")
+    parts = _join(rows, owners, "runs").mapInArrow(lean(cut), "anchor long, doc_id long, mark long, start int, windows int, salts int, segment binary")
     parts = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int")).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
 
     def shards(batches):
-        names = ["doc_id", "mark", "start", "windows", "whole", "half", "anchor"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "mark", "start", "windows", "window"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
         def out(blocks: list[dict]):
             blocks.sort(key=lambda b: (b["doc_id"] is not None, b["doc_id"] or 0, b["mark"], b["start"]))
@@ -235,15 +237,16 @@ def late_windows(docs: DataFrame, n: int = BYTES, k: int = GRAM, shard_segments:
                 edge = np.flatnonzero(np.append(True, (np.diff(late) != 1) | (np.diff(block) != 0)))
                 for a, size in zip(edge.tolist(), np.diff(np.append(edge, len(late))).tolist(), strict=True):
                     b = blocks[block[a]]
-                    result.append((b["doc_id"], b["mark"], b["start"] + int(late[a] - begin[block[a]]), size, None, None, None))
+                    result.append((b["doc_id"], b["mark"], b["start"] + int(late[a] - begin[block[a]]), size, None))
             # shards of one anchor: their first windows are compared with those of the others
-            for b in {int(x) for x in np.searchsorted(begin, place[place == first_], side="right") - 1} if any(x["salts"] > 1 for x in blocks) else ():
-                if blocks[b]["salts"] > 1:
-                    sums = prefix(_SYMBOL[np.frombuffer(blocks[b]["segment"], np.uint8)])
-                    mine = np.sort(place[(place == first_) & (place >= begin[b]) & (place < begin[b] + sizes[b])]) - begin[b]
-                    whole, half = span_hash(sums, mine, n).view(np.int64), span_hash(sums, mine + 1, n - 1).view(np.int64)
-                    result += [(blocks[b]["doc_id"], blocks[b]["mark"], blocks[b]["start"] + m, 1, w, v, blocks[b]["anchor"]) for m, w, v in zip(mine.tolist(), whole.tolist(), half.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*result, strict=True) if result else [[]] * 7, kinds, strict=True)], names=names)
+            if any(x["salts"] > 1 for x in blocks):
+                mine = np.sort(place[place == first_])
+                block = np.searchsorted(begin, mine, side="right") - 1
+                for at, k in zip((mine - begin[block]).tolist(), block.tolist(), strict=True):
+                    if blocks[k]["salts"] > 1:
+                        b = blocks[k]
+                        result.append((b["doc_id"], b["mark"], b["start"] + at, 1, b["segment"][at : at + n]))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*result, strict=True) if result else [[]] * 5, kinds, strict=True)], names=names)
 
         blocks: list[dict] = []
         size, last = 0, None
@@ -259,28 +262,33 @@ def late_windows(docs: DataFrame, n: int = BYTES, k: int = GRAM, shard_segments:
         if blocks:
             yield out(blocks)
 
-    found = stored(parts.mapInArrow(shards, "doc_id long, mark int, start int, windows int, whole long, half long, anchor long"), "late")
+    found = stored(parts.mapInArrow(lean(shards), "doc_id long, mark long, start int, windows int, window binary"), "late")
+    discard(owners)
     release(spark)
-    late = found.where("anchor IS NULL").select("doc_id", "mark", "start", "windows")
-    heads = found.where("anchor IS NOT NULL")
+    late = found.where("window IS NULL").select("doc_id", "mark", "start", "windows")
+    heads = found.where("window IS NOT NULL")
 
     def merge(batches):
         carried = None
         for batch in batches:
-            k = np.stack([batch.column(c).to_numpy() for c in ("anchor", "whole", "half")], axis=1)
-            if not len(k):
+            if not batch.num_rows:
                 continue
-            change = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            w = np.frombuffer(b"".join(batch.column("window").to_pylist()), np.uint8).reshape(-1, n)
             # where a row's stretch of equal windows begins, by binary search in the edges
-            edges = np.concatenate([[0], change])
-            begin = edges[np.searchsorted(edges, np.arange(len(k)), side="right") - 1]
-            again = begin != np.arange(len(k))
-            again[0] = carried is not None and bool((k[0] == carried).all())
-            carried = k[-1]
+            edges = np.concatenate([[0], np.flatnonzero((w[1:] != w[:-1]).any(axis=1)) + 1])
+            begin = edges[np.searchsorted(edges, np.arange(len(w)), side="right") - 1]
+            again = begin != np.arange(len(w))
+            if carried is not None and (w[0] == carried).all():
+                again[: edges[1] if len(edges) > 1 else len(w)] = True
+            carried = w[-1].copy()
             yield batch.select(["doc_id", "mark", "start", "windows"]).filter(pa.array(again))
 
-    merged = heads.repartition("anchor", "whole", "half").sortWithinPartitions("anchor", "whole", "half", F.col("doc_id").asc_nulls_first(), "mark", "start").mapInArrow(merge, "doc_id long, mark int, start int, windows int")
-    return stored(late.unionByName(copies).unionByName(merged).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "windows")).alias("runs")), "repeats")
+    # a window comes once from each shard of its anchor, so equal ones are few
+    merged = heads.repartition("window").sortWithinPartitions("window", F.col("doc_id").asc_nulls_first(), "mark", "start").mapInArrow(lean(merge), "doc_id long, mark long, start int, windows int")
+    out = stored(late.unionByName(copies).unionByName(merged).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "windows")).alias("runs")), "repeats")
+    for part in (found, copies):
+        discard(part)
+    return out
 
 
 def cut_repeats(docs: DataFrame, n: int = BYTES) -> DataFrame:
@@ -302,7 +310,7 @@ def cut_repeats(docs: DataFrame, n: int = BYTES) -> DataFrame:
                     out.append((len(t), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(left).hexdigest(), left))
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return _join(rows_of(docs), found, "runs", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return _join(rows_of(docs), found, "runs", "left").mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, ship, sized, slices, stored, table
+from .common import discard, lean, ship, sized, slices, stored, table
 from .components import components
 
 
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42
                 a = np.array(lanes, np.uint64).reshape(-1, len(seeds)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(np.array(content, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(a[:, k])) for k in range(len(seeds)))], names=["doc_id", "content", *(f"l{k}" for k in range(len(seeds)))])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, content long" + "".join(f", l{k} long" for k in range(len(seeds))))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, content long" + "".join(f", l{k} long" for k in range(len(seeds))))
 
 
 def distance(lanes: int, x: str, y: str) -> Column:
@@ -103,7 +103,7 @@ def link(nodes: DataFrame, lanes: int, bits: int, radius: int, most: int, verify
     hits = ball.join(held, "key")
     deep = F.col("n") > 2
     hits = hits.where("n > 1 OR me.node <> low.node").select("key", "exact", "me", deep.alias("deep"), F.when(F.col("me.node") != F.col("low.node"), F.col("low")).alias("low"), F.when((F.col("n") > 1) & (F.col("me.node") != F.col("high.node")), F.col("high")).alias("high"))
-    hits = stored(sized(hits, count, 20_000), "hits")
+    hits = stored(sized(hits, count, 2_000), "hits")
 
     def near(pairs: DataFrame) -> DataFrame:
         close = pairs.where(distance(lanes, "x", "y") <= most)
@@ -118,7 +118,7 @@ def link(nodes: DataFrame, lanes: int, bits: int, radius: int, most: int, verify
         label = found.select(F.col("node").alias("_node"), "component")
         many = many.join(label, F.col("me.node") == F.col("_node"), "left").select("key", "exact", "me", F.coalesce("component", "me.node").alias("label"))
         mixed = many.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
-        many = stored(sized(many.join(mixed, "key"), count, 20_000), "mixed")
+        many = stored(sized(many.join(mixed, "key"), count, 2_000), "mixed")
         if not many.isEmpty():
             sides = many.select("key", "label").distinct().join(many.where("exact").select("key", F.col("label").alias("other")).distinct(), "key").where("label <> other")
             pairs = many.join(sides, ["key", "label"]).select("key", F.col("me").alias("x"), "other").join(many.where("exact").select("key", F.col("me").alias("y"), F.col("label").alias("other")), ["key", "other"]).select("x", "y")
@@ -143,6 +143,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, most: int = 3) -> Data
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     count = nodes.count()
     by_print = stored(sized(named.join(least, "component").select("l0", "component_id"), count), "components")
+    discard(nodes)
     return marked.select("doc_id", "l0").join(by_print, "l0").select("doc_id", F.lpad(F.lower(F.hex("l0")), 16, "0").alias("fingerprint"), "component_id")
 
 

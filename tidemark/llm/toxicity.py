@@ -3,8 +3,10 @@
 Words (lower-cased, between white space and ASCII punctuation) are hashed into rows of an embedding table.  Filters of
 widths 1, 2 and 3 run over the whole text, the maximum of each filter is taken, and a logistic layer gives p.  The first
 component of an embedding starts as the class log-odds of its row, the rest at random; Adagrad does the rest.  The
-language is guessed from a text's own function words, and p is stretched piecewise linearly so that 0.3 is the
-threshold that was best for that language on rows set aside.
+language is guessed from a text's own function words, and p is stretched piecewise linearly so that 0.3 is the threshold
+of that language.  Thresholds come from all labelled rows that are neither held out nor trained on, by one rule at every
+size: a language's best cut is shrunk towards the best cut of all languages, that towards the cut that marks as many rows
+as have label 1, and that towards a half, each the more the fewer rows it comes from.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, table
+from .common import discard, lean, ship, slices, stored, table
 from .decontaminate import words_of
 
 ROWS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 THRESHOLD = 0.3
+BINS, PRIOR = 2000, 20  # classes of p in the counts that thresholds are taken from; how many rows of label 1 weigh as much as the cut that is shrunk to
+ASIDE = 5  # one labelled row in so many is never trained on
 FUNCTION_WORDS = {
     "de": "der die und das den von zu mit ist auf für im dem nicht ein eine als auch sich an werden aus er hat dass sie nach bei um noch wie über",
     "en": "the of and to in is was for that it on with as be by at this are from or an which not have has but were they you we",
@@ -104,10 +108,9 @@ class TextCNN:
         p, cut = self.probability(rows, starts), np.array([self.cuts[int(x)] for x in lang])
         return np.where(p < cut, THRESHOLD * p / cut, THRESHOLD + (1 - THRESHOLD) * (p - cut) / (1 - cut))
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, langs: np.ndarray, epochs: int = 4, batch: int = 64, seed: int = 2) -> TextCNN:
-        """texts: rows without pads.  A fifth, by position, is set aside for the thresholds."""
-        aside = np.arange(len(texts)) % 5 == 4
-        train = np.flatnonzero(~aside)
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 4, batch: int = 64, seed: int = 2) -> TextCNN:
+        """texts: rows without pads."""
+        train = np.arange(len(texts))
         seen = np.ones((2, ROWS))
         for n in train:
             seen[int(labels[n]), np.unique(texts[n])] += 1
@@ -153,93 +156,141 @@ class TextCNN:
                 grown_e[ids] += ge**2
                 self.table[ids] -= rate * ge / np.sqrt(grown_e[ids])
                 self.table[0] = 0
-        if labels[aside].sum() >= 20:
-            self._calibrate([texts[n] for n in np.flatnonzero(aside)], labels[aside], langs[aside])
-        else:  # too few to choose by: as many rows of all are over the threshold as have label 1
-            p, k = np.sort(self._each(texts))[::-1], int(labels.sum())
-            cut = float(np.clip((p[k - 1] + p[k]) / 2, 0.01, 0.99)) if 0 < k < len(p) else 0.99
-            self.cuts = dict.fromkeys(self.cuts, cut)
         return self
 
-    def _each(self, texts: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate([self.probability(np.concatenate([t, [0, 0]]).astype(np.int32), np.array([0, len(t) + 2])) for t in texts])
+    def calibrate(self, counts: dict[tuple[int, int], np.ndarray]) -> None:
+        """Cuts from numbers of rows by (language, label) and class of p."""
+        none = np.zeros(BINS, np.int64)
 
-    def _calibrate(self, texts: list[np.ndarray], labels: np.ndarray, langs: np.ndarray) -> None:
-        """The threshold of the best F1 for each language; those with under 20 rows of label 1 take that of all rows."""
-        p = self._each(texts)
+        def above(label: int, langs: list[int]) -> np.ndarray:
+            """Rows at or over k / BINS, for k = 0 .. BINS."""
+            total = sum((counts.get((x, label), none) for x in langs), none)
+            return np.append(np.cumsum(total[::-1])[::-1], 0)
 
-        def best(some: np.ndarray) -> float:
-            q, y = p[some], labels[some]
-            order = np.argsort(-q, kind="stable")
-            hits = np.cumsum(y[order])
-            last = np.append(np.diff(q[order]) != 0, True)
-            f1 = np.where(last, 2 * hits / (np.arange(1, len(q) + 1) + max(1, y.sum())), -1)
-            k = int(f1.argmax())
-            below = q[order][k + 1] if k + 1 < len(q) else 0
-            return float(np.clip((q[order][k] + below) / 2, 0.01, 0.99))
+        def mixed(cut: float, to: float, rows: int, prior: int) -> float:
+            """Both cuts, as log odds, weighted by the number of rows that the first comes from."""
+            odds = [np.log(x / (1 - x)) for x in np.clip([cut, to], 0.01, 0.99)]
+            return float(1 / (1 + np.exp(-(rows * odds[0] + prior * odds[1]) / (rows + prior))))
 
-        everywhere = best(np.ones(len(p), bool))
-        for lang in self.cuts:
-            some = langs == lang
-            self.cuts[lang] = best(some) if labels[some].sum() >= 20 else everywhere
+        def shrunk(langs: list[int], to: float) -> float:
+            hits, others = above(1, langs), above(0, langs)
+            f1 = 2 * hits / (hits + others + max(1, hits[0]))
+            best = np.flatnonzero(f1 == f1.max())
+            return mixed((best[0] + best[-1]) / 2 / BINS, to, int(hits[0]), PRIOR)
+
+        langs = list(self.cuts)
+        marked = above(1, langs) + above(0, langs)
+        as_many = np.argmax(marked <= above(1, langs)[0]) / BINS
+        everywhere = shrunk(langs, mixed(as_many, 0.5, int(marked[0]), 10 * PRIOR))
+        self.cuts = {x: shrunk([x], everywhere) for x in langs}
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> TextCNN:
-    """A classifier from at most `sample` labelled rows that are not held out, taken in the order of a hash of doc_id.
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, place) of labelled documents that are not held out; place is their order for the sample."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return known.withColumn("place", F.struct(F.xxhash64("doc_id").alias("hash"), "doc_id"))
 
-    Rows with a null id, label or text are not used; without any row the classifier scores by its start values.
-    """
+
+def not_trained_on() -> Column:
+    return F.pmod(F.xxhash64(F.lit(ASIDE), F.col("doc_id")), F.lit(ASIDE)) == 0
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[TextCNN, DataFrame]:
+    """(classifier, raw scores of all rows): see train() and raw_scores()."""
     ship(docs.sparkSession)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).where("doc_id IS NOT NULL")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(known), "doc_id")  # at most `sample` rows
+    known = known_labels(labels)
+    chosen = known.where(~not_trained_on()).orderBy("place").limit(sample)
+    last = chosen.agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("place")).first()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")  # at most `sample` rows
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text for each label
 
     def run(batches):
         memo = Memo()
         for batch in batches:
             for i, j in slices(batch):
                 some = batch.slice(i, j - i)
-                ids, starts, lang = encode(some.column("text").to_pylist(), memo)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("toxic"), pa.array(lang.astype(np.int32)), pa.array([ids[a : b - 2].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["doc_id", "toxic", "lang", "words"])
+                ids, starts, _ = encode(some.column("text").to_pylist(), memo)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("toxic"), pa.array([ids[a : b - 2].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["doc_id", "toxic", "words"])
 
-    got = rows.mapInArrow(run, "doc_id long, toxic int, lang int, words binary").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
+    got = rows.mapInArrow(lean(run), "doc_id long, toxic int, words binary").toArrow().sort_by("doc_id")
     model = TextCNN()
     if len(got):
         order = np.random.default_rng(3).permutation(len(got))
         texts = [np.frombuffer(got.column("words")[int(n)].as_buffer(), np.int32) for n in order]
-        model.fit(texts, got.column("toxic").to_numpy()[order].astype(np.int64), got.column("lang").to_numpy()[order])
+        model.fit(texts, got.column("toxic").to_numpy()[order].astype(np.int64))
+    raw = stored(raw_scores(docs, model), "raw-scores")
+    free = not_trained_on()
+    if last["n"] == sample:
+        free |= F.col("place") > F.struct(F.lit(last["place"]["hash"]).alias("hash"), F.lit(last["place"]["doc_id"]).alias("doc_id"))
+    judged = raw.join(known.where(free).select("doc_id", "toxic"), "doc_id")
+    classes = judged.groupBy("lang", "toxic", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts: dict[tuple[int, int], np.ndarray] = {}
+    for r in classes.collect():  # at most languages x labels x BINS rows
+        counts.setdefault((r["lang"], r["toxic"]), np.zeros(BINS, np.int64))[r["bin"]] = r["n"]
+    model.calibrate(counts)
+    return model, raw
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> TextCNN:
+    """A classifier from at most `sample` labelled rows that are not held out, taken in the order of a hash of doc_id.
+
+    A fifth of the labelled rows is never trained on; with all rows beyond the sample it gives the thresholds.  Rows with
+    a null id, label or text are not used; of texts that share a doc_id the least is; without any row the classifier
+    scores by its start values and marks next to nothing.
+    """
+    model, raw = fitted(docs, labels, sample)
+    discard(raw)
     return model
 
 
-def toxicity(docs: DataFrame, model: TextCNN) -> DataFrame:
-    """doc_id, score, predicted for every row; null and empty texts get the score of a text without words."""
-    spark = docs.sparkSession
-    ship(spark)
-    sent = spark.sparkContext.broadcast(model)
+def raw_scores(docs: DataFrame, model: TextCNN) -> DataFrame:
+    """doc_id, p and guessed language (a number, or -1) of every row; null and empty texts are texts without words."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         memo, m = Memo(), sent.value
         for batch in batches:
             for i, j in slices(batch, 1_000_000):
                 some = batch.slice(i, j - i)
-                score = np.clip(m.score(*encode(some.column("text").to_pylist(), memo)), 0, 1)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                ids, starts, lang = encode(some.column("text").to_pylist(), memo)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(m.probability(ids, starts)), pa.array(lang.astype(np.int32))], names=["doc_id", "p", "lang"])
+
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, p double, lang int")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+
+def stretched(raw: DataFrame, model: TextCNN) -> DataFrame:
+    """doc_id, score, predicted from raw scores: the language's cut becomes 0.3."""
+    cut = F.create_map(*(F.lit(x) for pair in model.cuts.items() for x in pair))[F.col("lang")]
+    rows = raw.withColumn("cut", cut)
+    p, c = F.col("p"), F.col("cut")
+    score = F.when(p < c, THRESHOLD * p / c).otherwise(THRESHOLD + (1 - THRESHOLD) * (p - c) / (1 - c))
+    rows = rows.select("doc_id", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def toxicity(docs: DataFrame, model: TextCNN) -> DataFrame:
+    """doc_id, score, predicted for every row; null and empty texts get the score of a text without words."""
+    return stretched(raw_scores(docs, model), model)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract op5: a score for every document by a model of the labels that are not held out."""
-    docs = table(spark, sf_dir, "documents")
-    return toxicity(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    model, raw = fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return stretched(raw, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, model: TextCNN, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose text scores at or over the threshold; all columns are kept."""
+    """docs without the rows whose text scores at or over the threshold; all columns are kept, whatever their names.
+
+    Null and empty texts are judged as texts without words; rows with equal texts stay or go together; an empty table
+    stays empty.
+    """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -251,4 +302,4 @@ def drop_toxic(docs: DataFrame, model: TextCNN, threshold: float = THRESHOLD) ->
                 some = batch.slice(i, j - i)
                 yield some.filter(pa.array(m.score(*encode(some.column("text").to_pylist(), memo)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

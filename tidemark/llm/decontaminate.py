@@ -8,10 +8,11 @@ looked up by each of their shingles instead, and none is missed), where a signat
 are unions of blocks of 8 shingles, so minima are taken once and merged upwards.  A window and an item of its class are
 a candidate if they share a minimum under any permutation (bands of one row).  With p permutations a window that holds
 the share c >= 0.8 of an item is missed with probability below (1 - 0.8 / 4.2) ** p, 4e-6 for 64.  Candidates are
-verified on the shingles of the whole document: containment = distinct shared shingles / distinct shingles of the item.
+verified on the shingles themselves, of the whole document: containment = distinct shared shingles / distinct shingles
+of the item.
 
 Words are what stands between white space and ASCII punctuation, lower-cased; an item with fewer words than a shingle is
-one shingle of all its words and found by looking its words up at every place.
+one shingle of all its words and found by looking up a document's stretches of as many words.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, table
+from .common import lean, ship, slices, table
 
 _BLANK = bytes.maketrans((string.punctuation + "\t\n\v\f\r").encode(), b" " * (len(string.punctuation) + 5))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -64,39 +65,55 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
+def shingles(w: list[bytes], n: int) -> frozenset[bytes]:
+    """Distinct n consecutive words, joined; fewer words are one shingle."""
+    return frozenset(b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+def _by_hash(sets: list[np.ndarray], numbers: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the items of these numbers in order, and whose they are."""
+    h, whose = np.concatenate([sets[n] for n in numbers]), np.repeat(numbers, [len(sets[n]) for n in numbers])
+    order = np.argsort(h, kind="stable")
+    return h[order], whose[order]
+
+
 class ContainmentIndex:
     """Signatures of items by size class."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], shingle: int = 5, threshold: float = 0.8, permutations: int = 64):
         self.shingle, self.threshold = shingle, threshold
         self.odd = mix(np.arange(1, permutations + 1, dtype=np.uint64) * MULTIPLIER) | np.uint64(1)
-        self.items: list[tuple[int | None, np.ndarray]] = []
-        self.short: dict[int, list[int]] = {}  # by number of words
+        self.items: list[tuple[int | None, frozenset[bytes]]] = []
+        sets: list[np.ndarray] = []
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by number of words: hashes in order, and whose they are
+        self.words: list[int] = []
         self.few: tuple[np.ndarray, np.ndarray] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         classes: dict[int, list[int]] = {}
         few: list[int] = []
+        short: dict[int, list[int]] = {}
         for item_id, text in items:
             w = words_of(text)
             if not w:
                 continue  # an item without words is nowhere
             s = np.unique(shingle_hashes(np.array([_hash(x) for x in w], np.uint64), shingle))
             number = len(self.items)
-            self.items.append((item_id, s))
+            self.items.append((item_id, shingles(w, shingle)))
+            self.words.append(min(len(w), shingle))
+            sets.append(s)
             if len(w) < shingle:
-                self.short.setdefault(len(w), []).append(number)
+                short.setdefault(len(w), []).append(number)
             elif len(s) < 5 or 2 * len(s) <= 1 << (len(w) - shingle).bit_length():
                 few.append(number)
             else:
                 classes.setdefault(max(8, 1 << (len(w) - shingle).bit_length()), []).append(number)
         if few:
             # their shingles in order, and whose they are
-            h, whose = np.concatenate([self.items[n][1] for n in few]), np.repeat(few, [len(self.items[n][1]) for n in few])
-            order = np.argsort(h, kind="stable")
-            self.few = h[order], whose[order]
+            self.few = _by_hash(sets, few)
+        self.short = {k: _by_hash(sets, numbers) for k, numbers in short.items()}
         # for each class and permutation: minima in order, and whose they are
         self.classes = {}
         for s, numbers in sorted(classes.items()):
-            minima = np.array([[(self.items[n][1] * o).min() for n in numbers] for o in self.odd], np.uint64)
+            minima = np.array([[(sets[n] * o).min() for n in numbers] for o in self.odd], np.uint64)
             order = np.argsort(minima, axis=1, kind="stable")
             bits = np.zeros((len(self.odd), 1 << 16), bool)
             for p, row in enumerate(minima):
@@ -140,7 +157,8 @@ class ContainmentIndex:
 
     def search(self, texts: list[str | None], memo: dict) -> list[tuple[int, int, int, int]]:
         """(text's number, item's number, shared, shingles) at or over the threshold."""
-        lists = [np.fromiter(map(memo.__getitem__, w), np.uint64, len(w)) for w in map(words_of, texts)]
+        split = [words_of(t) for t in texts]
+        lists = [np.fromiter(map(memo.__getitem__, w), np.uint64, len(w)) for w in split]
         hashes = [shingle_hashes(x, self.shingle) for x in lists]
         parts, owners = [], []
         for n, x in enumerate(hashes):
@@ -149,20 +167,21 @@ class ContainmentIndex:
                 parts.append(np.concatenate([x, np.full(pad, x[-1], np.uint64)]) if pad else x)
                 owners.append(np.full(len(x) + pad, n, np.int32))
         pairs = self.candidates(np.concatenate(parts), np.concatenate(owners)) if parts else set()
-        for k, numbers in self.short.items():
+        for k, (known, whose) in self.short.items():
             for n, x in enumerate(lists):
                 if len(x) >= k:
-                    here = np.unique(shingle_hashes(x, k))
-                    pairs.update((n, m) for m in numbers if np.isin(self.items[m][1], here).all())
+                    here = shingle_hashes(x, k)
+                    a, b = np.searchsorted(known, here, "left"), np.searchsorted(known, here, "right")
+                    for at in np.flatnonzero(b > a).tolist():
+                        pairs.update((n, int(m)) for m in whose[a[at] : b[at]])
         out, shown = [], {}
-        for n, m in sorted(pairs):
-            k = next((k for k, numbers in self.short.items() if m in numbers), None)
+        for n, m in sorted(pairs, key=lambda p: (p[0], self.words[p[1]], p[1])):
+            k, own = self.words[m], self.items[m][1]
             if (n, k) not in shown:
-                shown = {(n, k): np.unique(shingle_hashes(lists[n], k or self.shingle))}
-            s = self.items[m][1]
-            shared = int(np.isin(s, shown[n, k], assume_unique=True).sum())
-            if shared >= self.threshold * len(s):
-                out.append((n, m, shared, len(s)))
+                shown = {(n, k): shingles(split[n], k) if len(split[n]) >= k else frozenset()}
+            shared = len(own & shown[n, k])
+            if shared >= self.threshold * len(own):
+                out.append((n, m, shared, len(own)))
         return out
 
 
@@ -190,7 +209,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                         n, m, shared, size = zip(*got, strict=True)
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(n)), pa.array([ix.items[k][0] for k in m], pa.int64()), pa.array(shared, pa.int32()), pa.array(size, pa.int32()), pa.array([a / b for a, b in zip(shared, size, strict=True)], pa.float64())], names=[x.split()[0] for x in FOUND.split(", ")])
 
-        return rows.mapInArrow(run, FOUND)
+        return rows.mapInArrow(lean(run), FOUND)
 
     out, part = None, []
     for row in items.toLocalIterator():
@@ -208,7 +227,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shingle: int = 5, permutations: int = 64, block: int = 10_000) -> DataFrame:
-    """docs without the rows that hold an item at or over the threshold; all columns are kept."""
+    """docs without the rows that hold an item at or over the threshold; all columns are kept, whatever their names.
+
+    Null and empty texts hold nothing and stay; rows with equal texts stay or go together; an empty table, or an empty
+    benchmark, leaves docs as they are.
+    """
     spark = docs.sparkSession
     ship(spark)
 
@@ -224,7 +247,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                     keep[[n for n, *_ in ix.search(some.column("text").to_pylist(), memo)]] = False
                     yield some.filter(pa.array(keep))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(lean(run), rows.schema)
 
     out, part = docs, []
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():

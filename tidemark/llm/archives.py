@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, stored, table
+from .common import discard, lean, ship, slices, stored, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "1970-01-01T00:00:00Z"  # pages carry no capture time
@@ -147,9 +147,12 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    light = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
-    first = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    # page_id and digest only: payloads that many pages share, or short ones, make no heavy key
+    light = rows.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    first = stored(light.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first"), "first")
+    links = stored(light.join(first, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "links")
+    discard(first)
+    return rows.join(links, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
 PACKAGES = "part int, package int, n_records long, file binary"
@@ -181,7 +184,7 @@ def write_packages(pages: DataFrame, package_bytes: int = 8 << 20) -> DataFrame:
         if held:
             yield out()
 
-    return with_revisits(pages).mapInArrow(run, PACKAGES)
+    return with_revisits(pages).mapInArrow(lean(run), PACKAGES)
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
@@ -210,7 +213,7 @@ def read_packages(packages: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return packages.select("file").mapInArrow(run, READ)
+    return packages.select("file").mapInArrow(lean(run), READ)
 
 
 def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

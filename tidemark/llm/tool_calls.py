@@ -42,6 +42,11 @@ def _others(keys: Column, names: tuple[str, ...]) -> Column:
     return F.filter(keys, lambda k: ~k.isin(*names))
 
 
+def hashed(right: DataFrame) -> DataFrame:
+    """The side of a hash join that is built; it has a key once (or is asked only whether it has it), so no key is heavy."""
+    return right.hint("shuffle_hash")
+
+
 def steps(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, step) for all calls that are in or behind no cycle.
 
@@ -49,19 +54,19 @@ def steps(calls: DataFrame, edges: DataFrame) -> DataFrame:
     One round for each step: calls whose needs are all placed are placed and leave the table.
     """
     key = ["conv_id", "call_id"]
-    placed = stored(calls.join(edges, key, "left_anti").withColumn("step", F.lit(0)), "placed")
+    placed = stored(calls.join(hashed(edges.select(*key).distinct()), key, "left_anti").withColumn("step", F.lit(0)), "placed")
     rest, layers = stored(edges, "waiting"), [placed]
     while True:
         known = placed.select("conv_id", F.col("call_id").alias("needs"), "step")
         # an edge whose need has been placed keeps its step only
-        seen = rest.join(known, ["conv_id", "needs"], "left") if "at" not in rest.columns else rest.join(known, ["conv_id", "needs"], "left").withColumn("step", F.coalesce("at", "step")).drop("at")
+        seen = rest.join(hashed(known), ["conv_id", "needs"], "left") if "at" not in rest.columns else rest.join(hashed(known), ["conv_id", "needs"], "left").withColumn("step", F.coalesce("at", "step")).drop("at")
         seen = stored(seen.withColumnRenamed("step", "at"), "waiting")
         placed = stored(seen.groupBy(*key).agg(F.count(F.when(F.col("at").isNull(), 1)).alias("open"), F.max("at").alias("last")).where("open = 0").select(*key, (F.col("last") + 1).alias("step")), "placed")
         discard(rest)
         if placed.isEmpty():
             break
         layers.append(placed)
-        rest = seen.join(placed, key, "left_anti").select("conv_id", "call_id", "needs", "at")
+        rest = seen.join(hashed(placed), key, "left_anti").select("conv_id", "call_id", "needs", "at")
         rest = stored(rest, "waiting")
         discard(seen)
     out = layers[0]
@@ -88,11 +93,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     results = results.select("conv_id", "turn", "call_id", "content")
     nodes = calls.select(*key).where("conv_id IS NOT NULL AND call_id IS NOT NULL").distinct()
     needs = calls.select(*key, F.explode(F.array_distinct("depends_on")).alias("needs")).where("needs IS NOT NULL AND conv_id IS NOT NULL AND call_id IS NOT NULL").distinct()
-    known = needs.where("needs <> call_id").join(nodes.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi")
+    known = needs.where("needs <> call_id").join(hashed(nodes.withColumnRenamed("call_id", "needs")), ["conv_id", "needs"], "left_semi")
     edges = stored(known.select("conv_id", "call_id", "needs"), "needs")
-    bad = needs.join(edges, [*key, "needs"], "left_anti").groupBy(*key).agg(F.array_sort(F.collect_set("needs")).alias("bad"))
+    bad = needs.join(hashed(edges), [*key, "needs"], "left_anti").groupBy(*key).agg(F.array_sort(F.collect_set("needs")).alias("bad"))
     answers = results.groupBy(*key).agg(F.min_by("content", F.struct("turn", "content")).alias("content"), F.count(F.lit(1)).alias("n_results"))
-    joined = calls.join(answers, key, "left").join(steps(nodes, edges), key, "left").join(bad, key, "left")
+    joined = calls.join(hashed(answers), key, "left").join(hashed(steps(nodes, edges)), key, "left").join(hashed(bad), key, "left")
     joined = joined.withColumns({"_kinds": argument_kinds(F.col("arguments")), "_parsed": F.try_parse_json(F.col("arguments"))})
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     step = F.when(~named, F.lit(0)).otherwise(F.col("step"))
@@ -100,7 +105,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> D
     parsed = F.col("_parsed")
     message = F.to_json(F.struct(F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed).alias("arguments"), F.array_sort(F.array_distinct("depends_on")).alias("depends_on"), F.col("call_id").alias("id"), F.col("name").alias("name"), F.col("content").alias("result"), step.alias("step")), {"ignoreNullFields": "false"})
     linked = joined.select("conv_id", "turn", "call_id", "name", F.when(F.col("n_results").isNull(), "no_result").otherwise("linked").alias("status"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), step.alias("step"), F.array_join(errors, "; ").alias("errors"), message.alias("message"))
-    orphans = results.join(nodes, key, "left_anti").select("conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.lit("orphan_result").alias("status"), F.lit(1).cast("long").alias("n_results"), F.lit(None).cast("int").alias("step"), F.lit("result: no call").alias("errors"), F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), {"ignoreNullFields": "false"}).alias("message"))
+    orphans = results.join(hashed(nodes), key, "left_anti").select("conv_id", "turn", "call_id", F.lit(None).cast("string").alias("name"), F.lit("orphan_result").alias("status"), F.lit(1).cast("long").alias("n_results"), F.lit(None).cast("int").alias("step"), F.lit("result: no call").alias("errors"), F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")), {"ignoreNullFields": "false"}).alias("message"))
     return linked.unionByName(orphans)
 
 

@@ -59,6 +59,7 @@ def test_conversations_have_every_case(spark, sf_dir):
 def test_plan_is_native(spark, sf_dir):
     plan = op3_tool_calls(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    assert "ShuffledHashJoin" in plan
 
 
 def brute(docs, items, n=5):
@@ -126,6 +127,31 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {x.doc_id for x in got if not x.predicted}
 
 
+def test_thresholds_by_one_rule():
+    from tidemark.llm.toxicity import BINS, TextCNN
+
+    def cuts(n, langs=(0,)):
+        """n rows of label 1 over 0.6 and 9 n of label 0 under 0.5, in each language."""
+        m = TextCNN()
+        counts = {}
+        for x in langs:
+            one, zero = np.zeros(BINS, int), np.zeros(BINS, int)
+            one[1200], zero[900] = n, 9 * n
+            counts |= {(x, 1): one, (x, 0): zero}
+        m.calibrate(counts)
+        return m.cuts
+
+    for n in (1, 5, 19, 20, 21, 500):  # no step anywhere
+        assert all(0.45 < c < 0.6 for c in cuts(n).values())
+    m = TextCNN()
+    few, many = np.zeros(BINS, int), np.zeros(BINS, int)
+    few[400], many[1600] = 2, 400
+    m.calibrate({(0, 1): many, (0, 0): np.roll(many, -1000), (1, 1): few, (1, 0): few})
+    assert m.cuts[0] > m.cuts[1] > 0.2  # a language with few rows stays near the common cut
+    m.calibrate({})
+    assert all(abs(c - 0.5) < 1e-9 for c in m.cuts.values())
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(6, 1, 0), (8, None, 1), (9, 0, None), (None, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
     for known in (labels, labels.limit(0)):

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, shuffle_partitions, slices, stored, table
+from .common import lean, ship, shuffle_partitions, slices, stored, table
 from .units import encoder
 
 MAGIC, BLOCK, WORD = b"TMWAVE02", 1 << 16, 512
@@ -239,7 +239,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, sha
         if names:
             yield out()
 
-    return placed.mapInArrow(write, FILES)
+    return placed.mapInArrow(lean(write), FILES)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 raw = memoryview(data).cast("B")
                 yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(ends), row["part"], np.int32)), "doc_id": pa.array(f.doc_ids, mask=f.null.astype(bool)), "start_in_part": pa.array(starts + row["first"]), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64())})
 
-    docs = files.select("part", "shard", "first", "n_tokens", "n_documents", "file").mapInArrow(read, READ)
+    docs = files.select("part", "shard", "first", "n_tokens", "n_documents", "file").mapInArrow(lean(read), READ)
     # a row for each part, at most as many as shuffle partitions
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

@@ -1,12 +1,11 @@
 """Stores, maintenance, cleaning, chunking, streaming."""
 
 import datetime as dt
+import random
+import re
 from difflib import SequenceMatcher
 from itertools import combinations
 
-import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.operators import chunking as K
@@ -83,17 +82,48 @@ def test_line_reasons(spark):
     assert got[3, "same foot"] == "repeated_header_footer" and got[3, "internal word"] is None
 
 
-@given(st.text(alphabet="ab. \n", max_size=400))
-@settings(max_examples=60, deadline=None)
-def test_chunks_lose_no_words(text):
-    for chunks in (K.sentence_chunks(text, 60, 40), K.overlap_chunks(text, 100, 0)):
-        assert " ".join(" ".join(chunks).split()) == " ".join(text.split())
-
-
-def test_overlap_is_recursive():
+def plain_sentences(text, most, enough):
+    """What sentence_chunks() says, word for word."""
+    out = []
+    for p in filter(None, (x.strip(" \t\n") for x in re.split(r"\n\s*\n+", text))):
+        if len(p) <= most:
+            out.append(p)
+            continue
+        parts = []
+        for s in filter(None, (x.strip(" ") for x in re.split(r"(?<=[.!?])\s+", p))):
+            if parts and not parts[-1][1] and len(parts[-1][0]) + 1 + len(s) <= most:
+                parts[-1][0] += " " + s
+                parts[-1][1] = len(parts[-1][0]) >= enough
+            else:
+                first = not parts or parts[-1][1]  # what follows a chunk that is full may be full itself
+                parts.append([s, first and len(s) >= enough])
+        out += [x for x, _ in parts]
+    return out
+
+
+def test_chunks_lose_no_words_and_follow_the_rule(spark):
+    r = random.Random(5)
+    texts = ["", "one", "a " * 500, " \n\n \n\n"] + ["".join(r.choice(["ab", "c", ". ", " ", "\n", "\n\n", "! ", "é"]) for _ in range(r.randrange(200))) for _ in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    rows = df.select("i", "t", K.sentence_chunks(F.col("t"), 60, 40).alias("s"), K.overlap_chunks(F.col("t"), F.lit("T"), 1100, 0).alias("o")).collect()
+    for x in rows:
+        if x.t is None:
+            assert x.s == [] and x.o == []
+            continue
+        assert x.s == plain_sentences(x.t, 60, 40), repr(x.t)
+        bodies = [c.split("\n\n", 1)[1] for c in x.o]
+        assert all(c.startswith(f"CHUNK {k}/{len(bodies)}\nDOC TITLE (if detected): T\n") for k, c in enumerate(x.o, 1))
+        for chunks in (x.s, bodies):
+            assert " ".join(" ".join(chunks).split()) == " ".join(x.t.split())
+
+
+def test_overlap_is_recursive(spark):
     text = "\n\n".join((f"{c} " * 300).strip() for c in "abc")
-    out = K.overlap_chunks(text, 1100, 700)
-    assert len(out) == 3 and out[1].startswith("a") and "a" in out[2]
+    out = spark.range(1).select(K.overlap_chunks(F.lit(text), F.lit(""), 1100, 700).alias("o")).first().o
+    bodies = [c.split("\n\n", 1)[1] for c in out]
+    assert len(bodies) == 3 and bodies[1].startswith("a") and "a" in bodies[2]
+    t = lambda s, n: spark.range(1).select(K.tail(F.lit(s), n)).first()[0]
+    assert [t("one two three", 5), t("one two three", 8), t("one", 9), t("onetwo", 3)] == ["three", "three", "one", ""]
 
 
 def test_fuzzy_pairs_against_all_pairs(spark, sf_dir):
@@ -148,6 +178,52 @@ def test_streaming_fresh_stories(spark, tmp_path):
     assert sorted(r.fingerprint for r in spark.sql("SELECT * FROM fresh").collect()) == ["big story", "other"]
 
 
-@pytest.mark.parametrize("text", ["", None, "one", "a " * 5000])
-def test_packed_edges(text):
-    assert isinstance(K.sentence_chunks(text), list)
+def test_context_pack_against_recomputing(spark):
+    """Chunks go one by one until the rendered pack is short enough."""
+    r = random.Random(2)
+    rows = []
+    for doc in range(8):
+        for idx in range(r.randrange(1, 9)):
+            rows.append((doc, idx, "x" * r.randrange(1, 4000), r.randrange(0, 4), "header" if idx < 2 else "body"))
+    df = spark.createDataFrame(rows, "doc_id int, idx int, chunk string, score int, part string")
+    got = {x.doc_id: x.pack for x in C.render_pack(df, F.lit("T")).collect()}
+    for doc in {x[0] for x in rows}:
+        heads, bodies = ([x for x in rows if x[0] == doc and x[4] == p] for p in ("header", "body"))
+        while True:
+            pack = "\n".join(["TITLE: T\n", "DOC_HEADER_CHUNKS:", *(f"[H{i}] {x[2]}" for i, x in enumerate(heads, 1)), "", "DOC_BODY_CHUNKS:", *(f"[B{i}] {x[2]}" for i, x in enumerate(bodies, 1)), "", "CONSTRAINTS:", "Use only these chunks. Ignore ads/sidebars/navigation."])
+            if len(pack) <= 12_000 or not bodies:
+                break
+            bodies.remove(min(bodies, key=lambda x: (x[3], -x[1])))
+        assert got[doc] == pack[:12_000]
+
+
+def test_titles_and_fallback(spark):
+    df = spark.createDataFrame([(1, "\nhttp://a b\nNews Desk - one two three four\n"), (2, "Great Makers Of Cars Meet In Town\nx"), (3, "ALL IN CAPITALS IS NO TITLE HERE\nplain"), (4, "So-Called O'Neil Plan 12 34 Is Far Off")], "doc_id int, text string")
+    assert {r.doc_id: r.title for r in C.title_line(df).collect()} == {1: "News Desk - one two three four", 2: "Great Makers Of Cars Meet In Town", 4: "So-Called O'Neil Plan 12 34 Is Far Off"}
+    f = lambda a, b: spark.range(1).select(C.with_fallback(F.lit(a), F.lit(b))).first()[0]
+    assert [f("", "o"), f("c", "o"), f("c", "o" * 2000) == "o" * 2000, f("c" * 2000, "o" * 3000) == "c" * 2000] == ["o", "c", True, True]
+    meta = C.clean_meta(C.line_reasons(spark.createDataFrame([(1, "a word -\n\nPage 3\n")], "doc_id int, text string"))).first()
+    assert (meta.raw_chars, meta.clean_text, meta.removed_chars) == (17, "a word -", 9)
+
+
+def test_point_fix_files_and_pages(spark):
+    from tidemark.operators import filters as P
+
+    store = spark.createDataFrame([("1", "2024-01-01"), ("2", None)], "record_id string, publish_date string")
+    out = {r.record_id: r for r in M.point_fix(store, F.col("record_id") == "1", "publish_date", F.lit("2024-02-02"), "by hand").collect()}
+    assert out["1"].publish_date == "2024-02-02" and "by hand" in out["1"].mutation and out["2"].mutation is None
+    page = P.paged(spark.range(12), [F.col("id").asc()], 5).where("id = 7").first()
+    assert (page.place, page.page, page.total) == (8, 1, 12)
+    letters = spark.createDataFrame([(n,) for n in (0, 1, 26, 27, 52, 702, 703, 728, 18278)], "n int").select(P.column_letters(F.col("n"))).collect()
+    assert [r[0] for r in letters] == ["A", "A", "Z", "AA", "AZ", "ZZ", "AAA", "AAZ", "ZZZ"]
+    p = lambda field, old, new: spark.range(1).select(P.apply_policy(field, F.lit(old).cast("string"), F.lit(new), F.lit(False))).first()[0]
+    assert [p("priority", "a", "b"), p("title", "a", "b"), p("title", None, "b"), p("event_date", "a", "b")] == ["b", "a", "b", "b"]
+
+
+def test_overwrite_survives(spark, tmp_path):
+    store = str(tmp_path / "s")
+    row = lambda i: spark.createDataFrame([(i, None)], "record_id string, title string")
+    S.overwrite_jsonl(row("1"), store)
+    S.overwrite_jsonl(row("2"), store)
+    S.append_jsonl(spark.createDataFrame([(None, None)], "record_id string, title string"), store)
+    assert [r.record_id for r in S.read_jsonl(spark, store).collect()] == ["2"] and [p.name for p in tmp_path.iterdir()] == ["s"]

@@ -74,10 +74,8 @@ def bounded(pattern: str) -> str:
 
 
 def any_like(c: Column, patterns: Iterable[str]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | c.rlike(bounded(p))
-    return out
+    """One pattern with all of them as alternatives."""
+    return c.rlike("(?i)" + "|".join(f"(?:{bounded(p)[4:]})" for p in patterns))
 
 
 def contains_any(c: Column, parts: Iterable[str]) -> Column:
@@ -96,17 +94,25 @@ def company_name(c: Column, names: dict[str, str], suffixes: list[str]) -> Colum
     return F.coalesce(F.try_element_at(table, F.lower(trimmed)), F.try_element_at(table, F.lower(bare)), bare)
 
 
-def first_date(c: Column, months: dict[str, int]) -> Column:
-    """The first ISO, else day-month-year, else month-day-year date of a text; an invalid one gives way to the next form."""
-    table = F.create_map(*(F.lit(x) for p in months.items() for x in p))
-    name = r"(Jan|January|Feb|February|Mar|March|Apr|April|May|Jun|June|Jul|July|Aug|August|Sep|Sept|September|Oct|October|Nov|November|Dec|December)"
+def made_date(year: Column, month: Column, day: Column) -> Column:
+    """A date of texts; null where one is empty, the month is no name of one, or there is no such day."""
+    number = F.try_element_at(mapping(MONTHS), F.lower(month))
+    return F.try_to_date(F.concat_ws("-", F.nullif(year, F.lit("")), F.lpad(number.cast("string"), 2, "0"), F.lpad(F.nullif(day, F.lit("")), 2, "0")), "yyyy-MM-dd")
+
+
+#: Months by their English names, whole, by three letters, and "sept".
+MONTHS = {**{name: k for k, m in enumerate("january february march april may june july august september october november december".split(), 1) for name in (m[:3], m)}, "sept": 9}
+ISO_DATE = r"(^|[^0-9A-Za-z_])([0-9]{4}-[0-9]{2}-[0-9]{2})($|[^0-9A-Za-z_])"
+DAY_MONTH_YEAR = r"(^|[^0-9A-Za-z_])([0-9]{1,2})[ \t\r\n\f]+([A-Za-z]{3,9})[ \t\r\n\f]+([0-9]{4})($|[^0-9A-Za-z_])"
+MONTH_DAY_YEAR = r"(^|[^0-9A-Za-z_])([A-Za-z]{3,9})\.?[ \t\r\n\f]+([0-9]{1,2}),[ \t\r\n\f]*([0-9]{4})($|[^0-9A-Za-z_])"
+
+
+def is_iso(c: Column) -> Column:
+    return c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(c, "yyyy-MM-dd").isNotNull()
 
-    def made(year: Column, month: Column, day: Column) -> Column:
-        number = F.try_element_at(table, F.lower(F.substring(month, 1, 3)))
-        return F.try_to_date(F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
 
-    iso = F.try_to_date(F.nullif(F.regexp_extract(c, r"(^|[^0-9A-Za-z_])([0-9]{4}-[0-9]{2}-[0-9]{2})($|[^0-9A-Za-z_])", 2), F.lit("")), "yyyy-MM-dd")
-    dmy = rf"(?i)(^|[^0-9A-Za-z_])([0-9]{{1,2}})\s+{name}\s+([0-9]{{4}})($|[^0-9A-Za-z_])"
-    mdy = rf"(?i)(^|[^0-9A-Za-z_]){name}\.?\s+([0-9]{{1,2}}),\s*([0-9]{{4}})($|[^0-9A-Za-z_])"
-    part = lambda p, k: F.nullif(F.regexp_extract(c, p, k), F.lit(""))
-    return F.coalesce(iso, made(part(dmy, 4), part(dmy, 3), part(dmy, 2)), made(part(mdy, 4), part(mdy, 2), part(mdy, 3)))
+def first_date(c: Column) -> Column:
+    """The first ISO, else day-month-year, else month-day-year date of a text; only the first place of each form is tried."""
+    part = lambda p, k: F.regexp_extract(c, p, k)
+    iso = F.try_to_date(F.nullif(part(ISO_DATE, 2), F.lit("")), "yyyy-MM-dd")
+    return F.coalesce(iso, made_date(part(DAY_MONTH_YEAR, 4), part(DAY_MONTH_YEAR, 3), part(DAY_MONTH_YEAR, 2)), made_date(part(MONTH_DAY_YEAR, 4), part(MONTH_DAY_YEAR, 2), part(MONTH_DAY_YEAR, 3)))

@@ -1,9 +1,8 @@
-"""Chunk packing and fuzzy titles: where a step depends on the one before, in vectorised Python."""
+"""Chunks as folds over arrays of paragraphs and sentences; fuzzy titles and line differences in Arrow batches."""
 
 from __future__ import annotations
 
 import math
-import re
 import sys
 from difflib import SequenceMatcher, unified_diff
 
@@ -14,63 +13,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BLANK = re.compile(r"\n\s*\n+")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-
-
-def paragraphs(text: str) -> list[str]:
-    return [p for p in (x.strip() for x in _BLANK.split(text or "")) if p]
-
-
-def sentence_chunks(text: str, most: int = 1200, enough: int = 800) -> list[str]:
-    """Paragraphs of at most `most` characters; longer ones by sentences, closed at `enough` characters or before `most`."""
-    out = []
-    for p in paragraphs(text):
-        if len(p) <= most:
-            out.append(p)
-            continue
-        held = ""
-        for s in filter(None, (x.strip() for x in _SENTENCE.split(p))):
-            grown = f"{held} {s}" if held else s
-            if held and len(grown) > most:
-                out.append(held)
-                held = s
-            else:
-                held = "" if len(grown) >= enough else grown
-                if not held:
-                    out.append(grown)
-        if held:
-            out.append(held)
-    return out
-
-
-def overlap_chunks(text: str, most: int = 9000, overlap: int = 800, title: str = "") -> list[str]:
-    """Bodies of whole paragraphs, each after the first led by the tail of the one before (as it was led itself)."""
-    reserve = len(f"CHUNK 1/1\nDOC TITLE (if detected): {title}\nIMPORTANT: Use only this chunk.\n\n") + 32
-    limit, bodies = max(1000, most - reserve), []
-    for p in paragraphs(text):
-        if bodies and len(bodies[-1]) + 2 + len(p) <= limit:
-            bodies[-1] += "\n\n" + p
-        else:
-            bodies.append(p)
-    for i in range(1, len(bodies)):
-        before = bodies[i - 1]
-        at = max(0, len(before) - overlap)
-        while 0 < at < len(before) and before[at - 1].isalnum() and before[at].isalnum():
-            at += 1
-        tail = before[at:].strip()
-        bodies[i] = f"{tail}\n\n{bodies[i]}" if tail else bodies[i]
-    return bodies
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def packed(text: pd.Series) -> pd.Series:
-    return text.map(sentence_chunks)
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def overlapped(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: overlap_chunks(t, 1500, 200))
+from tidemark.functions import vocab as V
+
+NO_TEXTS = "array<string>"
+
+
+def paragraphs(text: Column) -> Column:
+    """Trimmed stretches between blank lines."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n+"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+
+def _grown(done: Column, last: Column) -> Column:
+    return F.concat(done, F.array(last))
+
+
+def _by_sentences(paragraph: Column, most: int, enough: int) -> Column:
+    """Sentences joined until a chunk has `enough` characters, or the next would make it longer than `most`."""
+    sentences = F.filter(F.transform(F.split(paragraph, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+
+    def step(state: Column, s: Column) -> Column:
+        joined = F.when(state["open"] == "", s).otherwise(F.concat(state["open"], F.lit(" "), s))
+        over = (state["open"] != "") & (F.length(joined) > most)
+        full = F.length(joined) >= enough
+        return F.struct(F.when(over, _grown(state["done"], state["open"])).when(full, _grown(state["done"], joined)).otherwise(state["done"]).alias("done"), F.when(over, s).when(full, "").otherwise(joined).alias("open"))
+
+    start = F.struct(F.array().cast(NO_TEXTS).alias("done"), F.lit("").alias("open"))
+    return F.aggregate(sentences, start, step, lambda x: F.when(x["open"] == "", x["done"]).otherwise(_grown(x["done"], x["open"])))
+
+
+def sentence_chunks(text: Column, most: int = 1200, enough: int = 800) -> Column:
+    """Paragraphs of at most `most` characters; longer ones by sentences."""
+    return F.flatten(F.transform(paragraphs(text), lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(_by_sentences(p, most, enough))))
+
+
+def tail(text: Column, size: int) -> Column:
+    """The last `size` characters, from the next word on where they begin within one."""
+    end = F.substring(text, -size, size)
+    split = (F.length(text) > size) & F.substring(text, -size - 1, 2).rlike(r"^[\p{L}\p{N}]{2}$")
+    return F.regexp_replace(F.when(split, F.regexp_replace(end, r"^[\p{L}\p{N}]+", "")).otherwise(end), r"^\s+|\s+$", "")
+
+
+def overlap_chunks(text: Column, title: Column, most: int = 9000, overlap: int = 800) -> Column:
+    """Chunks of whole paragraphs; each after the first begins with the tail of the one before, itself led by a tail.
+
+    Chunks have a header with their number, of which the room is taken off `most`.
+    """
+    head, rest = V.CHUNK_HEADER.format(i="\0", n="\1", t="\2").split("\2")
+    before, middle, after = head.replace("\1", "\0").split("\0")
+    room = F.greatest(F.lit(V.CHUNK_LEAST), F.lit(most - V.CHUNK_SPARE - len(before) - len(middle) - len(after) - len(rest) - 2) - F.length(title))
+
+    def pack(state: Column, p: Column) -> Column:
+        last = F.try_element_at(state, F.lit(-1))
+        fits = (F.size(state) > 0) & (F.length(last) + 2 + F.length(p) <= room)
+        return F.when(fits, _grown(F.slice(state, F.lit(1), F.greatest(F.size(state) - 1, F.lit(0))), F.concat(last, F.lit("\n\n"), p))).otherwise(_grown(state, p))
+
+    def lead(state: Column, body: Column) -> Column:
+        end = F.when(F.size(state) > 0, tail(F.try_element_at(state, F.lit(-1)), overlap)).otherwise("")
+        return _grown(state, F.when(end == "", body).otherwise(F.concat(end, F.lit("\n\n"), body)))
+
+    none = F.array().cast(NO_TEXTS)
+    led = F.aggregate(F.aggregate(paragraphs(text), none, pack), none, lead)
+    count = F.size(led).cast("string")
+    return F.transform(led, lambda body, i: F.concat(F.lit(before), (i + 1).cast("string"), F.lit(middle), count, F.lit(after), title, F.lit(rest), body))
 
 
 @F.pandas_udf(T.DoubleType())

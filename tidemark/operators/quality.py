@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
@@ -13,10 +11,6 @@ from tidemark.functions.columns import keyword_set, mapping, plain_text, renamed
 from .dedupe import dedupe_key
 
 
-def _finding(records: DataFrame, condition: Column, severity: str, kind: str) -> DataFrame:
-    return records.where(condition).select("record_id", F.lit(severity).alias("severity"), F.lit(kind).alias("finding"))
-
-
 def expected_regions() -> Column:
     canonical = renamed(F.col("countries"), V.COUNTRY_ALIASES)
     return F.array_distinct(F.filter(F.transform(canonical, lambda c: F.try_element_at(mapping(V.COUNTRY_REGIONS), c)), lambda x: x.isNotNull()))
@@ -36,8 +30,7 @@ def grounded(bullet: Column, source: Column) -> Column:
 
 
 def findings(records: DataFrame) -> DataFrame:
-    """(record_id, severity, finding), a row for each finding."""
-    r = records
+    """(record_id, severity, finding), a row for each finding: all checks in one pass, exploded."""
     norm = F.transform("companies", plain_text)
     canonical = F.filter(F.transform("companies", lambda c: F.try_element_at(mapping(V.COMPANY_NAMES), F.lower(c))), lambda x: x.isNotNull())
     alias = F.exists("companies", lambda c: F.try_element_at(mapping(V.COMPANY_NAMES), F.lower(c)).isNotNull() & (F.try_element_at(mapping(V.COMPANY_NAMES), F.lower(c)) != c))
@@ -55,12 +48,14 @@ def findings(records: DataFrame) -> DataFrame:
         ((F.col("confidence") == "High") & (F.col("source_type") == "Other"), "Low", "confidence_source_mismatch"),
         (F.col("priority") == "High", "Low", "missing_priority_reason"),
     ]
-    parts = [_finding(r, F.coalesce(c, F.lit(False)), s, k) for c, s, k in checks]
-    # every row of a key after the first
-    keyed = r.select("record_id", dedupe_key().alias("k"))
-    first = keyed.groupBy("k").agg(F.min("record_id").alias("first"))
-    parts.append(_finding(keyed.join(first, "k"), F.col("record_id") != F.col("first"), "High", "duplicate_record_in_brief"))
-    return reduce(DataFrame.unionByName, parts)
+    hit = lambda c, severity, kind: F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("finding")))
+    own = F.filter(F.array(*(hit(c, s, k) for c, s, k in checks)), lambda x: x.isNotNull())
+    found = records.select("record_id", F.explode(own).alias("f")).select("record_id", "f.severity", "f.finding")
+    # every row of a key after the first; ids and keys only, and only of keys that occur twice
+    keyed = records.select("record_id", dedupe_key().alias("k"))
+    first = keyed.groupBy("k").agg(F.min("record_id").alias("first"), F.max("record_id").alias("last")).where("first < last").select("k", "first")
+    again = keyed.join(first, "k").where("record_id <> first")
+    return found.unionByName(again.select("record_id", F.lit("High").alias("severity"), F.lit("duplicate_record_in_brief").alias("finding")))
 
 
 def record_scores(records: DataFrame, found: DataFrame) -> DataFrame:
@@ -77,3 +72,54 @@ def kpis(records: DataFrame, found: DataFrame) -> DataFrame:
     rows = records.select("record_id").join(per, "record_id", "left").fillna(0)
     n = F.greatest(F.count(F.lit(1)), F.lit(1))
     return rows.agg(F.count(F.lit(1)).alias("n_records"), F.round(F.sum("h") / n, 4).alias("kpi_r1"), F.round(F.sum("m") / n, 4).alias("kpi_r2"), F.round(1 - F.sum("e") / n, 4).alias("kpi_r3"), F.round(1 - F.sum("c") / n, 4).alias("kpi_r4"), F.round(1 - F.sum("g") / n, 4).alias("kpi_r5"))
+
+
+def targets(records: DataFrame, chosen: DataFrame | None, as_of: str | None = None, days: int = 7) -> DataFrame:
+    """Records with their place: those of chosen (record_id, pos) in that order, else the approved ones of the last days."""
+    if chosen is not None:
+        return records.join(chosen, "record_id")
+    day = F.coalesce(F.col("publish_date"), F.col("created_at").cast("date"))
+    recent = records.where((F.col("review_status") == "Approved") & (day >= F.date_sub(F.lit(as_of).cast("date"), days)))
+    return recent.withColumn("pos", F.row_number().over(Window.orderBy("record_id")))  # a week's approved records, numbered for people
+
+
+def latest_run(runs: DataFrame) -> DataFrame:
+    """The run with the greatest version, records' runs before others."""
+    preferred = F.col("target_mode").isin(V.LATEST_RUN_MODES)
+    return runs.orderBy(preferred.desc(), F.col("run_version").desc_nulls_last(), F.col("created_at").desc()).limit(1)
+
+
+def next_version(runs: DataFrame) -> DataFrame:
+    """One more than the greatest version; without any, one more than the number of runs."""
+    return runs.agg(F.coalesce(F.max("run_version") + 1, F.count(F.lit(1)) + 1).cast("int").alias("run_version"))
+
+
+def run_row(records: DataFrame, found: DataFrame, target_mode: str, brief_score: Column | None = None) -> DataFrame:
+    """The row that the history of runs keeps; the mean score is rounded half to even, to one place and then to none."""
+    s = record_scores(records, found)
+    n = F.count(F.lit(1))
+    per = s.agg(n.alias("target_record_count"), F.sum("high").alias("record_qc_high"), F.sum("medium").alias("record_qc_medium"), F.sum("low").alias("record_qc_low"), F.bround(F.avg("score"), 1).alias("_mean"))
+    ratio = lambda c: F.round(F.col(c) / F.greatest(F.col("target_record_count"), F.lit(1)), 4)
+    score = F.bround("_mean", 0)
+    overall = F.bround((score + brief_score) / 2, 1) if brief_score is not None else score
+    return per.select(F.lit(target_mode).alias("target_mode"), "target_record_count", "record_qc_high", "record_qc_medium", "record_qc_low", ratio("record_qc_high").alias("kpi_r1"), ratio("record_qc_medium").alias("kpi_r2"), score.cast("int").alias("weighted_record_score"), overall.alias("weighted_overall_score"))
+
+
+def alias_groups() -> dict[str, str]:
+    """Main name by name, for makers that have more than one."""
+    groups: dict[str, set[str]] = {}
+    for name, main in V.COMPANY_NAMES.items():
+        groups.setdefault(main.lower(), set()).update({name, main.lower()})
+    for name in [*V.KEY_MAKERS, *V.PREMIUM_MAKERS]:
+        groups.setdefault(V.COMPANY_NAMES.get(name, name).lower(), set()).add(name)
+    for main, names in V.MORE_ALIASES.items():
+        groups.setdefault(main, set()).update(names)
+    plain = lambda n: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in n.lower()).split())
+    return {plain(n): main for main, names in groups.items() if len(names) > 1 for n in sorted(names)}
+
+
+def alias_findings(records: DataFrame) -> DataFrame:
+    """(record_id, canonical, variants, finding) of makers named in several ways or only by another name than the main one."""
+    named = records.select("record_id", F.explode("companies").alias("c")).withColumn("canonical", F.try_element_at(mapping(alias_groups()), plain_text(F.col("c")))).where("canonical IS NOT NULL")
+    per = named.groupBy("record_id", "canonical").agg(F.countDistinct("c").alias("variants"), F.bool_or(F.lower("c") == F.col("canonical")).alias("main"))
+    return per.where("variants > 1 OR NOT main").select("record_id", "canonical", "variants", F.when(F.col("variants") > 1, "canonicalization_inconsistent").otherwise("canonicalization_alias_present").alias("finding"))

@@ -47,6 +47,34 @@ def records(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def drafts(records_: DataFrame) -> DataFrame:
+    """Records as an extractor may have left them: aliases, blanks, values out of the vocabularies, dates in texts and hints."""
+    n = F.col("n")
+    pick = lambda values, at: F.element_at(texts(values), (at % len(values) + 1).cast("int"))
+    none = F.lit(None).cast("array<string>")
+    mentioned = dealt(V.DEALT_REGIONS, n % 5, lambda i: n * 2 + i * 3)
+    return records_.withColumns({
+        "notes": pick(V.DEALT_NOTES, n * 5),
+        "source_text": F.concat(pick(V.DEALT_HEADERS, n), F.lit("\n"), F.coalesce("text", F.lit(""))),
+        "publish_date": F.when(n % 7 == 3, "").when(n % 7 == 5, "n/a").otherwise(F.col("publish_date").cast("string")),
+        "publish_date_confidence": pick(["High", "Medium", "Low", ""], n),
+        "original_url": F.when(n % 5 == 0, F.concat(F.lit("  "), "url", F.lit(" "))).when(n % 5 == 1, "not a url").when(n % 5 == 2, "").otherwise(F.col("url")),
+        "source_type": F.when(n % 13 == 0, "marklines").when(n % 13 == 1, "Blog").otherwise(F.col("source_type")),
+        "actor_type": pick(V.DEALT_ACTORS, n),
+        "mentions_our_company": n % 2 == 0,
+        "government_entities": dealt(V.DEALT_ENTITIES, n % 4, lambda i: n + i * 3),
+        "regions_mentioned": F.when(n % 53 == 0, none).when(n % 19 == 0, F.concat(mentioned, mentioned)).otherwise(mentioned),
+        "regions_relevant": F.when(n % 59 == 0, none).otherwise(dealt(V.DEALT_REGIONS, n % 2, lambda i: n + i)),
+        "topics": F.when(n % 47 == 0, none).when(n % 23 == 0, texts(["Gossip"])).otherwise(F.col("topics")),
+        "keywords": F.when(n % 29 == 0, F.slice("keywords", 1, 2)).otherwise(F.col("keywords")),
+        "priority": F.when(n % 31 == 0, "Urgent").otherwise(F.col("priority")),
+        "confidence": F.when(n % 37 == 0, "Sure").otherwise(F.col("confidence")),
+        "review_status": F.when(n % 41 == 0, "Reviewed").when(n % 43 == 0, "Lost").otherwise(F.col("review_status")),
+        "hint": F.when(n % 6 == 1, F.concat(F.lit("2024-03-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"))).when(n % 6 == 2, "2024-13-01"),
+        "hint_source": F.when(n % 18 == 1, F.lit(None).cast("string")).when(n % 12 == 1, "pdf_header_publish_date").otherwise("pdf_metadata_publish_date"),
+    })
+
+
 def _list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -82,3 +110,32 @@ records AS (
          text
   FROM base)
 """
+
+
+def _pick(values: list[str], at: str) -> str:
+    return f"{_list(values)}[(({at}) % {len(values)}) + 1]"
+
+
+#: The same for DuckDB: CTEs `records` and `drafts`.
+DRAFTS_SQL = f"""{RECORDS_SQL.rstrip()},
+drafts AS (
+  SELECT * REPLACE (
+    CASE n % 7 WHEN 3 THEN '' WHEN 5 THEN 'n/a' ELSE CAST(publish_date AS VARCHAR) END AS publish_date,
+    CASE n % 13 WHEN 0 THEN 'marklines' WHEN 1 THEN 'Blog' ELSE source_type END AS source_type,
+    CASE WHEN n % 47 = 0 THEN NULL WHEN n % 23 = 0 THEN ['Gossip'] ELSE topics END AS topics,
+    CASE WHEN n % 29 = 0 THEN keywords[1:2] ELSE keywords END AS keywords,
+    CASE WHEN n % 31 = 0 THEN 'Urgent' ELSE priority END AS priority,
+    CASE WHEN n % 37 = 0 THEN 'Sure' ELSE confidence END AS confidence,
+    CASE WHEN n % 41 = 0 THEN 'Reviewed' WHEN n % 43 = 0 THEN 'Lost' ELSE review_status END AS review_status),
+    {_pick(V.DEALT_NOTES, "n * 5")} AS notes,
+    replace({_pick([h.replace(chr(10), "<lf>") for h in V.DEALT_HEADERS], "n")}, '<lf>', chr(10)) || chr(10) || coalesce(text, '') AS source_text,
+    {_pick(["High", "Medium", "Low", ""], "n")} AS publish_date_confidence,
+    CASE n % 5 WHEN 0 THEN '  ' || url || ' ' WHEN 1 THEN 'not a url' WHEN 2 THEN '' ELSE url END AS original_url,
+    {_pick(V.DEALT_ACTORS, "n")} AS actor_type, n % 2 = 0 AS mentions_our_company,
+    {_dealt(V.DEALT_ENTITIES, "n % 4", "n + i * 3")} AS government_entities,
+    CASE WHEN n % 53 = 0 THEN NULL WHEN n % 19 = 0 THEN list_concat({_dealt(V.DEALT_REGIONS, "n % 5", "n * 2 + i * 3")}, {_dealt(V.DEALT_REGIONS, "n % 5", "n * 2 + i * 3")}) ELSE {_dealt(V.DEALT_REGIONS, "n % 5", "n * 2 + i * 3")} END AS regions_mentioned,
+    CASE WHEN n % 59 = 0 THEN NULL ELSE {_dealt(V.DEALT_REGIONS, "n % 2", "n + i")} END AS regions_relevant,
+    CASE n % 6 WHEN 1 THEN '2024-03-' || lpad(CAST(n % 28 + 1 AS VARCHAR), 2, '0') WHEN 2 THEN '2024-13-01' END AS hint,
+    CASE WHEN n % 18 = 1 THEN NULL WHEN n % 12 = 1 THEN 'pdf_header_publish_date' ELSE 'pdf_metadata_publish_date' END AS hint_source
+  FROM records)
+"""

@@ -14,7 +14,7 @@ from .filters import key_maker, key_supplier
 def priority() -> tuple[Column, Column]:
     """(priority, reason): the first rule that holds."""
     footprint = F.size("regions") > 0
-    topic = F.array_contains("topics", "Closure Technology & Innovation")
+    topic = F.coalesce(F.array_contains("topics", "Closure Technology & Innovation"), F.lit(False))
     text = F.concat_ws(" ", "title", F.array_join("evidence", " "), F.array_join("insights", " "), F.array_join("keywords", " "))
     keyword = text.rlike(word(V.CLOSURE_PATTERN))
     supplier, maker = key_supplier(F.col("companies")), key_maker(F.col("companies"))
@@ -41,19 +41,18 @@ def theme_text() -> Column:
 
 def _group(kind: str, values: list[str]) -> Column:
     if kind == "keywords":
-        return any_like(theme_text(), values)
-    if kind == "companies":
-        return F.arrays_overlap(F.transform("companies", lambda c: F.lower(c)), texts(values))
-    return F.arrays_overlap(kind, texts(values))
+        return any_like(F.col("_text"), values)
+    return F.coalesce(F.arrays_overlap("_companies" if kind == "companies" else kind, texts(values)), F.lit(False))
 
 
-def theme(name: str) -> tuple[Column, Column]:
-    """(groups matched, strength); strength 0: the theme does not fire."""
-    rule = V.THEMES[name]
-    groups = sum((_group(kind, rule[kind]).cast("int") for kind in ("companies", "keywords", "topics", "regions") if kind in rule), F.lit(0))
-    fires = groups >= 2
+KINDS = ("companies", "keywords", "topics", "regions")
+
+
+def _strength(k: int, rule: dict) -> Column:
+    """0: the theme does not fire."""
+    groups, fires = F.col(f"_g{k}"), F.col(f"_g{k}") >= 2
     if "anti" in rule:
-        fires &= ~(any_like(theme_text(), rule["anti"]) & (groups < 3))
+        fires &= (groups >= 3) | ~any_like(F.col("_text"), rule["anti"])
     if rule.get("premium"):
         fires &= _group("companies", V.PREMIUM_MAKERS)
     if "required" in rule:
@@ -61,17 +60,21 @@ def theme(name: str) -> tuple[Column, Column]:
     strength = F.when(groups >= 4, 3).when(groups == 3, 2).otherwise(1)
     if "cap" in rule:
         strength = F.least(strength, F.lit(rule["cap"]))
-    return groups, F.when(fires, strength).otherwise(0)
+    return F.when(fires, strength).otherwise(0)
 
 
 def themes(records: DataFrame) -> DataFrame:
-    """record_id, themes, rollups, strength (the greatest)."""
-    strengths = {name: theme(name)[1] for name in V.THEMES}
-    fired = F.filter(F.array(*(F.when(s > 0, F.lit(n)) for n, s in strengths.items())), lambda x: x.isNotNull())
+    """Adds themes, rollups and strength (the greatest).  Text, groups and strengths are each made once, in steps."""
+    rows = records.withColumns({"_text": theme_text(), "_companies": F.transform("companies", lambda c: F.lower(c))})
+    counted = {f"_g{k}": sum((_group(kind, rule[kind]).cast("int") for kind in KINDS if kind in rule), F.lit(0)) for k, rule in enumerate(V.THEMES.values())}
+    rows = rows.withColumns(counted).withColumns({f"_s{k}": _strength(k, rule) for k, rule in enumerate(V.THEMES.values())})
+    strengths = {name: F.col(f"_s{k}") for k, name in enumerate(V.THEMES)}
+    rows = rows.withColumn("themes", F.filter(F.array(*(F.when(s > 0, F.lit(n)) for n, s in strengths.items())), lambda x: x.isNotNull()))
     own = [F.when(s > 0, F.lit(V.THEMES[n]["rollup"])) for n, s in strengths.items() if "rollup" in V.THEMES[n]]
-    built = [F.when(F.size(F.array_except(texts(parts), fired)) == 0, F.lit(label)) for label, parts in V.STRUCTURAL_ROLLUPS.items()]
+    built = [F.when(F.size(F.array_except(texts(parts), F.col("themes"))) == 0, F.lit(label)) for label, parts in V.STRUCTURAL_ROLLUPS.items()]
     rollups = F.array_distinct(F.filter(F.array(*own, *built), lambda x: x.isNotNull()))
-    return records.withColumns({"themes": fired, "rollups": rollups, "strength": F.greatest(*strengths.values())})
+    steps = ["_text", "_companies", *counted, *(f"_s{k}" for k in range(len(strengths)))]
+    return rows.withColumns({"rollups": rollups, "strength": F.greatest(*strengths.values())}).drop(*steps)
 
 
 def confidence(rule_changes: Column, backfilled: Column) -> tuple[Column, Column]:
@@ -81,23 +84,40 @@ def confidence(rule_changes: Column, backfilled: Column) -> tuple[Column, Column
 
 
 def errors() -> Column:
-    """Names of the checks that a record fails."""
+    """Names of the checks that a draft fails, in order."""
     bad = lambda condition, name: F.when(F.coalesce(condition, F.lit(True)), F.lit(name))
-    between = lambda c, a, b: ~F.size(c).between(a, b)
+    count = lambda c, a, b: ~F.coalesce(F.size(c), F.lit(-1)).between(a, b)
+    status = F.when(F.col("review_status").isin(V.LEGACY_REVIEW_STATES), "Pending").otherwise(F.col("review_status"))
+    iso = F.col("publish_date").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date("publish_date", "yyyy-MM-dd").isNotNull()
     return F.filter(
         F.array(
             bad(~F.col("source_type").isin(V.SOURCE_TYPES), "source_type"),
+            bad(~F.col("actor_type").isin(V.ACTOR_TYPES), "actor_type"),
+            bad(F.col("publish_date").isNotNull() & (F.col("publish_date") != "") & ~iso, "publish_date"),
+            bad(~F.col("publish_date_confidence").isin(V.LEVELS), "publish_date_confidence"),
             bad(~F.col("priority").isin(V.LEVELS), "priority"),
             bad(~F.col("confidence").isin(V.LEVELS), "confidence"),
-            bad(~F.col("review_status").isin(V.REVIEW_STATES), "review_status"),
-            bad(between("topics", 1, 4), "topics_count"),
+            bad(~status.isin(V.REVIEW_STATES), "review_status"),
+            bad(F.col("topics").isNull(), "topics_list"),
+            bad(count("topics", 1, 4), "topics_count"),
             bad(F.size(F.array_except("topics", texts(V.TOPICS))) > 0, "topics_label"),
-            bad(between("keywords", 3, 15), "keywords_count"),
-            bad(between("evidence", 2, 4), "evidence_count"),
-            bad(between("insights", 2, 4), "insights_count"),
-            bad(F.size("regions") > 15, "regions_count"),
-            bad(F.size("regions") != F.size(F.array_distinct("regions")), "regions_repeat"),
-            bad(F.size(F.array_except("regions", texts(V.REGIONS))) > 0, "regions_label"),
+            bad(count("keywords", 3, 15), "keywords_count"),
+            bad(count("evidence", 2, 4), "evidence_count"),
+            bad(count("insights", 2, 4), "insights_count"),
+            bad(F.col("regions_mentioned").isNull(), "regions_list"),
+            bad(F.size("regions_mentioned") != F.size(F.array_distinct("regions_mentioned")), "regions_repeat"),
+            bad(F.size("regions_mentioned") > 15, "regions_count"),
+            bad(F.size(F.array_except("regions_mentioned", texts(V.REGIONS))) > 0, "regions_label"),
+            bad(F.col("regions_relevant").isNull(), "relevant_list"),
+            bad(F.size(F.array_except("regions_relevant", texts(V.REGIONS))) > 0, "relevant_label"),
         ),
         lambda x: x.isNotNull(),
     )
+
+
+REQUIRED = ["title", "source_type", "publish_date", "publish_date_confidence", "original_url", "actor_type", "government_entities", "companies", "mentions_our_company", "topics", "keywords", "countries", "regions_mentioned", "regions_relevant", "priority", "confidence", "evidence", "insights", "review_status", "notes"]
+
+
+def missing_keys(columns: list[str]) -> list[str]:
+    """Required fields that a table of drafts doesn't have; with any of them no other check is made."""
+    return [c for c in REQUIRED if c not in columns]

@@ -52,29 +52,31 @@ def weighted_topics(r: DataFrame) -> DataFrame:
     return A.weighted(r, "topics", "topic").groupBy("topic").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
-_MOMENTUM = """WITH w AS (SELECT unnest(topics) AS topic, 1.0::DOUBLE / len(topics) AS w, publish_date FROM records WHERE len(topics) > 0 AND publish_date BETWEEN DATE '2024-01-01' AND DATE '2024-02-29'),
- m AS (SELECT topic, round(sum(CASE WHEN publish_date < DATE '2024-01-31' THEN w ELSE 0 END), 6) AS prior, round(sum(CASE WHEN publish_date >= DATE '2024-01-31' THEN w ELSE 0 END), 6) AS recent FROM w GROUP BY 1),
- k AS (SELECT topic, prior, recent, round(recent - prior, 6) AS delta, CASE WHEN prior > 0 THEN round(100.0 * (recent - prior) / greatest(prior, 1e-9), 4) END AS pct_change,
-  CASE WHEN prior < 2 AND recent >= 2 THEN 'Emerging' WHEN prior >= 2 AND recent - prior > 0 THEN 'Expanding' WHEN recent - prior < 0 THEN 'Fading' ELSE 'Stable' END AS class FROM m) """
+_MOMENTUM = """WITH ends AS (SELECT min(publish_date) AS a, max(publish_date) AS b FROM records WHERE publish_date IS NOT NULL),
+ w AS (SELECT unnest(topics) AS topic, 1.0::DOUBLE / len(topics) AS w, 2 * (publish_date - a) >= b - a AS late FROM records, ends WHERE len(topics) > 0 AND publish_date IS NOT NULL),
+ m AS (SELECT topic, round_even(sum(CASE WHEN late THEN 0 ELSE w END), 2) AS prior, round_even(sum(CASE WHEN late THEN w ELSE 0 END), 2) AS recent FROM w GROUP BY 1),
+ k AS (SELECT topic, prior, recent, round_even(recent - prior, 2) AS delta, round_even((recent - prior) / greatest(prior, 1e-9), 1) AS pct_change,
+  CASE WHEN prior < 2 AND recent >= 2 THEN 'Emerging' WHEN prior >= 2 AND recent - prior > 0 THEN 'Expanding' WHEN recent - prior < 0 THEN 'Fading' ELSE 'Stable' END AS class, CASE WHEN recent > prior THEN 'Rising' WHEN recent < prior THEN 'Falling' ELSE 'Flat' END AS trend FROM m) """
 
 
 @query("A6, F-m1, F-d11", _MOMENTUM + "SELECT * FROM k", on_records=True)
 def topic_momentum(r: DataFrame) -> DataFrame:
-    return A.momentum(r, "2024-01-01", "2024-01-31", "2024-02-29")
+    return A.momentum(r)
 
 
 @query("A9", _MOMENTUM + "SELECT topic, delta, recent FROM k ORDER BY delta DESC, recent DESC, topic DESC LIMIT 1", on_records=True)
 def top_mover(r: DataFrame) -> DataFrame:
-    m = A.momentum(r, "2024-01-01", "2024-01-31", "2024-02-29")
-    return m.agg(F.max(F.struct("delta", "recent", "topic")).alias("x")).select("x.topic", "x.delta", "x.recent")
+    return A.momentum(r).agg(F.max(F.struct("delta", "recent", "topic")).alias("x")).select("x.topic", "x.delta", "x.recent")
 
 
-@query("A7", "SELECT region, topic, count(DISTINCT record_id) AS n_records, round(sum(w), 4) AS weight FROM (SELECT record_id, region, unnest(topics) AS topic, w FROM (SELECT record_id, unnest(regions) AS region, topics, 1.0::DOUBLE / (len(regions) * len(topics)) AS w FROM records WHERE len(regions) > 0 AND len(topics) > 0)) GROUP BY ALL", on_records=True)
+@query("A7", """WITH m AS (SELECT region, topic, count(DISTINCT record_id) AS n_records, round(sum(w), 4) AS weight FROM (SELECT record_id, region, unnest(topics) AS topic, w FROM (SELECT record_id, unnest(regions) AS region, topics, 1.0::DOUBLE / (len(regions) * len(topics)) AS w FROM records WHERE len(regions) > 0 AND len(topics) > 0)) GROUP BY ALL),
+ a AS (SELECT region FROM m GROUP BY 1 ORDER BY round(sum(weight), 4) DESC, region LIMIT 6), b AS (SELECT topic FROM m GROUP BY 1 ORDER BY round(sum(weight), 4) DESC, topic LIMIT 8), x AS (SELECT * FROM m WHERE region IN (SELECT region FROM a) AND topic IN (SELECT topic FROM b))
+ SELECT *, round(100.0::DOUBLE * weight / greatest((SELECT sum(weight) FROM x), 1e-9), 1) AS share_pct FROM x""", on_records=True)
 def region_topic_matrix(r: DataFrame) -> DataFrame:
     return A.region_topic_matrix(r)
 
 
-@query("A8, A10, F-s27", """WITH f AS (SELECT count(*) FILTER (publish_date BETWEEN DATE '2024-02-16' AND DATE '2024-02-22') AS n_now, count(*) FILTER (publish_date BETWEEN DATE '2024-02-09' AND DATE '2024-02-15') AS n_before,
+@query("A8", """WITH f AS (SELECT count(*) FILTER (publish_date BETWEEN DATE '2024-02-16' AND DATE '2024-02-22') AS n_now, count(*) FILTER (publish_date BETWEEN DATE '2024-02-09' AND DATE '2024-02-15') AS n_before,
   count(*) FILTER (priority = 'High' AND publish_date BETWEEN DATE '2024-02-16' AND DATE '2024-02-22') AS high_now, count(*) FILTER (priority = 'High' AND publish_date BETWEEN DATE '2024-02-09' AND DATE '2024-02-15') AS high_before FROM records)
  SELECT n_now, n_before, high_now, high_before, CASE WHEN n_now - n_before > 0 THEN '+' ELSE '' END || (n_now - n_before) AS change FROM f""", on_records=True)
 def snapshot_windows(r: DataFrame) -> DataFrame:
@@ -119,17 +121,37 @@ def kpi_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).where("value IS NOT NULL").select("kpi", "run_version", "value", F.lag("value").over(w).alias("previous"), F.round(F.avg("value").over(Window.partitionBy("kpi")), 4).alias("mean"))
 
 
-@query("A17, F-d10", _RUNS + "SELECT CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR) AS bucket, kpi, round(avg(value), 4) AS mean, count(*) AS n FROM runs GROUP BY ALL")
+@query("A17, F-d10", """WITH x AS (SELECT *, 'hour' AS unit, CAST(date_trunc('hour', ts) AS VARCHAR) AS bucket FROM events UNION ALL SELECT *, 'day', CAST(CAST(ts AS DATE) AS VARCHAR) FROM events UNION ALL SELECT *, 'week', CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) FROM events UNION ALL SELECT *, 'version', CAST(1 + CAST(ts AS DATE) - DATE '2024-01-01' AS VARCHAR) FROM events)
+ SELECT unit, bucket, event_type AS score, round(avg(value), 6) AS mean, count(value) AS n FROM x GROUP BY ALL""")
 def qc_trend_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _runs(spark, sf_dir).groupBy(F.date_trunc("week", "day").cast("date").cast("string").alias("bucket"), "kpi").agg(F.round(F.avg("value"), 4).alias("mean"), F.count(F.lit(1)).alias("n"))
+    """Mean score by hour, day, week and version of the run."""
+    day = F.col("ts").cast("date")
+    buckets = {"hour": F.date_format(F.date_trunc("hour", F.col("ts")), "yyyy-MM-dd HH:mm:ss"), "day": day.cast("string"), "week": F.date_trunc("week", "ts").cast("date").cast("string"), "version": (F.date_diff(day, F.lit("2024-01-01").cast("date")) + 1).cast("string")}
+    units = F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), b.alias("bucket")) for u, b in buckets.items())))
+    rows = table(spark, sf_dir, "events").select(units.alias("u"), F.col("event_type").alias("score"), "value")
+    return rows.groupBy("u.unit", "u.bucket", "score").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n"))
 
 
-@query("A18, T29", """WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type FROM events WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 10)
- SELECT event_type AS finding, count(DISTINCT day) AS n_runs FROM e GROUP BY 1 HAVING count(DISTINCT day) >= 5""")
+SUGGESTIONS = {"error": "Check the extraction of failing sources.", "click": "Tighten the click rules."}
+NOTE_CHARS, NOTES = 120, 3
+
+
+@query("A18, T29", f"""WITH e AS (SELECT CAST(ts AS DATE) AS day, event_type, event_id, props FROM events WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 10),
+ c AS (SELECT event_type AS finding, count(DISTINCT day) AS n_runs FROM e GROUP BY 1 HAVING count(DISTINCT day) >= 5), n AS (SELECT event_type, substr(props, 1, {NOTE_CHARS}) AS note, row_number() OVER (PARTITION BY event_type ORDER BY day, event_id) AS rn FROM e WHERE props IS NOT NULL)
+ SELECT c.finding, c.n_runs, coalesce({_map(SUGGESTIONS)}[c.finding], 'Review the rule of this finding.') AS suggestion, coalesce(string_agg(note, ' | ' ORDER BY rn), '') AS notes FROM c LEFT JOIN n ON n.event_type = c.finding AND rn <= {NOTES} GROUP BY ALL""")
 def chronic_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), "event_type")
+    """Findings in at least half of the last ten runs, with a suggestion and their first three notes."""
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), "event_type", "event_id", "props")
     last = e.agg(F.max("day").alias("last"))  # one row
-    return e.join(F.broadcast(last), F.col("day") > F.date_sub("last", 10)).groupBy(F.col("event_type").alias("finding")).agg(F.countDistinct("day").alias("n_runs")).where("n_runs >= 5")
+    e = e.join(F.broadcast(last), F.col("day") > F.date_sub("last", 10))
+    chronic = e.groupBy(F.col("event_type").alias("finding")).agg(F.countDistinct("day").alias("n_runs")).where("n_runs >= 5")
+    first = Window.partitionBy("event_type").orderBy("day", "event_id")
+    notes = e.where("props IS NOT NULL").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= NOTES)
+    notes = notes.groupBy(F.col("event_type").alias("finding")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.substring("props", 1, NOTE_CHARS).alias("note")))), lambda x: x["note"]), " | ").alias("notes"))
+    from tidemark.functions.columns import mapping
+
+    suggestion = F.coalesce(F.try_element_at(mapping(SUGGESTIONS), F.col("finding")), F.lit("Review the rule of this finding."))
+    return chronic.join(notes, "finding", "left").select("finding", "n_runs", suggestion.alias("suggestion"), F.coalesce("notes", F.lit("")).alias("notes"))
 
 
 @query("A23, F-d8, S23", "SELECT CAST(CAST(ts - INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS day, event_type AS model, count(*) AS calls, round(sum(value), 4) AS tokens FROM events GROUP BY ALL")
@@ -149,14 +171,9 @@ def quota_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(quota, "model", "full_outer").select("model", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("quota", F.lit(0)).alias("quota"), F.greatest(F.coalesce("quota", F.lit(0)) - F.coalesce("used", F.lit(0)), F.lit(0)).cast("long").alias("remaining"))
 
 
-@query("A29, A31, A11", "SELECT event_type, count(*) FILTER (value >= 80) AS high, count(*) FILTER (value >= 40 AND value < 80) AS medium, count(*) FILTER (value < 40) AS low FROM events GROUP BY 1")
+@query("A31", "SELECT event_type, count(*) FILTER (value >= 80) AS high, count(*) FILTER (value >= 40 AND value < 80) AS medium, count(*) FILTER (value < 40) AS low FROM events GROUP BY 1")
 def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(v >= 80).alias("high"), F.count_if((v >= 40) & (v < 80)).alias("medium"), F.count_if(v < 40).alias("low"))
 
 
-@query("F-json1, F-json2", "SELECT event_type, count(*) AS n, count(props) AS n_props, count(DISTINCT props) AS kinds FROM events GROUP BY 1")
-def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("props").alias("n_props"), F.countDistinct("props").alias("kinds"))
-
-

@@ -13,6 +13,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: What each query covers of the operator inventory.
 COVERS: dict[str, str] = {}
+#: Entries without a query, and why.
+LEFT_OUT = {
+    "S8": "reads PDF files, for which nothing is installed; texts come from documents",
+    "S9": "as S8; a date from metadata is F-d4",
+    "S11": "downloads over a network",
+    "S12": "calls a language model",
+    "S18": "a driver-side spreadsheet; its sheets are findings_pivot, qc_record_scores, kpi_prev, quality_run and qc_findings",
+    "S20": "a driver-side document writer, for which nothing is installed",
+    "S22": "caching is Spark's own: df.cache()",
+    "T9": "calls language models in turn",
+    "T24": "calls a language model",
+    "M9": "locks a user interface",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -42,21 +42,13 @@ ranked AS (SELECT *, first_value(record_id) OVER (PARTITION BY dedupe_key ORDER
    count(*) OVER (PARTITION BY dedupe_key) AS group_size FROM keyed) """
 
 
-@query("P19, A27", """SELECT count(*) AS n_records, count(*) FILTER (review_status = 'Pending') AS n_pending, count(*) FILTER (priority = 'High') AS n_high,
- CAST(max(created_at) AS VARCHAR) AS latest FROM records""", on_records=True)
+@query("P19", _SCORED + """SELECT count(*) AS n_records, count(DISTINCT dedupe_key) AS n_canonical, count(*) FILTER (review_status = 'Pending') AS n_pending, count(*) FILTER (priority = 'High') AS n_high,
+ CAST(max(created_at) AS VARCHAR) AS latest FROM keyed""", on_records=True)
 def home_kpis(r: DataFrame) -> DataFrame:
-    return r.agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.col("review_status") == "Pending").alias("n_pending"), F.count_if(F.col("priority") == "High").alias("n_high"), F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss").alias("latest"))
-
-
-@query("P6, P9, O2, O3", """SELECT record_id, title, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, record_id) AS rn FROM records
- WHERE review_status = 'Approved' AND priority IN ('High', 'Medium') AND publish_date BETWEEN DATE '2024-01-05' AND DATE '2024-02-20'
-   AND len(list_intersect(topics, ['Market & Competition', 'Regulatory & Safety'])) > 0
-   AND contains(lower(translate(title || ' ' || source_type || ' ' || array_to_string(keywords, ' '), ',', ' ')), 'ev')) WHERE rn <= 50""", on_records=True)
-def filter_review_queue(r: DataFrame) -> DataFrame:
-    f = r.where((F.col("review_status") == "Approved") & F.col("priority").isin("High", "Medium") & F.col("publish_date").between("2024-01-05", "2024-02-20") & F.arrays_overlap("topics", texts(["Market & Competition", "Regulatory & Safety"])))
-    f = P.search(f, "EV", "title", "source_type", "keywords").orderBy(F.col("created_at").desc(), "record_id").limit(50)
-    # the page is bounded: at most 50 rows are numbered
-    return f.select("record_id", "title", F.row_number().over(Window.orderBy(F.col("created_at").desc(), "record_id")).alias("place"))
+    """Counts of a record store; a key's canonical record is the one that is no duplicate."""
+    keyed = r.select("review_status", "priority", "created_at", D.dedupe_key().alias("key"))
+    per = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("review_status") == "Pending").alias("p"), F.count_if(F.col("priority") == "High").alias("h"), F.max("created_at").alias("t"))
+    return per.agg(F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_canonical"), F.sum("p").alias("n_pending"), F.sum("h").alias("n_high"), F.date_format(F.max("t"), "yyyy-MM-dd HH:mm:ss").alias("latest"))
 
 
 @query("P7, P9", """SELECT record_id, CAST(publish_date AS VARCHAR) AS publish_date FROM records WHERE publish_date IS NOT NULL AND publish_date BETWEEN DATE '2024-01-10' AND DATE '2024-02-10'
@@ -93,35 +85,43 @@ def closure_and_uncertainty(r: DataFrame) -> DataFrame:
     return r.select("record_id", closure.alias("closure_signal"), uncertain.alias("uncertain"))
 
 
-@query("J4, P8", """SELECT record_id FROM records WHERE doc_id % 7 <> 0 AND review_status = 'Approved' AND publish_date IS NOT NULL""", on_records=True)
-def anti_not_briefed(r: DataFrame) -> DataFrame:
-    history = r.where("doc_id % 7 = 0").select("record_id")
-    return r.where((F.col("review_status") == "Approved") & F.col("publish_date").isNotNull()).join(history, "record_id", "left_anti").select("record_id")
+#: A record is in its publisher's brief if it is approved and of high priority or confidence, and in the digest if it is share-ready.
+_IN_BRIEF = "review_status = 'Approved' AND (priority = 'High' OR confidence = 'High')"
+_IN_DIGEST = "priority = 'High' AND confidence = 'High'"
+_BRIEFS = f"""b AS (SELECT 'brief-' || source_type AS brief_id, record_id, created_at, topics FROM records WHERE {_IN_BRIEF} UNION ALL SELECT 'digest', record_id, created_at, topics FROM records WHERE {_IN_DIGEST})"""
 
 
 def _briefs(r: DataFrame) -> DataFrame:
-    """(brief_id, pos, record_id): each brief takes the records of one day's remainder, in order."""
-    return r.where("doc_id % 7 = 0").select(F.concat(F.lit("brief-"), (F.col("doc_id") % 5).cast("string")).alias("brief_id"), F.floor(F.col("doc_id") / 35).alias("pos"), "record_id").unionByName(r.where("doc_id % 21 = 0").select(F.lit("brief-x").alias("brief_id"), F.floor(F.col("doc_id") / 21).alias("pos"), "record_id"))
+    """(brief_id, record_id, created_at, topics) of all briefs."""
+    columns = ["record_id", "created_at", "topics"]
+    return r.where(_IN_BRIEF).select(F.concat(F.lit("brief-"), "source_type").alias("brief_id"), *columns).unionByName(r.where(_IN_DIGEST).select(F.lit("digest").alias("brief_id"), *columns))
+
+
+@query("J4, P8", f"""SELECT record_id FROM records WHERE NOT ({_IN_BRIEF}) AND NOT ({_IN_DIGEST}) AND review_status = 'Approved' AND publish_date BETWEEN DATE '2024-01-05' AND DATE '2024-02-20'
+ AND len(list_intersect(topics, ['Market & Competition', 'Regulatory & Safety', 'Supply Chain & Manufacturing'])) > 0""", on_records=True)
+def anti_not_briefed(r: DataFrame) -> DataFrame:
+    """Approved records of a range of days and some topics that are in no brief yet."""
+    wanted = (F.col("review_status") == "Approved") & F.col("publish_date").between("2024-01-05", "2024-02-20") & F.arrays_overlap("topics", texts(["Market & Competition", "Regulatory & Safety", "Supply Chain & Manufacturing"]))
+    return r.where(wanted).join(_briefs(r).select("record_id"), "record_id", "left_anti").select("record_id")
 
 
-@query("J3, J5, U3, T32, W14", """WITH b AS (SELECT 'brief-' || (doc_id % 5) AS brief_id, record_id FROM records WHERE doc_id % 7 = 0 UNION ALL SELECT 'brief-x', record_id FROM records WHERE doc_id % 21 = 0),
- m AS (SELECT record_id, list_sort(list(brief_id)) AS briefs FROM b GROUP BY 1)
+@query("J3, J5, T32, W14", f"""WITH {_BRIEFS}, m AS (SELECT record_id, list_sort(list(brief_id)) AS briefs FROM b GROUP BY 1)
  SELECT r.record_id, CAST(coalesce(len(m.briefs), 0) AS INTEGER) AS n_briefs, m.briefs[len(m.briefs)] AS latest_brief,
   CASE WHEN m.briefs IS NULL THEN '' ELSE array_to_string(m.briefs[1:1], '; ') || CASE WHEN len(m.briefs) > 1 THEN '; +' || (len(m.briefs) - 1) || ' more' ELSE '' END END AS label
  FROM records r LEFT JOIN m ON m.record_id = r.record_id""", on_records=True)
 def brief_membership(r: DataFrame) -> DataFrame:
-    m = _briefs(r).groupBy("record_id").agg(F.array_sort(F.collect_list("brief_id")).alias("briefs"))
+    m = _briefs(r).groupBy("record_id").agg(F.array_sort(F.collect_list("brief_id")).alias("briefs"))  # at most two
     n = F.coalesce(F.size("briefs"), F.lit(0))
     label = F.when(F.col("briefs").isNull(), "").otherwise(F.concat(F.array_join(F.slice("briefs", 1, 1), "; "), F.when(n > 1, F.concat(F.lit("; +"), (n - 1).cast("string"), F.lit(" more"))).otherwise("")))
     return r.join(m, "record_id", "left").select("record_id", F.when(F.col("briefs").isNull(), 0).otherwise(n).alias("n_briefs"), F.try_element_at("briefs", F.lit(-1)).alias("latest_brief"), label.alias("label"))
 
 
-@query("J5, P17, J18", """WITH b AS (SELECT 'brief-' || (doc_id % 5) AS brief_id, doc_id, record_id, topics[1] AS topic FROM records WHERE doc_id % 7 = 0),
- ids AS (SELECT brief_id, doc_id, record_id FROM b UNION ALL SELECT brief_id, doc_id + 1, 'missing-' || doc_id FROM b WHERE doc_id % 2 = 1)
+@query("J5", f"""WITH {_BRIEFS}, ids AS (SELECT brief_id, record_id, topics[1] AS topic FROM b UNION ALL SELECT brief_id, 'gone-' || record_id, NULL FROM b WHERE list_contains(topics, 'Regulatory & Safety'))
  SELECT i.brief_id, count(*) AS n_ids, count(r.record_id) AS n_found, count(*) - count(r.record_id) AS n_missing, count(DISTINCT r.topics[1]) AS n_topics FROM ids i LEFT JOIN records r ON r.record_id = i.record_id GROUP BY 1""", on_records=True)
 def brief_resolution(r: DataFrame) -> DataFrame:
-    b = r.where("doc_id % 7 = 0").select(F.concat(F.lit("brief-"), (F.col("doc_id") % 5).cast("string")).alias("brief_id"), "record_id", "doc_id")
-    ids = b.select("brief_id", "record_id").unionByName(b.where("doc_id % 2 = 1").select("brief_id", F.concat(F.lit("missing-"), F.col("doc_id").cast("string")).alias("record_id")))
+    """How many of a brief's ids are records, and how many are lost."""
+    b = _briefs(r)
+    ids = b.select("brief_id", "record_id").unionByName(b.where(F.array_contains("topics", "Regulatory & Safety")).select("brief_id", F.concat(F.lit("gone-"), "record_id").alias("record_id")))
     found = r.select("record_id", F.lit(1).alias("there"), F.try_element_at("topics", F.lit(1)).alias("topic"))
     return ids.join(found, "record_id", "left").groupBy("brief_id").agg(F.count(F.lit(1)).alias("n_ids"), F.count("there").alias("n_found"), F.count_if(F.col("there").isNull()).alias("n_missing"), F.countDistinct("topic").alias("n_topics"))
 
@@ -157,12 +157,12 @@ def dedupe_keys(r: DataFrame) -> DataFrame:
 
 @query("T18, W1, A28", _SCORED + "SELECT record_id, dedupe_key, group_size FROM ranked WHERE record_id = canonical_id", on_records=True)
 def dedupe_canonical(r: DataFrame) -> DataFrame:
-    return D.ranked(r).where(~F.col("is_duplicate")).select("record_id", "dedupe_key", "group_size")
+    return D.canonical(r).select("record_id", "dedupe_key", "group_size")
 
 
-@query("T18, A28, U2", _SCORED + ", s AS (SELECT dedupe_key, array_to_string(list_sort(list(DISTINCT source_type)), ', ') AS sources FROM ranked GROUP BY 1) SELECT record_id, canonical_id, sources FROM ranked JOIN s ON s.dedupe_key = ranked.dedupe_key WHERE record_id <> canonical_id", on_records=True)
+@query("T18, A28", _SCORED + ", s AS (SELECT dedupe_key, array_to_string(list_sort(list(DISTINCT source_type)), ', ') AS sources FROM ranked GROUP BY 1) SELECT record_id, canonical_id, sources FROM ranked JOIN s ON s.dedupe_key = ranked.dedupe_key WHERE record_id <> canonical_id", on_records=True)
 def dedupe_duplicates(r: DataFrame) -> DataFrame:
-    return D.ranked(r).where("is_duplicate").select("record_id", "canonical_id", "sources")
+    return D.duplicates(r)
 
 
 @query("A27", _SCORED + """SELECT count(*) AS n_input, count(*) FILTER (record_id = canonical_id) AS n_canonical, count(*) FILTER (record_id <> canonical_id) AS n_duplicates,
@@ -171,28 +171,23 @@ def dedupe_stats(r: DataFrame) -> DataFrame:
     return D.stats(r)
 
 
-@query("T21, O1, O5", _SCORED + f"""SELECT record_id, priority = 'High' AND confidence = 'High' AS share_ready, publisher_score, confidence_score, completeness FROM ranked
- WHERE record_id = canonical_id AND review_status = 'Approved' AND coalesce(publish_date, CAST(created_at AS DATE)) >= DATE '{AS_OF}' - 45""", on_records=True)
+@query("T21, O1, U2", _SCORED + f"""SELECT record_id, record_id <> canonical_id AS is_duplicate, priority = 'High' AND confidence = 'High' AS share_ready, publisher_score, confidence_score, completeness FROM ranked
+ WHERE review_status <> 'Disapproved' AND coalesce(publish_date, CAST(created_at AS DATE)) >= DATE '{AS_OF}' - 45""", on_records=True)
 def weekly_candidates(r: DataFrame) -> DataFrame:
-    c = D.ranked(r).where(~F.col("is_duplicate")).where((F.col("review_status") == "Approved") & P.within_days(AS_OF, 45))
-    return c.select("record_id", P.share_ready().alias("share_ready"), "publisher_score", "confidence_score", "completeness").orderBy(F.desc("share_ready"), F.desc("publisher_score"), F.desc("confidence_score"), F.desc("completeness"), "record_id")
+    """Records of the last 45 days that are not disapproved, canonical ones and the others after one another, each best first."""
+    best = D.groups(r).select(F.col("best.record_id").alias("record_id"), F.lit(False).alias("is_duplicate"))
+    rest = D.duplicates(r).select("record_id", F.lit(True).alias("is_duplicate"))
+    c = D.scored(r).where((F.col("review_status") != "Disapproved") & P.within_days(AS_OF, 45)).join(best.unionByName(rest), "record_id")
+    return c.select("record_id", "is_duplicate", P.share_ready().alias("share_ready"), "publisher_score", "confidence_score", "completeness").orderBy("is_duplicate", F.desc("share_ready"), F.desc("publisher_score"), F.desc("confidence_score"), F.desc("completeness"), "record_id")
 
 
 @query("O5", _SCORED + """SELECT record_id, priority, confidence FROM (SELECT *, row_number() OVER (ORDER BY CASE priority WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, CASE confidence WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END, record_id) AS rn FROM ranked WHERE record_id = canonical_id) WHERE rn <= 20""", on_records=True)
 def brief_cap(r: DataFrame) -> DataFrame:
     rank = lambda c: F.when(F.col(c) == "High", 0).when(F.col(c) == "Medium", 1).otherwise(2)
-    return D.ranked(r).where(~F.col("is_duplicate")).orderBy(rank("priority"), rank("confidence"), "record_id").limit(20).select("record_id", "priority", "confidence")
-
-
-@query("J12, M10", """WITH f AS (SELECT record_id, created_at, lower(title) AS t FROM records)
- SELECT record_id, CASE WHEN rn = 1 THEN 'saved' ELSE 'skipped' END AS outcome, first_id FROM (SELECT record_id, row_number() OVER (PARTITION BY t ORDER BY created_at, record_id) AS rn, first_value(record_id) OVER (PARTITION BY t ORDER BY created_at, record_id) AS first_id FROM f)""", on_records=True)
-def bulk_ingest_outcome(r: DataFrame) -> DataFrame:
-    t = r.select("record_id", "created_at", F.lower("title").alias("t"))
-    first = t.groupBy("t").agg(F.min_by("record_id", F.struct("created_at", "record_id")).alias("first_id"))
-    return t.join(first, t.t.eqNullSafe(first.t)).select("record_id", F.when(F.col("record_id") == F.col("first_id"), "saved").otherwise("skipped").alias("outcome"), "first_id")
+    return D.canonical(r).orderBy(rank("priority"), rank("confidence"), "record_id").limit(20).select("record_id", "priority", "confidence")
 
 
-@query("M1, M2, P20, F-json3", """SELECT record_id, CASE WHEN doc_id % 3 = 0 THEN 'Approved' ELSE review_status END AS review_status,
+@query("M1", """SELECT record_id, CASE WHEN doc_id % 3 = 0 THEN 'Approved' ELSE review_status END AS review_status,
  CASE WHEN doc_id % 3 = 0 AND review_status <> 'Approved' THEN '{"after":"Approved","before":"' || review_status || '","field":"review_status"}' END AS mutation FROM records""", on_records=True)
 def status_update(r: DataFrame) -> DataFrame:
     new = F.when(F.col("doc_id") % 3 == 0, "Approved").otherwise(F.col("review_status"))
@@ -200,7 +195,7 @@ def status_update(r: DataFrame) -> DataFrame:
     return r.select("record_id", new.alias("review_status"), log.alias("mutation"))
 
 
-@query("M3, U7", """SELECT count(*) AS n_left, count(DISTINCT CAST(created_at AS DATE)) AS n_days FROM records WHERE CAST(created_at AS DATE) <> DATE '2024-01-01' OR doc_id % 2 = 0""", on_records=True)
+@query("U7", """SELECT count(*) AS n_left, count(DISTINCT CAST(created_at AS DATE)) AS n_days FROM records WHERE CAST(created_at AS DATE) <> DATE '2024-01-01' OR doc_id % 2 = 0""", on_records=True)
 def delete_by_day(r: DataFrame) -> DataFrame:
     doomed = r.where((F.col("created_at").cast("date") == "2024-01-01") & (F.col("doc_id") % 2 != 0)).select("record_id")
     return r.join(doomed, "record_id", "left_anti").agg(F.count(F.lit(1)).alias("n_left"), F.countDistinct(F.col("created_at").cast("date")).alias("n_days"))
@@ -233,20 +228,21 @@ def title_functions(r: DataFrame) -> DataFrame:
     return r.select("record_id", F.substring(F.sha1(t), 1, 12).alias("short_hash"), F.when(F.length(t) > 40, F.concat(F.rtrim(F.substring(t, 1, 37)), F.lit("..."))).otherwise(t).alias("preview"), plain_text(t).alias("norm"), F.size(keyword_set(t, V.KEYWORD_STOPWORDS)).alias("n_terms"))
 
 
-@query("F-d7, F-d8, F-d10, F-d11, F-d12", """SELECT record_id, CAST(CAST(created_at - INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS pacific_day, CAST(CAST(date_trunc('week', created_at) AS DATE) AS VARCHAR) AS week, strftime(created_at, '%Y-%m-%d %H:%M') AS friendly FROM records""", on_records=True)
+@query("F-d7, F-d8, F-d12", """SELECT record_id, CAST(CAST(created_at - INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS pacific_day, CAST(CAST(created_at - INTERVAL 8 HOUR AS DATE) AS VARCHAR) AS quota_day, CAST(CAST(date_trunc('week', created_at) AS DATE) AS VARCHAR) AS week, strftime(created_at, '%Y-%m-%d %H:%M') AS friendly FROM records""", on_records=True)
 def date_functions(r: DataFrame) -> DataFrame:
     c = F.col("created_at")
-    return r.select("record_id", (c - F.expr("INTERVAL '8' HOUR")).cast("date").cast("string").alias("pacific_day"), F.date_trunc("week", c).cast("date").cast("string").alias("week"), F.date_format(c, "yyyy-MM-dd HH:mm").alias("friendly"))
+    pacific = F.convert_timezone(F.lit("UTC"), F.lit("America/Los_Angeles"), c)  # the records' days are winter days
+    return r.select("record_id", pacific.cast("date").cast("string").alias("pacific_day"), (c - F.expr("INTERVAL '8' HOUR")).cast("date").cast("string").alias("quota_day"), F.date_trunc("week", c).cast("date").cast("string").alias("week"), F.date_format(c, "yyyy-MM-dd HH:mm").alias("friendly"))
 
 
-@query("A16, A19, O9, U1", """SELECT topics[1] AS topic, count(*) AS n, count(*) FILTER (priority = 'High') AS n_high FROM records GROUP BY 1 ORDER BY n DESC, topic LIMIT 5""", on_records=True)
+@query("O9", """SELECT topics[1] AS topic, count(*) AS n, count(*) FILTER (priority = 'High') AS n_high FROM records GROUP BY 1 ORDER BY n DESC, topic LIMIT 5""", on_records=True)
 def top_topics(r: DataFrame) -> DataFrame:
     return r.groupBy(F.try_element_at("topics", F.lit(1)).alias("topic")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("priority") == "High").alias("n_high")).orderBy(F.desc("n"), "topic").limit(5)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct canonical stories of each topic."""
-    c = D.ranked(story_records(spark, sf_dir)).where(~F.col("is_duplicate"))
+    c = D.canonical(story_records(spark, sf_dir))
     return c.select("record_id", F.explode("topics").alias("topic")).groupBy("topic").agg(F.countDistinct("record_id").alias("n_stories")).orderBy(F.desc("n_stories"), "topic")
 
 

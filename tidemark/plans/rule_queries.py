@@ -22,6 +22,10 @@ def _like(text: str, patterns: list[str]) -> str:
     return "(" + " OR ".join(f"regexp_matches({text}, '{bounded(p)}')" for p in patterns) + ")"
 
 
+def _coalesced(condition: str) -> str:
+    return f"coalesce({condition}, false)"
+
+
 def _overlap(a: str, values: list[str]) -> str:
     return f"(len(list_intersect({a}, {_list(values)})) > 0)"
 
@@ -39,7 +43,7 @@ def priority_rules(r: DataFrame) -> DataFrame:
     return r.select("record_id", value.alias("priority_final"), reason.alias("reason"))
 
 
-@query("A16, F-map1, F-s26", _FLAGS + "SELECT upper(reason[1:1]) || replace(reason[2:], '_', ' ') AS rule, count(*) AS n FROM ruled WHERE reason IS NOT NULL GROUP BY 1 ORDER BY n DESC, rule LIMIT 10", on_records=True)
+@query("F-s26", _FLAGS + "SELECT upper(reason[1:1]) || replace(reason[2:], '_', ' ') AS rule, count(*) AS n FROM ruled WHERE reason IS NOT NULL GROUP BY 1 ORDER BY n DESC, rule LIMIT 10", on_records=True)
 def rule_impact(r: DataFrame) -> DataFrame:
     reason = R.priority()[1]
     label = F.concat(F.upper(F.substring("reason", 1, 1)), F.replace(F.expr("substring(reason, 2)"), F.lit("_"), F.lit(" ")))
@@ -78,12 +82,12 @@ def _theme_sql() -> str:
 _THEMES = _theme_sql()
 
 
-@query("T13, F-map2, F-map3", _THEMES + "SELECT record_id, array_to_string(themes, '; ') AS themes, array_to_string(list_filter(ru, lambda x, i: list_position(ru, x) = i), '; ') AS rollups, CAST(strength AS INTEGER) AS strength FROM th", on_records=True)
+@query("T13", _THEMES + "SELECT record_id, array_to_string(themes, '; ') AS themes, array_to_string(list_filter(ru, lambda x, i: list_position(ru, x) = i), '; ') AS rollups, CAST(strength AS INTEGER) AS strength FROM th", on_records=True)
 def theme_tags(r: DataFrame) -> DataFrame:
     return R.themes(r).select("record_id", F.array_join("themes", "; ").alias("themes"), F.array_join("rollups", "; ").alias("rollups"), "strength")
 
 
-@query("T31, A26", _THEMES + "SELECT theme, count(*) AS n, CAST(max(strength) AS INTEGER) AS strongest FROM (SELECT unnest(themes) AS theme, strength FROM th) GROUP BY 1", on_records=True)
+@query("T13", _THEMES + "SELECT theme, count(*) AS n, CAST(max(strength) AS INTEGER) AS strongest FROM (SELECT unnest(themes) AS theme, strength FROM th) GROUP BY 1", on_records=True)
 def theme_rollups(r: DataFrame) -> DataFrame:
     return R.themes(r).select(F.explode("themes").alias("theme"), "strength").groupBy("theme").agg(F.count(F.lit(1)).alias("n"), F.max("strength").alias("strongest"))
 
@@ -99,18 +103,12 @@ def theme_escalation(r: DataFrame) -> DataFrame:
 _CONF = "2 * CAST(publish_date IS NOT NULL AS INTEGER) + 2 * CAST(source_type <> 'Other' AS INTEGER) + CASE WHEN len(evidence) >= 3 THEN 2 WHEN len(evidence) = 2 THEN 1 ELSE 0 END + CAST(len(insights) >= 2 AS INTEGER) - CAST(floor((n % 5) / 3.0) AS INTEGER) - CAST(n % 11 = 0 AS INTEGER)"
 
 
-@query("T15, T33", f"SELECT record_id, CAST({_CONF} AS INTEGER) AS score, CASE WHEN {_CONF} >= 7 THEN 'High' WHEN {_CONF} >= 4 THEN 'Medium' ELSE 'Low' END AS level FROM records", on_records=True)
+@query("T15", f"SELECT record_id, CAST({_CONF} AS INTEGER) AS score, CASE WHEN {_CONF} >= 7 THEN 'High' WHEN {_CONF} >= 4 THEN 'Medium' ELSE 'Low' END AS level FROM records", on_records=True)
 def confidence_score(r: DataFrame) -> DataFrame:
     score, level = R.confidence(F.col("n") % 5, F.col("n") % 11 == 0)
     return r.select("record_id", score.cast("int").alias("score"), level.alias("level"))
 
 
-@query("T16, F-arr2", f"""SELECT record_id, array_to_string(list_filter([CASE WHEN NOT list_contains({_list(V.SOURCE_TYPES)}, source_type) THEN 'source_type' END, CASE WHEN len(topics) NOT BETWEEN 1 AND 4 THEN 'topics_count' END,
- CASE WHEN len(keywords) NOT BETWEEN 3 AND 15 THEN 'keywords_count' END, CASE WHEN len(evidence) NOT BETWEEN 2 AND 4 THEN 'evidence_count' END, CASE WHEN len(insights) NOT BETWEEN 2 AND 4 THEN 'insights_count' END], lambda x: x IS NOT NULL), '; ') AS errors FROM records""", on_records=True)
-def validate_records(r: DataFrame) -> DataFrame:
-    return r.select("record_id", F.array_join(R.errors(), "; ").alias("errors"))
-
-
 _NAME = f"{_map(V.COMPANY_NAMES)}"
 _NORM = "list_transform(companies, lambda c: trim(regexp_replace(lower(c), '[^a-z0-9]+', ' ', 'g')))"
 _CAN = f"list_filter(list_transform(companies, lambda c: {_NAME}[lower(c)]), lambda x: x IS NOT NULL)"
@@ -136,7 +134,7 @@ _FOUND = (
 )
 
 
-@query("T25, U1, J14, J15, J16", _FOUND + "SELECT * FROM f", on_records=True)
+@query("T25, U1, J14, J16", _FOUND + "SELECT * FROM f", on_records=True)
 def qc_findings(r: DataFrame) -> DataFrame:
     return Q.findings(r)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
-from tidemark.functions.columns import bounded, first_date
+from tidemark.functions.columns import bounded
 from tidemark.operators import chunking as K
 from tidemark.operators import cleaning as C
 from tidemark.operators.dedupe import dedupe_key
@@ -22,18 +22,19 @@ def _q(pattern: str) -> str:
 def _reasons_sql(source: str) -> str:
     groups = " ".join(f"WHEN {' OR '.join(f'''regexp_matches(line, '{_q(bounded(p))}')''' for p in ps)} THEN '{g}'" for g, ps in V.JUNK_PATTERNS.items())
     return rf"""WITH src AS ({source}),
- l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([A-Za-z])-\r?\n([A-Za-z])', '\1\2', 'g'), '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\n\f]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM src),
- e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS idx FROM l),
+ l AS (SELECT doc_id, length(coalesce(text, '')) AS raw, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([A-Za-z])-[ \t\r\n\f]*\n[ \t\r\n\f]*([A-Za-z])', '\1\2', 'g'), '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\n\f]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM src),
+ e AS (SELECT doc_id, raw, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS idx FROM l),
  c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_lines, count(*) OVER (PARTITION BY doc_id, line) AS n_same, len(list_filter(string_split(line, ' '), lambda w: w <> '')) AS words, replace(line, ' ', '') AS solid, regexp_replace(line, '[^A-Za-z]+', ' ', 'g') AS letters FROM e),
- r AS (SELECT *, CASE WHEN n_same >= greatest(3, floor(n_lines * 0.015)) AND words <= 12 THEN 'repeated_header_footer' WHEN regexp_matches(line, '{_q(C.PAGE_NUMBER)}') THEN 'page_number'
-   WHEN len(regexp_extract_all(line, '{_q(C.URL_MARK)}')) >= 2 THEN 'link_heavy' WHEN idx > 10 AND regexp_matches(line, '{_q(C.BARE_URL)}') THEN 'link_heavy'
-   WHEN length(regexp_replace(solid, '\p{{L}}', '', 'g')) / greatest(length(solid), 1)::DOUBLE > 0.35 AND NOT (regexp_matches(line, '[0-9]') AND contains(line, '|')) AND NOT regexp_matches(line, '{_q(C.STAMP)}') THEN 'symbol_heavy'
-   {groups} WHEN regexp_matches(line, '{_q(C.CREDIT)}') AND words < 8 THEN 'image_credit_short' END AS early FROM c),
+ r AS (SELECT *, CASE WHEN n_same >= greatest(3, floor(n_lines * 0.015)) AND words <= 12 THEN 'repeated_header_footer' WHEN regexp_matches(line, '{_q(V.PAGE_NUMBER)}') THEN 'page_number'
+   WHEN len(regexp_extract_all(line, '{_q(V.URL_MARK)}')) >= 2 THEN 'link_heavy' WHEN idx > 10 AND regexp_matches(line, '{_q(V.BARE_URL)}') THEN 'link_heavy'
+   WHEN length(regexp_replace(solid, '\p{{L}}', '', 'g')) / greatest(length(solid), 1)::DOUBLE > 0.35 AND NOT (regexp_matches(line, '[0-9]') AND contains(line, '|')) AND NOT regexp_matches(line, '{_q(V.STAMP)}') THEN 'symbol_heavy'
+   {groups} WHEN regexp_matches(line, '{_q(V.CREDIT)}') AND words < 8 THEN 'image_credit_short' END AS early FROM c),
  m AS (SELECT *, early IS NULL AND len(list_filter(string_split(letters, ' '), lambda w: w <> '')) BETWEEN 1 AND 6 AND length(line) <= 60 AND upper(letters) = letters AS menu FROM r),
  f AS (SELECT *, min(CASE WHEN menu AND idx < 20 THEN idx END) OVER (PARTITION BY doc_id) AS first_menu FROM m),
- reasons AS (SELECT doc_id, idx, line, coalesce(early, CASE WHEN menu AND NOT coalesce(idx = first_menu, false) THEN 'short_allcaps_menu' WHEN regexp_matches(line, '{_q(C.BYLINE)}') AND words <= 8 THEN 'byline' END) AS reason FROM f),
- meta AS (SELECT doc_id, count(*) AS n_lines, count(reason) AS n_removed, CAST(sum(length(line)) AS BIGINT) AS raw_chars, CAST(coalesce(sum(length(line)) FILTER (reason IS NOT NULL), 0) AS BIGINT) AS removed_chars,
-   coalesce(array_to_string(list_sort(list(DISTINCT reason) FILTER (reason IS NOT NULL)), ','), '') AS reasons, coalesce(string_agg(line, chr(10) ORDER BY idx) FILTER (reason IS NULL), '') AS clean_text FROM reasons GROUP BY 1) """
+ reasons AS (SELECT doc_id, raw, idx, line, coalesce(early, CASE WHEN menu AND NOT coalesce(idx = first_menu, false) THEN 'short_allcaps_menu' WHEN regexp_matches(line, '{_q(V.BYLINE)}') AND words <= 8 THEN 'byline' END) AS reason FROM f),
+ meta AS (SELECT doc_id, count(*) AS n_lines, count(reason) AS n_removed, CAST(max(raw) AS BIGINT) AS raw_chars,
+   coalesce(array_to_string(list_sort(list(DISTINCT reason) FILTER (reason IS NOT NULL)), ','), '') AS reasons, coalesce(string_agg(line, chr(10) ORDER BY idx) FILTER (reason IS NULL), '') AS clean_text FROM reasons GROUP BY 1),
+ cleaned AS (SELECT *, greatest(0, raw_chars - length(clean_text)) AS removed_chars, removed_chars / greatest(raw_chars, 1)::DOUBLE AS ratio FROM meta) """
 
 
 _DOCS = _reasons_sql("SELECT doc_id, text FROM documents")
@@ -52,13 +53,13 @@ def line_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@query("T1, T2", _DOCS + "SELECT doc_id, n_lines, n_removed, raw_chars, removed_chars, reasons, md5(clean_text) AS clean_md5 FROM meta")
+@query("T1", _DOCS + "SELECT doc_id, n_lines, n_removed, raw_chars, removed_chars, reasons, md5(clean_text) AS clean_md5 FROM cleaned")
 def clean_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = C.clean_meta(C.line_reasons(table(spark, sf_dir, "documents")))
     return m.select("doc_id", "n_lines", "n_removed", "raw_chars", "removed_chars", "reasons", F.md5("clean_text").alias("clean_md5"))
 
 
-@query("T1 on pages", _PAGES + "SELECT doc_id, n_lines, n_removed, raw_chars, removed_chars, reasons, md5(clean_text) AS clean_md5 FROM meta")
+@query("T1 on pages", _PAGES + "SELECT doc_id, n_lines, n_removed, raw_chars, removed_chars, reasons, md5(clean_text) AS clean_md5 FROM cleaned")
 def page_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = C.clean_meta(C.line_reasons(page_text(table(spark, sf_dir, "pages"))))
     return m.select("doc_id", "n_lines", "n_removed", "raw_chars", "removed_chars", "reasons", F.md5("clean_text").alias("clean_md5"))
@@ -70,18 +71,33 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("line").agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "line").limit(20)
 
 
-@query("T7, F-m1", _PAGES + """SELECT doc_id, round(removed_chars / greatest(raw_chars, 1)::DOUBLE, 3) AS removed_ratio, CASE WHEN removed_chars / greatest(raw_chars, 1)::DOUBLE > 0.18 OR n_removed > 250 THEN 'high' WHEN removed_chars / greatest(raw_chars, 1)::DOUBLE < 0.08 AND n_removed < 80 THEN 'low' ELSE 'normal' END AS noise_level FROM meta""")
+_NOISY = " OR ".join(f"list_contains(string_split(reasons, ','), '{p}')" for p in V.NOISE["high_patterns"])
+_LEVEL = f"""CASE WHEN ratio > {V.NOISE["high_ratio"]} OR n_removed > {V.NOISE["high_lines"]} OR {_NOISY} THEN 'high' WHEN ratio < {V.NOISE["low_ratio"]} AND n_removed < {V.NOISE["low_lines"]} THEN 'low' ELSE 'normal' END"""
+
+
+@query("T7, F-m1", _PAGES + f"""SELECT doc_id, round(ratio, 3) AS removed_ratio, {_LEVEL} AS noise_level, CASE WHEN {_LEVEL} = 'high' THEN 'strong' ELSE 'lite' END AS model, CAST(clean_text <> '' AS INTEGER) AS n_chunks, false AS chunked FROM cleaned""")
 def route_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.route(C.clean_meta(C.line_reasons(page_text(table(spark, sf_dir, "pages"))))).select("doc_id", "removed_ratio", "noise_level")
+    return C.route(C.clean_meta(C.line_reasons(page_text(table(spark, sf_dir, "pages"))))).select("doc_id", "removed_ratio", "noise_level", "model", "n_chunks", "chunked")
+
+
+@query("T2", _PAGES + f"""SELECT c.doc_id, md5(CASE WHEN length(trim(clean_text)) = 0 OR (length(clean_text) < {V.SHORT_CLEAN} AND length(text) >= {V.SHORT_CLEAN}) THEN text ELSE clean_text END) AS text_md5, clean_text = '' OR (length(clean_text) < {V.SHORT_CLEAN} AND length(text) >= {V.SHORT_CLEAN}) AS fell_back FROM cleaned c JOIN src ON src.doc_id = c.doc_id""")
+def clean_or_original(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned pages, or the original where cleaning left too little."""
+    pages = page_text(table(spark, sf_dir, "pages"))
+    both = C.clean_meta(C.line_reasons(pages)).select("doc_id", "clean_text").join(pages, "doc_id")
+    chosen = C.with_fallback(F.col("clean_text"), F.col("text"))
+    little = (F.col("clean_text") == "") | ((F.length("clean_text") < V.SHORT_CLEAN) & (F.length("text") >= V.SHORT_CLEAN))
+    return both.select("doc_id", F.md5(chosen).alias("text_md5"), little.alias("fell_back"))
 
 
 @query("T3", r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))[1:40] AS ls FROM documents), e AS (SELECT doc_id, trim(regexp_replace(unnest(ls), '[ \t\r\n\f]+', ' ', 'g')) AS line, generate_subscripts(ls, 1) AS idx FROM l),
- w AS (SELECT *, list_filter(string_split(line, ' '), lambda w: w <> '') AS ws FROM e), k AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Z]'))) AS up, len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Z]+$'))) AS shout FROM w)
- SELECT doc_id, arg_min(line, idx) AS title FROM k WHERE line <> '' AND NOT regexp_matches(line, '(?i)https?://|www\.') AND ((contains(line, ' - ') AND n BETWEEN 6 AND 30) OR (n BETWEEN 6 AND 20 AND up >= 0.55 * n AND shout < 0.7 * n)) GROUP BY 1""")
+ w AS (SELECT *, regexp_extract_all(line, '[A-Za-z][A-Za-z''-]*') AS ws, len(list_filter(string_split(line, ' '), lambda w: w <> '')) AS parts FROM e), k AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Z]'))) AS up, len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Z''-]+$'))) AS shout FROM w)
+ SELECT doc_id, arg_min(line, idx) AS title FROM k WHERE line <> '' AND NOT regexp_matches(line, '(?i)https?://|www\.') AND ((contains(line, ' - ') AND parts BETWEEN 6 AND 30) OR (n BETWEEN 6 AND 20 AND up >= 0.55 * n AND shout < 0.7 * n)) GROUP BY 1""")
 def detect_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.title_line(table(spark, sf_dir, "documents"))
 
 
+BROADCAST_WORDS = 200_000
 WATCH, TERMS = ["tionble", "lowe"], ["erst", "keit"]
 _ANY = lambda c, parts: "(" + " OR ".join(f"contains({c}, '{p}')" for p in parts) + ")"
 _MONTH = "(Jan|January|Feb|February|Mar|March|Apr|April|May|Jun|June|Jul|July|Aug|August|Sep|Sept|September|Oct|October|Nov|November|Dec|December)"
@@ -109,16 +125,7 @@ def context_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.select_chunks(_line_chunks(spark, sf_dir)).select("doc_id", "idx", "part")
 
 
-DATED = ["Filed 2024-02-30 and on 3 March 2024 again", "Feb 5, 2024 at the fair", "no date here", "on 12 Foo 2023, then Sept. 9, 2023", "2024-01-31", "31 Apr 2024"]
-
-
-@query("F-d1, F-d4, F-d5", "SELECT * FROM (VALUES (0, '2024-03-03'), (1, '2024-02-05'), (2, NULL), (3, '2023-09-09'), (4, '2024-01-31'), (5, NULL)) AS t(case_no, found)")
-def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(DATED)), "case_no int, text string")
-    return rows.select("case_no", first_date(F.col("text"), V.MONTHS).cast("string").alias("found"))
-
-
-@query("T10, A19, A20, A21, A22", """WITH v AS (SELECT conv_id, turn, role, text, CASE length(text) % 4 WHEN 0 THEN 'Other' WHEN 1 THEN 'Reuters' ELSE 'S&P' END AS source FROM conversations),
+@query("A19, A21, A22", """WITH v AS (SELECT conv_id, turn, role, text, CASE length(text) % 4 WHEN 0 THEN 'Other' WHEN 1 THEN 'Reuters' ELSE 'S&P' END AS source FROM conversations),
  k AS (SELECT conv_id, source, count(*) AS n, min(turn) AS first FROM v GROUP BY ALL), b AS (SELECT conv_id, source, row_number() OVER (PARTITION BY conv_id ORDER BY (source = 'Other'), n DESC, first) AS rn FROM k),
  t AS (SELECT conv_id, arg_min(text, turn) FILTER (trim(text) <> '') AS title, count(*) AS n_chunks, bool_or(role = 'system') AS has_system, max(struct_pack(r := length(text) % 3, d := turn)).d AS best_turn FROM v GROUP BY 1)
  SELECT t.conv_id, b.source, md5(t.title) AS title_md5, t.n_chunks, t.has_system, t.best_turn FROM t JOIN b ON b.conv_id = t.conv_id AND rn = 1""")
@@ -131,47 +138,7 @@ def chunk_merge_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest.join(choice, "conv_id").select("conv_id", "source", F.md5("title").alias("title_md5"), "n_chunks", "has_system", F.col("best.d").alias("best_turn"))
 
 
-_BRIEF = """WITH l AS (SELECT conv_id AS brief_id, turn AS line_no, CASE WHEN turn % 4 = 0 THEN CASE (turn // 4) % 3 WHEN 0 THEN 'EXECUTIVE SUMMARY' WHEN 1 THEN 'EMERGING TRENDS' ELSE 'APPENDIX' END END AS heading,
-   '- ' || substr(text, 1, 40) || CASE length(text) % 3 WHEN 0 THEN '' WHEN 1 THEN ' REC:r' || (conv_id % 9) ELSE ' rec # r' || (conv_id % 9) || ' REC:x1' END AS line FROM conversations),
- f AS (SELECT *, last_value(heading IGNORE NULLS) OVER (PARTITION BY brief_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section, list_distinct(regexp_extract_all(line, '(?i)REC *[:#] *([A-Za-z0-9_-]+)', 1)) AS refs FROM l) """
-
-
-def _brief_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, brief = F.length("text"), (F.col("conv_id") % 9).cast("string")
-    k = F.floor(F.col("turn") / 4) % 3
-    heading = F.when(F.col("turn") % 4 == 0, F.when(k == 0, "EXECUTIVE SUMMARY").when(k == 1, "EMERGING TRENDS").otherwise("APPENDIX"))
-    cite = F.when(n % 3 == 0, "").when(n % 3 == 1, F.concat(F.lit(" REC:r"), brief)).otherwise(F.concat(F.lit(" rec # r"), brief, F.lit(" REC:x1")))
-    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("brief_id"), F.col("turn").alias("line_no"), heading.alias("heading"), F.concat(F.lit("- "), F.substring("text", 1, 40), cite).alias("line"))
-    w = Window.partitionBy("brief_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    refs = F.array_distinct(F.regexp_extract_all("line", F.lit("(?i)REC *[:#] *([A-Za-z0-9_-]+)"), F.lit(1)))
-    return lines.withColumns({"section": F.last("heading", True).over(w), "refs": refs})
-
-
-@query("T26, T23, W9, F-s13, F-s15, J8", _BRIEF + f"""SELECT brief_id, line_no, section, CASE WHEN len(refs) > 0 AND len(list_filter(refs, lambda x: x <> 'r' || (brief_id % 9))) > 0 THEN 'rec_mismatch' WHEN len(refs) = 0 AND list_contains({_list(V.CLAIM_SECTIONS)}, section) THEN 'ungrounded_claim' END AS finding FROM f
- WHERE (len(refs) > 0 AND len(list_filter(refs, lambda x: x <> 'r' || (brief_id % 9))) > 0) OR (len(refs) = 0 AND list_contains({_list(V.CLAIM_SECTIONS)}, section))""")
-def brief_lines_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.concat(F.lit("r"), (F.col("brief_id") % 9).cast("string"))
-    bad = F.size(F.filter("refs", lambda x: x != own)) > 0
-    finding = F.when(bad, "rec_mismatch").when((F.size("refs") == 0) & F.col("section").isin(V.CLAIM_SECTIONS), "ungrounded_claim")
-    return _brief_lines(spark, sf_dir).select("brief_id", "line_no", "section", finding.alias("finding")).where("finding IS NOT NULL")
-
-
-@query("A13, T26", _BRIEF + f""", c AS (SELECT brief_id, count(*) FILTER (len(refs) > 0 AND len(list_filter(refs, lambda x: x <> 'r' || (brief_id % 9))) > 0) AS mismatch, count(*) FILTER (len(refs) = 0 AND list_contains({_list(V.CLAIM_SECTIONS)}, section)) AS ungrounded FROM f GROUP BY 1)
- SELECT brief_id, mismatch, ungrounded, greatest(0, 100 - 25 * (ungrounded + mismatch) - 20 * mismatch) AS score FROM c""")
-def brief_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.concat(F.lit("r"), (F.col("brief_id") % 9).cast("string"))
-    bad = F.size(F.filter("refs", lambda x: x != own)) > 0
-    c = _brief_lines(spark, sf_dir).groupBy("brief_id").agg(F.count_if(bad).alias("mismatch"), F.count_if((F.size("refs") == 0) & F.col("section").isin(V.CLAIM_SECTIONS)).alias("ungrounded"))
-    return c.withColumn("score", F.greatest(F.lit(0).cast("long"), 100 - 25 * (F.col("ungrounded") + F.col("mismatch")) - 20 * F.col("mismatch")))
-
-
-@query("F-s28", """SELECT conv_id, CAST(greatest(1, least(5, sum(regexp_matches(text, '(?i)(owner|sales|in the)')::INT + regexp_matches(text, '(?i)(month|week|next|and)')::INT + regexp_matches(text, '(?i)(draft|review|build|ing)')::INT))) AS INTEGER) AS specificity FROM conversations GROUP BY 1""")
-def action_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = sum((F.col("text").rlike(p).cast("int") for p in ("(?i)(owner|sales|in the)", "(?i)(month|week|next|and)", "(?i)(draft|review|build|ing)")), F.lit(0))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.greatest(F.lit(1), F.least(F.lit(5), F.sum(hits))).cast("int").alias("specificity"))
-
-
-@query("W4, W5, W11, W13, F-s21", """WITH n AS (SELECT doc_id, 'brief_' || (doc_id % 12) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '-v' || (doc_id % 7 + 2) END AS name FROM documents WHERE doc_id % 5 = 0),
+@query("W4, W5, W13, F-s21", """WITH n AS (SELECT doc_id, 'brief_' || (doc_id % 12) || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '-v' || (doc_id % 7 + 2) END AS name FROM documents),
  p AS (SELECT doc_id, regexp_extract(name, '^(.+?)(-v([0-9]+))?$', 1) AS family, CAST(coalesce(nullif(regexp_extract(name, '^(.+?)(-v([0-9]+))?$', 3), ''), '1') AS INTEGER) AS version FROM n),
  f AS (SELECT family, min(doc_id) AS first, max(version) AS latest FROM p GROUP BY 1), c AS (SELECT family, latest, 'BRIEF-' || lpad(CAST(row_number() OVER (ORDER BY first) AS VARCHAR), 3, '0') AS code FROM f)
  SELECT p.doc_id, c.code, p.version, CASE WHEN p.version < c.latest THEN 'superseded' ELSE 'final' END AS status, CAST(greatest(2, c.latest + 1) AS INTEGER) AS next_version FROM p JOIN c ON c.family = p.family""")
@@ -179,19 +146,13 @@ def brief_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     name = F.concat(F.lit("brief_"), (d % 12).cast("string"), F.when(d % 3 == 0, "").otherwise(F.concat(F.lit("-v"), (d % 7 + 2).cast("string"))))
     pattern = "^(.+?)(-v([0-9]+))?$"
-    p = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", F.regexp_extract(name, pattern, 1).alias("family"), F.coalesce(F.nullif(F.regexp_extract(name, pattern, 3), F.lit("")), F.lit("1")).cast("int").alias("version"))
+    p = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract(name, pattern, 1).alias("family"), F.coalesce(F.nullif(F.regexp_extract(name, pattern, 3), F.lit("")), F.lit("1")).cast("int").alias("version"))
     f = p.groupBy("family").agg(F.min("doc_id").alias("first"), F.max("version").alias("latest"))
     # a row for each family of briefs
     c = f.select("family", "latest", F.concat(F.lit("BRIEF-"), F.lpad(F.row_number().over(Window.orderBy("first")).cast("string"), 3, "0")).alias("code"))
     return p.join(c, "family").select("doc_id", "code", "version", F.when(F.col("version") < F.col("latest"), "superseded").otherwise("final").alias("status"), F.greatest(F.lit(2), F.col("latest") + 1).alias("next_version"))
 
 
-@query("S21, M8, J6, O10, S5", """WITH i AS (SELECT doc_id AS id FROM documents WHERE doc_id % 4 = 0), s AS (SELECT doc_id AS id FROM documents WHERE doc_id % 6 = 0) SELECT 'index_without_file' AS kind, count(*) AS n FROM (SELECT id FROM i EXCEPT SELECT id FROM s) UNION ALL SELECT 'file_without_index', count(*) FROM (SELECT id FROM s EXCEPT SELECT id FROM i)""")
-def orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    i, s = d.where("doc_id % 4 = 0"), d.where("doc_id % 6 = 0")
-    one = lambda kind, a, b: a.join(b, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return one("index_without_file", i, s).unionByName(one("file_without_index", s, i))
 
 
 def _titles(r: DataFrame) -> DataFrame:
@@ -216,9 +177,9 @@ def fuzzy_titles(r: DataFrame) -> DataFrame:
 
 @query("J11", on_records=True)
 def relink_ids(r: DataFrame) -> DataFrame:
-    """Old ids to new ones: by URL, else by title, else by similar title (0.93)."""
-    old = r.where("doc_id % 10 = 0").select(F.concat(F.lit("old-"), "record_id").alias("id"), "title", F.when(F.col("doc_id") % 20 == 0, F.col("url")).alias("url"))
-    new = r.where("doc_id % 10 <> 0")
+    """Ids of disapproved records to those of others: by URL, else by title, else by similar title (0.93)."""
+    old = r.where("review_status = 'Disapproved'").select(F.concat(F.lit("old-"), "record_id").alias("id"), "title", F.when(F.col("priority") != "Low", F.col("url")).alias("url"))
+    new = r.where("review_status <> 'Disapproved'")
     by_url = new.where("url IS NOT NULL").groupBy("url").agg(F.min("record_id").alias("u"))
     by_title = new.groupBy("title").agg(F.min("record_id").alias("t"))
     left = old.join(by_url, "url", "left").join(by_title, "title", "left")
@@ -231,36 +192,42 @@ def relink_ids(r: DataFrame) -> DataFrame:
 @query("T4, W8")
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence-bounded chunks of every document."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(K.packed("text")).alias("idx", "chunk"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(K.sentence_chunks(F.col("text"))).alias("idx", "chunk"))
     return d.select("doc_id", "idx", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
 @query("W7, T1")
 def overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that begin with the tail of the chunk before; lines are taken for paragraphs."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(K.overlapped(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("idx", "chunk"))
+    """Chunks with a header that begin with the tail of the chunk before; lines are taken for paragraphs."""
+    docs = table(spark, sf_dir, "documents")
+    titled = docs.select("doc_id", "text").join(C.title_line(docs), "doc_id", "left")
+    d = titled.select("doc_id", F.posexplode(K.overlap_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.coalesce("title", F.lit("")), 1500, 200)).alias("idx", "chunk"))
     return d.select("doc_id", "idx", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
-@query("T6", None)
+_HEAD, _TAIL = "'TITLE: ' || chr(10) || chr(10) || 'DOC_HEADER_CHUNKS:'", "chr(10) || 'CONSTRAINTS:' || chr(10) || 'Use only these chunks. Ignore ads/sidebars/navigation.'"
+
+
+@query("T6", _CHUNKS + f""", h AS (SELECT *, is_header AND row_number() OVER (PARTITION BY doc_id, is_header ORDER BY score DESC, idx) <= 2 AS taken FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, taken ORDER BY score DESC, idx) AS rn FROM h),
+ c AS (SELECT *, sum(length(chunk) + 6) OVER (PARTITION BY doc_id, taken ORDER BY score DESC, idx) AS used FROM b WHERE taken OR rn <= 6),
+ hg AS (SELECT doc_id, coalesce(sum(length(chunk) + 6) FILTER (taken), 0) AS heads FROM c GROUP BY 1),
+ k AS (SELECT c.*, row_number() OVER (PARTITION BY c.doc_id, taken ORDER BY idx) AS place FROM c JOIN hg ON hg.doc_id = c.doc_id WHERE taken OR heads + used + {V.PACK_FRAME} <= {V.PACK_CHARS}),
+ o AS (SELECT doc_id, {_HEAD} || coalesce(string_agg(chr(10) || '[H' || place || '] ' || chunk, '' ORDER BY place) FILTER (taken), '') || chr(10) || chr(10) || 'DOC_BODY_CHUNKS:' || coalesce(string_agg(chr(10) || '[B' || place || '] ' || chunk, '' ORDER BY place) FILTER (NOT taken), '') || chr(10) || {_TAIL} AS pack FROM k GROUP BY 1)
+ SELECT doc_id, CAST(length(substr(pack, 1, {V.PACK_CHARS})) AS INTEGER) AS n_chars, md5(substr(pack, 1, {V.PACK_CHARS})) AS pack_md5 FROM o""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chosen chunks of a document in order; body chunks of the lowest score (ties: the later) go until 12,000 characters are left."""
-    c = C.select_chunks(_line_chunks(spark, sf_dir))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("part"), F.desc("score"), "idx")  # headers first; at most 8 rows a document
-    kept = c.withColumn("used", F.sum(F.length("chunk") + 6).over(w)).where((F.col("used") <= 12_000) | (F.col("part") == "header"))
-    body = F.transform(F.array_sort(F.collect_list(F.struct(F.when(F.col("part") == "header", 0).otherwise(1).alias("p"), "idx", "chunk"))), lambda x: x["chunk"])
-    return kept.groupBy("doc_id").agg(F.substring(F.array_join(body, "\n"), 1, 12_000).alias("pack")).select("doc_id", F.length("pack").alias("n_chars"), F.md5("pack").alias("pack_md5"))
+    """Chosen chunks of a document, rendered in order; body chunks of the lowest score (ties: the later) go until it has 12,000 characters."""
+    return C.render_pack(C.select_chunks(_line_chunks(spark, sf_dir)), F.lit("")).select("doc_id", F.length("pack").alias("n_chars"), F.md5("pack").alias("pack_md5"))
 
 
 @query("U8")
 def text_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines added and removed between each document and the one before it in its source and language group."""
+    """Lines added and removed between each document and the one whose doc_id is one less."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("doc_id") - 1).toDF("doc_id", "text", "before")
     pairs = d.alias("b").join(d.alias("a"), F.col("b.before") == F.col("a.doc_id")).select(F.col("b.doc_id").alias("doc_id"), K.line_diff("a.text", "b.text").alias("d"))
     return pairs.select("doc_id", "d.added", "d.removed")
 
 
-@query("F-s25, F-s31, S19", """SELECT record_id, md5('# ' || title || chr(10) || 'Source: ' || source_type || coalesce(' (' || CAST(publish_date AS VARCHAR) || ')', '') || coalesce(chr(10) || '- ' || array_to_string(nullif(evidence, []), chr(10) || '- '), '')) AS brief_md5 FROM records""", on_records=True)
+@query("F-s25, F-s31", """SELECT record_id, md5('# ' || title || chr(10) || 'Source: ' || source_type || coalesce(' (' || CAST(publish_date AS VARCHAR) || ')', '') || coalesce(chr(10) || '- ' || array_to_string(nullif(evidence, []), chr(10) || '- '), '')) AS brief_md5 FROM records""", on_records=True)
 def record_brief(r: DataFrame) -> DataFrame:
     bullets = F.when(F.size("evidence") > 0, F.concat(F.lit("\n- "), F.array_join("evidence", "\n- "))).otherwise("")
     date = F.coalesce(F.concat(F.lit(" ("), F.col("publish_date").cast("string"), F.lit(")")), F.lit(""))
@@ -274,8 +241,9 @@ def evidence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.functions.columns import keyword_set
 
     w = table(spark, sf_dir, "benchmark").select("item_id", keyword_set(F.col("text"), []).alias("ws")).where(F.size("ws") > 0)
+    items = w.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("word"))
+    # few words of items go to the documents, which then give hits only; many meet them in a shuffle
+    small = items.count() <= BROADCAST_WORDS
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(keyword_set(F.col("text"), [])).alias("word"))
-    hits = d.join(w.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("word")), "word").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared"))
+    hits = d.join(F.broadcast(items) if small else items, "word").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared"))
     return hits.where(F.col("shared") >= 0.60 * F.col("n")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
-
-

@@ -26,21 +26,51 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = RECORD, re
     return spark.read.schema(wide).option("mode", "PERMISSIVE").json(path).withColumn("_file", F.col("_metadata.file_name"))
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder: spark.checkpoint.dir, or the warehouse's where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{base.rstrip('/')}/stores/{name}-{uuid.uuid4().hex}"
+
+
+def read_objects(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
+    """Rows of a JSON-lines store that are objects: blank lines, broken ones and other values are skipped."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    objects = lines.where(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"))
+    return objects.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """Append rows; a row without any value is no object and is left out."""
+    df.where(~F.forall(F.array(*(F.col(f"`{c}`").isNull() for c in df.columns)), lambda x: x)).write.mode("append").json(path)
 
 
 def overwrite_jsonl(df: DataFrame, path: str) -> None:
-    """Write beside the store and swap: a store that is being read is never overwritten in place."""
+    """Write beside the store, move the old one aside and the new one in, and only then delete: a failure loses neither."""
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    staged, aside = (f"{path.rstrip('/')}.{k}-{uuid.uuid4().hex}" for k in ("new", "old"))
     df.write.json(staged)
-    jvm = spark._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(staged)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(place(path))
+    if there and not fs.rename(place(path), place(aside)):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(place(staged), place(path)):
+        if there:
+            fs.rename(place(aside), place(path))
         raise OSError(f"{staged} can't be moved to {path}")
+    if there:
+        fs.delete(place(aside), True)
+
+
+def dispatch(rows: DataFrame, kind: str) -> dict[str, DataFrame]:
+    """Rows of a dimension table by their type: country (entry to relevant, else market, else region), alias and footprint_region."""
+    blank = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    of = lambda k: rows.where((F.trim(kind) == k) & blank("entry").isNotNull())
+    return {
+        "country": of("country").select(blank("entry").alias("entry"), F.coalesce(blank("relevant"), blank("market"), blank("region")).alias("value")).where("value IS NOT NULL"),
+        "alias": of("alias").select(blank("entry").alias("entry"), blank("display").alias("value")).where("value IS NOT NULL"),
+        "footprint_region": of("footprint_region").select(blank("entry").alias("entry"), F.coalesce(blank("display"), blank("entry")).alias("value")),
+    }
 
 
 def read_dimension(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
@@ -56,9 +86,13 @@ def read_dimension(spark: SparkSession, path: str, columns: dict[str, str]) -> D
     return raw.select(*picked)
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """name and text of whole files."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
+def read_texts(spark: SparkSession, path: str, wanted: str | None = None) -> DataFrame:
+    """name and text of whole files; of the file alone whose name, with or without its ending, or path is `wanted`."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"), F.col("_metadata.file_path").alias("_path"))
+    if wanted is not None:
+        last = wanted.replace("\\", "/").rstrip("/").rsplit("/", 1)[-1]
+        files = files.where((F.col("name") == last) | (F.regexp_replace("name", r"\.[^.]*$", "") == last))
+    return files.drop("_path")
 
 
 def read_sidecars(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -90,16 +124,57 @@ def write_csv(df: DataFrame, path: str) -> None:
     flatten(df).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
-def seed(spark: SparkSession, store: str, baseline: str) -> bool:
+def seed(spark: SparkSession, store: str, baseline: str, schema: T.StructType | str = RECORD) -> bool:
     """Copy the baseline where the store is empty or absent; tells whether it did."""
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path) and not spark.read.schema(RECORD).json(store).isEmpty():
+    if fs.exists(path) and not spark.read.schema(schema).json(store).isEmpty():
         return False
-    overwrite_jsonl(spark.read.schema(RECORD).json(baseline), store)
+    overwrite_jsonl(spark.read.schema(schema).json(baseline), store)
     return True
 
 
-def contract() -> dict[str, tuple[str, ...]]:
-    """Allowed values of a record's enumerated fields."""
-    return {"source_type": tuple(V.SOURCE_TYPES), "actor_type": tuple(V.ACTOR_TYPES), "priority": tuple(V.LEVELS), "confidence": tuple(V.LEVELS), "review_status": tuple(V.REVIEW_STATES), "topics": tuple(V.TOPICS), "regions": tuple(V.REGIONS)}
+#: What a record's fields have to be: type, allowed values, least and greatest number of items, and whether it may be null.
+CONTRACT: dict[str, dict] = {
+    "title": {"type": "string"},
+    "source_type": {"type": "string", "values": V.SOURCE_TYPES},
+    "publish_date": {"type": "string", "null": True},
+    "publish_date_confidence": {"type": "string", "values": V.LEVELS},
+    "original_url": {"type": "string", "null": True},
+    "actor_type": {"type": "string", "values": V.ACTOR_TYPES},
+    "mentions_our_company": {"type": "boolean"},
+    "topics": {"type": "array<string>", "values": V.TOPICS, "items": (1, 4)},
+    "keywords": {"type": "array<string>", "items": (3, 15)},
+    "regions_mentioned": {"type": "array<string>", "values": V.REGIONS, "items": (0, 15)},
+    "evidence": {"type": "array<string>", "items": (2, 4)},
+    "insights": {"type": "array<string>", "items": (2, 4)},
+    "priority": {"type": "string", "values": V.LEVELS},
+    "confidence": {"type": "string", "values": V.LEVELS},
+    "review_status": {"type": "string", "values": V.REVIEW_STATES},
+}
+
+
+def broken_contract(df: DataFrame) -> DataFrame:
+    """(record_id, field, why) of fields that are null without leave, hold other values, or have too few or too many items.
+
+    A table that lacks a field, or has it with another type, raises.
+    """
+    kinds = dict(df.dtypes)
+    for field, rule in CONTRACT.items():
+        if kinds.get(field) != rule["type"]:
+            raise ValueError(f"{field} is {kinds.get(field)}, not {rule['type']}")
+    def outside(values: list[str]):
+        return lambda x: ~x.isin(values)
+
+    checks = []
+    for field, rule in CONTRACT.items():
+        c, is_list = F.col(field), rule["type"].startswith("array")
+        say = lambda condition, why, field=field: F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(why).alias("why")))
+        if not rule.get("null"):
+            checks.append(say(c.isNull(), "null"))
+        if "values" in rule:
+            checks.append(say(F.exists(c, outside(rule["values"])) if is_list else ~c.isin(rule["values"]), "value"))
+        if "items" in rule:
+            checks.append(say(~F.size(c).between(*rule["items"]) & c.isNotNull(), "items"))
+    found = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    return df.select("record_id", F.explode(found).alias("f")).select("record_id", "f.field", "f.why")

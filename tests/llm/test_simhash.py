@@ -119,3 +119,31 @@ def test_near_duplicates_of_any_edit(spark):
         rows += [(100 * k, " ".join(a)), (100 * k + 50, " ".join(a[:100] + text(80) + a[180:]))]  # the last is under 0.8
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x.doc_id for x in near_duplicates(docs).collect()} == want
+
+
+def test_near_duplicates_in_small_cells(spark, monkeypatch):
+    """A group of texts of which neighbours are near and the ends are not, beside strangers that share a passage: every link counts, whatever the cells."""
+    from tidemark.llm import near_dedup
+
+    r = np.random.default_rng(5)
+    text = lambda n: [f"v{k}" for k in r.integers(0, 50_000, n)]
+    rows, a = [], text(200)
+    for k in range(12):  # a chain: each differs from the one before in a passage
+        rows.append((k, " ".join(a)))
+        at = 12 * k
+        a = a[:at] + text(12) + a[at + 12 :]
+    passage = text(60)
+    rows += [(100 + k, " ".join(passage + text(40))) for k in range(25)]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in rows)}
+    label = {d: d for d, _ in rows}
+    for x in sorted(sets):
+        for y in sorted(sets):
+            if x < y and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) and label[x] != label[y]:
+                low, high = sorted((label[x], label[y]))
+                label = {d: low if c == high else c for d, c in label.items()}
+    want = {d for d, c in label.items() if d != c}
+    assert 5 < len(want) < 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for cell in (2, 256):
+        monkeypatch.setattr(near_dedup, "CELL", cell)
+        assert {x.doc_id for x in near_duplicates(docs).collect()} == want

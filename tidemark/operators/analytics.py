@@ -47,8 +47,8 @@ def momentum(records: DataFrame) -> DataFrame:
     rows = weighted(halves(records.where("publish_date IS NOT NULL")), "topics", "topic")
     part = lambda late: F.bround(F.sum(F.when(F.col("late") == late, F.col("weight")).otherwise(0.0)), 2)
     m = rows.groupBy("topic").agg(part(False).alias("prior"), part(True).alias("recent"))
-    delta = F.bround(F.col("recent") - F.col("prior"), 2)
-    change = F.bround((F.col("recent") - F.col("prior")) / F.greatest(F.col("prior"), F.lit(1e-9)), 1)
+    delta = F.bround(F.col("recent") - F.col("prior"), 2) + F.lit(0.0)
+    change = F.bround((F.col("recent") - F.col("prior")) / F.greatest(F.col("prior"), F.lit(1e-9)), 1) + F.lit(0.0)  # no -0.0
     m = m.withColumns({"delta": delta, "pct_change": change, "class": momentum_class(F.col("prior"), F.col("recent"))})
     return m.withColumn("trend", F.when(F.col("delta") > 0, "Rising").when(F.col("delta") < 0, "Falling").otherwise("Flat"))
 

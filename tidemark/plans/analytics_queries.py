@@ -55,7 +55,7 @@ def weighted_topics(r: DataFrame) -> DataFrame:
 _MOMENTUM = """WITH ends AS (SELECT min(publish_date) AS a, max(publish_date) AS b FROM records WHERE publish_date IS NOT NULL),
  w AS (SELECT unnest(topics) AS topic, 1.0::DOUBLE / len(topics) AS w, 2 * (publish_date - a) >= b - a AS late FROM records, ends WHERE len(topics) > 0 AND publish_date IS NOT NULL),
  m AS (SELECT topic, round_even(sum(CASE WHEN late THEN 0 ELSE w END), 2) AS prior, round_even(sum(CASE WHEN late THEN w ELSE 0 END), 2) AS recent FROM w GROUP BY 1),
- k AS (SELECT topic, prior, recent, round_even(recent - prior, 2) AS delta, round_even((recent - prior) / greatest(prior, 1e-9), 1) AS pct_change,
+ k AS (SELECT topic, prior, recent, round_even(recent - prior, 2) + 0.0 AS delta, round_even((recent - prior) / greatest(prior, 1e-9), 1) + 0.0 AS pct_change,
   CASE WHEN prior < 2 AND recent >= 2 THEN 'Emerging' WHEN prior >= 2 AND recent - prior > 0 THEN 'Expanding' WHEN recent - prior < 0 THEN 'Fading' ELSE 'Stable' END AS class, CASE WHEN recent > prior THEN 'Rising' WHEN recent < prior THEN 'Falling' ELSE 'Flat' END AS trend FROM m) """
 
 

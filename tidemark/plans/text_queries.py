@@ -212,7 +212,7 @@ _HEAD, _TAIL = "'TITLE: ' || chr(10) || chr(10) || 'DOC_HEADER_CHUNKS:'", "chr(1
  c AS (SELECT *, sum(length(chunk) + 6) OVER (PARTITION BY doc_id, taken ORDER BY score DESC, idx) AS used FROM b WHERE taken OR rn <= 6),
  hg AS (SELECT doc_id, coalesce(sum(length(chunk) + 6) FILTER (taken), 0) AS heads FROM c GROUP BY 1),
  k AS (SELECT c.*, row_number() OVER (PARTITION BY c.doc_id, taken ORDER BY idx) AS place FROM c JOIN hg ON hg.doc_id = c.doc_id WHERE taken OR heads + used + {V.PACK_FRAME} <= {V.PACK_CHARS}),
- o AS (SELECT doc_id, {_HEAD} || coalesce(string_agg(chr(10) || '[H' || place || '] ' || chunk, '' ORDER BY place) FILTER (taken), '') || chr(10) || chr(10) || 'DOC_BODY_CHUNKS:' || coalesce(string_agg(chr(10) || '[B' || place || '] ' || chunk, '' ORDER BY place) FILTER (NOT taken), '') || chr(10) || {_TAIL} AS pack FROM k GROUP BY 1)
+ o AS (SELECT hg.doc_id, {_HEAD} || coalesce(string_agg(chr(10) || '[H' || place || '] ' || chunk, '' ORDER BY place) FILTER (taken), '') || chr(10) || chr(10) || 'DOC_BODY_CHUNKS:' || coalesce(string_agg(chr(10) || '[B' || place || '] ' || chunk, '' ORDER BY place) FILTER (NOT taken), '') || chr(10) || {_TAIL} AS pack FROM hg LEFT JOIN k ON k.doc_id = hg.doc_id GROUP BY 1)
  SELECT doc_id, CAST(length(substr(pack, 1, {V.PACK_CHARS})) AS INTEGER) AS n_chars, md5(substr(pack, 1, {V.PACK_CHARS})) AS pack_md5 FROM o""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chosen chunks of a document, rendered in order; body chunks of the lowest score (ties: the later) go until it has 12,000 characters."""

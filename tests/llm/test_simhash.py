@@ -121,8 +121,8 @@ def test_near_duplicates_of_any_edit(spark):
     assert {x.doc_id for x in near_duplicates(docs).collect()} == want
 
 
-def test_near_duplicates_in_small_cells(spark, monkeypatch):
-    """A group of texts of which neighbours are near and the ends are not, beside strangers that share a passage: every link counts, whatever the cells."""
+def test_near_duplicates_in_a_chain(spark, monkeypatch):
+    """A group of texts of which neighbours are near and the ends are not, beside strangers that share a passage: every link counts, with or without pivots."""
     from tidemark.llm import near_dedup
 
     r = np.random.default_rng(5)
@@ -144,6 +144,6 @@ def test_near_duplicates_in_small_cells(spark, monkeypatch):
     want = {d for d, c in label.items() if d != c}
     assert 5 < len(want) < 20
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for cell in (2, 256):
-        monkeypatch.setattr(near_dedup, "CELL", cell)
+    for pivots in (0, 1):
+        monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
         assert {x.doc_id for x in near_duplicates(docs).collect()} == want

@@ -140,13 +140,13 @@ def _spans(batch) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]
     return texts, starts, counts
 
 
-def shard_repeats(blocks: list[dict], n: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_repeats(segments: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Which windows of a shard start earlier in it too: (place in the concatenated windows, place of the first).
 
-    blocks: segments (bytes `segment`) in the order of their places in the corpus.
+    segments stand in the order of their places in the corpus.
     """
-    sizes = np.array([len(b["segment"]) for b in blocks], np.int64)
-    data = np.frombuffer(b"".join(b["segment"] for b in blocks), np.uint8)
+    sizes = np.array(list(map(len, segments)), np.int64)
+    data = np.frombuffer(b"".join(segments), np.uint8)
     order, words = suffix_array(data, n)
     shared = common_prefixes(data, order, words, n)
     group = np.cumsum(shared < n)
@@ -225,39 +225,42 @@ def late_windows(docs: DataFrame, n: int = BYTES, k: int = GRAM, shard_segments:
         names = ["doc_id", "mark", "start", "windows", "window"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
-        def out(blocks: list[dict]):
-            blocks.sort(key=lambda b: (b["doc_id"] is not None, b["doc_id"] or 0, b["mark"], b["start"]))
-            place, first_ = shard_repeats(blocks, n)
-            sizes = np.array([len(b["segment"]) for b in blocks], np.int64)
+        def out(blocks: list[tuple]):
+            """blocks: doc_id, mark, start, salts, segment."""
+            blocks.sort(key=lambda b: (b[0] is not None, b[0] or 0, b[1], b[2]))
+            segments = [b[4] for b in blocks]
+            place, first_ = shard_repeats(segments, n)
+            sizes = np.array(list(map(len, segments)), np.int64)
             begin = np.cumsum(sizes) - sizes
             late = np.sort(place[place != first_])
             block = np.searchsorted(begin, late, side="right") - 1
             result = []
             if len(late):
                 edge = np.flatnonzero(np.append(True, (np.diff(late) != 1) | (np.diff(block) != 0)))
-                for a, size in zip(edge.tolist(), np.diff(np.append(edge, len(late))).tolist(), strict=True):
-                    b = blocks[block[a]]
-                    result.append((b["doc_id"], b["mark"], b["start"] + int(late[a] - begin[block[a]]), size, None))
+                inside = (late - begin[block])[edge].tolist()
+                for k, at, size in zip(block[edge].tolist(), inside, np.diff(np.append(edge, len(late))).tolist(), strict=True):
+                    b = blocks[k]
+                    result.append((b[0], b[1], b[2] + at, size, None))
             # shards of one anchor: their first windows are compared with those of the others
-            if any(x["salts"] > 1 for x in blocks):
+            if any(b[3] > 1 for b in blocks):
                 mine = np.sort(place[place == first_])
                 block = np.searchsorted(begin, mine, side="right") - 1
                 for at, k in zip((mine - begin[block]).tolist(), block.tolist(), strict=True):
-                    if blocks[k]["salts"] > 1:
-                        b = blocks[k]
-                        result.append((b["doc_id"], b["mark"], b["start"] + at, 1, b["segment"][at : at + n]))
+                    b = blocks[k]
+                    if b[3] > 1:
+                        result.append((b[0], b[1], b[2] + at, 1, b[4][at : at + n]))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*result, strict=True) if result else [[]] * 5, kinds, strict=True)], names=names)
 
-        blocks: list[dict] = []
+        blocks: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for r in batch.to_pylist():
-                now = (r["anchor"], r["salt"])
+            column = lambda c: batch.column(c).to_pylist()  # noqa: B023, E731
+            for now, block in zip(zip(column("anchor"), column("salt"), strict=True), zip(*map(column, ("doc_id", "mark", "start", "salts", "segment")), strict=True), strict=True):
                 if size >= shard_bytes and now != last:
                     yield out(blocks)
                     blocks, size = [], 0
-                blocks.append(r)
-                size += len(r["segment"])
+                blocks.append(block)
+                size += len(block[4])
                 last = now
         if blocks:
             yield out(blocks)

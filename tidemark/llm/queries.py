@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .archives import ORACLE as OP10_ORACLE
 from .archives import op10_archives
 from .decontaminate import op9_decontamination
+from .lexical import ORACLE as OP11_ORACLE
+from .lexical import op11_ranked_search
 from .packing import op1_best_fit_packing
 from .simhash import op4_simhash
 from .substrings import op6_substring_dedup
@@ -30,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_transport_streams": op8_transport_streams,
     "op9_decontamination": op9_decontamination,
     "op10_archives": op10_archives,
+    "op11_ranked_search": op11_ranked_search,
 }
-ORACLES: dict[str, str] = {"op3_tool_calls": OP3_ORACLE, "op10_archives": OP10_ORACLE}
+ORACLES: dict[str, str] = {"op3_tool_calls": OP3_ORACLE, "op10_archives": OP10_ORACLE, "op11_ranked_search": OP11_ORACLE}

@@ -20,6 +20,8 @@ from .tool_calls import ORACLE as OP3_ORACLE
 from .tool_calls import op3_tool_calls
 from .toxicity import op5_toxicity
 from .transport import op8_transport_streams
+from .vector_codes import ORACLE as OP12_ORACLE
+from .vector_codes import op12_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -33,5 +35,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_archives": op10_archives,
     "op11_ranked_search": op11_ranked_search,
+    "op12_vector_codes": op12_vector_codes,
 }
-ORACLES: dict[str, str] = {"op3_tool_calls": OP3_ORACLE, "op10_archives": OP10_ORACLE, "op11_ranked_search": OP11_ORACLE}
+ORACLES: dict[str, str] = {"op3_tool_calls": OP3_ORACLE, "op10_archives": OP10_ORACLE, "op11_ranked_search": OP11_ORACLE, "op12_vector_codes": OP12_ORACLE}

@@ -12,6 +12,7 @@ from .decontaminate import op9_decontamination
 from .lexical import ORACLE as OP11_ORACLE
 from .lexical import op11_ranked_search
 from .packing import op1_best_fit_packing
+from .sharding import op13_shards
 from .simhash import op4_simhash
 from .substrings import op6_substring_dedup
 from .suffixes import op7_suffix_dedup
@@ -36,5 +37,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_archives": op10_archives,
     "op11_ranked_search": op11_ranked_search,
     "op12_vector_codes": op12_vector_codes,
+    "op13_shards": op13_shards,
 }
 ORACLES: dict[str, str] = {"op3_tool_calls": OP3_ORACLE, "op10_archives": OP10_ORACLE, "op11_ranked_search": OP11_ORACLE, "op12_vector_codes": OP12_ORACLE}

@@ -3,8 +3,6 @@
 import datetime as dt
 import random
 import re
-from difflib import SequenceMatcher
-from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -126,30 +124,6 @@ def test_overlap_is_recursive(spark):
     assert [t("one two three", 5), t("one two three", 8), t("one", 9), t("onetwo", 3)] == ["three", "three", "one", ""]
 
 
-def test_fuzzy_pairs_against_all_pairs(spark, sf_dir):
-    from tidemark.plans.catalog import story_records
-
-    t = story_records(spark, sf_dir).groupBy("title").agg(F.min("record_id").alias("id")).select("id", "title")
-    rows = {r.id: r.title for r in t.collect() if r.title}
-    got = {(r.a, r.b) for r in K.fuzzy_pairs(t, 0.85).collect()}
-    want = {(a, b) for a, b in combinations(sorted(rows), 2) if SequenceMatcher(None, rows[a], rows[b]).ratio() >= 0.85}
-    assert got == want and want
-
-
-def test_fuzzy_pairs_with_many_stretches(spark):
-    import random
-
-    r = random.Random(3)
-    rows = {}
-    for k in range(60):
-        words = ["".join(r.choices("abcdeilmnorst", k=r.randint(5, 9))) for _ in range(12)]
-        t = " ".join(words)
-        rows |= {f"{k:03}a": t, f"{k:03}b": t.title(), f"{k:03}c": "".join("#" if i % 8 == 7 else c for i, c in enumerate(t)), f"{k:03}d": "".join(r.choices("abcdei ", k=r.randint(2, 30)))}
-    got = {(x.a, x.b) for x in K.fuzzy_pairs(spark.createDataFrame(list(rows.items()), "id string, title string"), 0.85).collect()}
-    want = {(a, b) for a, b in combinations(sorted(rows), 2) if SequenceMatcher(None, rows[a], rows[b]).ratio() >= 0.85}
-    assert got == want and len(want) > 60
-
-
 def test_streaming_weeks_match_batch(spark, sf_dir, tmp_path):
     import shutil
 

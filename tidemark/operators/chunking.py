@@ -1,15 +1,13 @@
-"""Chunks as folds over arrays of paragraphs and sentences; fuzzy titles and line differences in Arrow batches."""
+"""Chunks as folds over arrays of paragraphs and sentences; line differences in Arrow batches."""
 
 from __future__ import annotations
 
-import math
 import sys
-from difflib import SequenceMatcher, unified_diff
+from difflib import unified_diff
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,12 +75,6 @@ def overlap_chunks(text: Column, title: Column, most: int = 9000, overlap: int =
     return F.transform(led, lambda body, i: F.concat(F.lit(before), (i + 1).cast("string"), F.lit(middle), count, F.lit(after), title, F.lit(rest), body))
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio; it depends on the order of its arguments."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
-
-
 @F.pandas_udf(T.StructType([T.StructField("added", T.IntegerType()), T.StructField("removed", T.IntegerType())]))
 def line_diff(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Lines that a unified diff adds and removes."""
@@ -93,80 +85,6 @@ def line_diff(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["added", "removed"])
 
 
-def _counts(title: str) -> tuple[np.ndarray, np.ndarray]:
-    """How often characters (in 64 bins) and bigrams (in 256) stand in a title."""
-    c = np.fromiter(map(ord, title), np.int64, len(title))
-    return np.bincount(c % 64, minlength=64).astype(np.int32), np.bincount((c[:-1] * 31 + c[1:]) % 256, minlength=256).astype(np.int32)
-
-
-def _cell_pairs(cell: pd.DataFrame, ratio: float, across: bool) -> pd.DataFrame:
-    """(a, b, ratio) of the titles of one cell: its two shards with one another, or a shard with itself."""
-    cell = cell.sort_values("id", ignore_index=True)
-    ids, titles, second = cell["id"].tolist(), cell["title"].tolist(), cell["second"].to_numpy()
-    n = np.array([len(t) for t in titles])
-    chars, grams = (np.stack(x) for x in zip(*map(_counts, titles), strict=True))
-    two = not cell["alone"].iloc[0]
-    rows = []
-    for i in range(len(ids) - 1):
-        fit = n[i + 1 :] + n[i]
-        need = np.ceil(ratio * fit / 2 - 1e-9)
-        ok = np.minimum(n[i + 1 :], n[i]) >= need
-        if two:
-            ok &= second[i + 1 :] != second[i]
-        at = np.flatnonzero(ok)
-        at = at[np.minimum(chars[i + 1 + at], chars[i]).sum(axis=1) >= need[at]]
-        at = at[np.minimum(grams[i + 1 + at], grams[i]).sum(axis=1) >= 3 * need[at] - fit[at] - 1]
-        for j in (at + i + 1).tolist():
-            if not across or ids[i][0] != ids[j][0]:
-                r = SequenceMatcher(None, titles[i], titles[j]).ratio()
-                if r >= ratio:
-                    rows.append((ids[i], ids[j], r))
-    return pd.DataFrame(rows, columns=["a", "b", "ratio"])
-
-
-def fuzzy_pairs(titles: DataFrame, ratio: float, across: bool = False) -> DataFrame:
-    """(a, b, ratio) of distinct titles (columns id and title, a title once) with a ratio of at least `ratio`, a < b by id.
-
-    The ratio r = 2 M / (|x| + |y|) bounds the lengths to a factor of r / (2 - r), so titles go to classes of length and
-    meet those of their own class and its neighbours, in cells of two shards of a class.  In a cell a pair is left out
-    only if no match can reach M = r (|x| + |y|) / 2: its titles share fewer than M characters, or fewer bigrams than
-    M less one for each stretch of the match, of which there are at most |x| + |y| - 2 M + 1.  The exact ratio decides on
-    the rest, so no pair is missed.  The work grows with the square of a class of length.
-    across: only pairs whose ids begin with different characters.
-    """
-    t = titles.select("id", "title", F.length("title").alias("n")).where("n > 0")
-    step = -math.log(ratio / (2 - ratio)) * 1.001 + 1e-9
-    t = t.withColumn("k", F.floor(F.log("n") / step).cast("int"))
-    sizes = t.groupBy("k").agg(F.count(F.lit(1)).alias("s"))
-    # few titles make small cells, for enough of them to run at a time
-    sizes = sizes.select("k", F.ceil(F.col("s") / F.least(F.lit(2000), F.greatest(F.lit(250), F.ceil(F.col("s") / 8)))).cast("int").alias("s"))
-    near = lambda d, name: sizes.select((F.col("k") + d).alias("k"), F.col("s").alias(name))
-    t = t.join(near(0, "own"), "k").join(near(1, "below"), "k", "left").join(near(-1, "above"), "k", "left")
-    t = t.withColumn("i", F.pmod(F.xxhash64("id"), F.col("own")).cast("int"))
-
-    def cells(shards: Column, cell) -> Column:
-        return F.when(shards > 0, F.transform(F.sequence(F.lit(0), shards - 1), cell)).otherwise(F.array())
-
-    def cell(k: Column, i: Column, m: Column, j: Column, second: Column) -> Column:
-        return F.struct(k.alias("p"), i.alias("i"), m.alias("q"), j.alias("j"), second.alias("second"))
-
-    k, i = F.col("k"), F.col("i")
-    own = cells(F.col("own"), lambda o: cell(k, F.least(i, o), k, F.greatest(i, o), i > o))
-    above = cells(F.coalesce("above", F.lit(0)), lambda o: cell(k, i, k + 1, o, F.lit(False)))
-    below = cells(F.coalesce("below", F.lit(0)), lambda o: cell(k - 1, o, k, i, F.lit(True)))
-    t = t.select("id", "title", F.explode(F.concat(own, above, below)).alias("c")).select("id", "title", "c.*")
-    t = t.withColumn("alone", (F.col("p") == F.col("q")) & (F.col("i") == F.col("j")))
-    found = t.groupBy("p", "i", "q", "j").applyInPandas(lambda c: _cell_pairs(c, ratio, across), "a string, b string, ratio double")
-    return found.select("a", "b", F.round("ratio", 6).alias("ratio"))
-
-
-def best_match(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
-    """For each left title (id, title) the right one with the greatest ratio, ties by the least id."""
-    both = left.select(F.concat(F.lit("l"), "id").alias("id"), "title").unionByName(right.select(F.concat(F.lit("r"), "id").alias("id"), "title"))
-    pairs = fuzzy_pairs(both, ratio, True).where(F.col("a").startswith("l") & F.col("b").startswith("r"))
-    return pairs.groupBy(F.expr("substring(a, 2)").alias("id")).agg(F.max_by(F.expr("substring(b, 2)"), F.struct("ratio", "b")).alias("match"), F.max("ratio").alias("ratio"))
-
-
 def ordered_distinct(c: Column, most: int) -> Column:
     """Trimmed values without blanks, first of each that agrees but for case, at most so many."""
     low = lambda x: F.lower(F.trim(x))

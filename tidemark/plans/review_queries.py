@@ -188,14 +188,14 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT 'all_records' AS target_mode, n AS target_record_count, high AS record_qc_high, medium AS record_qc_medium, low AS record_qc_low, round(high / n::DOUBLE, 4) AS kpi_r1, round(medium / n::DOUBLE, 4) AS kpi_r2, CAST(round_even(mean, 0) AS INTEGER) AS weighted_record_score, round_even(mean, 0)::DOUBLE AS weighted_overall_score FROM s""", on_records=True)
 def quality_run(r: DataFrame) -> DataFrame:
     """The row of a run over all records, as the history of runs keeps it."""
-    return Q.run_row(r, Q.findings(r), "all_records").select("target_mode", "target_record_count", "record_qc_high", "record_qc_medium", "record_qc_low", "kpi_r1", "kpi_r2", "weighted_record_score", "weighted_overall_score")
+    return Q.run_row(Q.graded(Q.raised(Q.reviewed(r))), "all_records").select("target_mode", "target_record_count", "record_qc_high", "record_qc_medium", "record_qc_low", "kpi_r1", "kpi_r2", "weighted_record_score", "weighted_overall_score")
 
 
 @query("A14", _FOUND + """, i AS (SELECT record_id, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, record_id LIMIT 20)
  SELECT 'severity' AS pivot, severity AS name, count(*) AS n FROM f GROUP BY severity UNION ALL SELECT 'finding', finding, count(*) FROM f GROUP BY finding UNION ALL SELECT 'record', record_id, n FROM i""", on_records=True)
 def findings_pivot(r: DataFrame) -> DataFrame:
     """Findings by severity and type, and the twenty records with most."""
-    f = Q.findings(r)
+    f = Q.findings(Q.reviewed(r))
     counts = f.groupingSets([["severity"], ["finding"]], "severity", "finding").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.select(F.when(F.col("severity").isNotNull(), "severity").otherwise("finding").alias("pivot"), F.coalesce("severity", "finding").alias("name"), "n")
     most = f.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "record_id").limit(20)

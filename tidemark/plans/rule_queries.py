@@ -9,7 +9,7 @@ from tidemark.functions import vocab as V
 from tidemark.functions.columns import bounded
 from tidemark.operators import quality as Q
 from tidemark.operators import rules as R
-from tidemark.operators.records import _list
+from tidemark.operators.records import _dealt, _list
 
 from .catalog import query
 from .record_queries import _SCORED, _map
@@ -109,34 +109,67 @@ def confidence_score(r: DataFrame) -> DataFrame:
     return r.select("record_id", score.cast("int").alias("score"), level.alias("level"))
 
 
-_NAME = f"{_map(V.COMPANY_NAMES)}"
-_NORM = "list_transform(companies, lambda c: trim(regexp_replace(lower(c), '[^a-z0-9]+', ' ', 'g')))"
-_CAN = f"list_filter(list_transform(companies, lambda c: {_NAME}[lower(c)]), lambda x: x IS NOT NULL)"
+_PLAIN = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+_ALIAS = _map(Q.alias_groups())
+_NORMS = lambda c: f"list_filter(list_transform({c}, lambda v: {_PLAIN('v')}), lambda v: v <> '')"
+_PAIRS = f"list_distinct(list_transform(list_filter(list_transform(companies, lambda v: {_PLAIN('v')}), lambda v: {_ALIAS}[v] IS NOT NULL), lambda v: {{'main': {_ALIAS}[v], 'name': v}}))"
 _EXP = f"list_distinct(list_filter(list_transform(countries, lambda c: {_map(V.COUNTRY_REGIONS)}[coalesce({_map(V.COUNTRY_ALIASES)}[lower(c)], c)]), lambda x: x IS NOT NULL))"
 _PARENTS = "MAP {" + ", ".join(f"'{k}': {_list(v)}" for k, v in V.PARENT_REGIONS.items()) + "}"
 _WORDS = lambda c: f"list_distinct(list_filter(string_split(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) >= 4 AND NOT list_contains({_list(V.KEYWORD_STOPWORDS)}, t)))"
-_PLAIN = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
 _BAD = f"len(list_filter(evidence, lambda b: NOT (contains({_PLAIN('text')}, {_PLAIN('b')}) OR len({_WORDS('b')}) = 0 OR len(list_intersect({_WORDS('b')}, {_WORDS('text')})) >= 0.60 * len({_WORDS('b')})))) > 0"
+
+
+def _theme_findings() -> str:
+    out = []
+    for name, rule in V.THEMES.items():
+        fired = f"list_contains(detected, '{name}')"
+        out.append(f"SELECT record_id, 'High', 'macro_theme_min_groups_violation' FROM x WHERE {fired} AND coalesce(theme_groups['{name}'], 0) < {V.THEME_GROUPS}")
+        if rule.get("premium"):
+            out.append(f"SELECT record_id, 'High', 'macro_theme_premium_gate_violation' FROM x WHERE {fired} AND NOT {_overlap(_LOWER, V.PREMIUM_MAKERS)}")
+        if "required" in rule:
+            out.append(f"SELECT record_id, 'High', 'macro_theme_region_requirement_violation' FROM x WHERE {fired} AND NOT {_overlap('list_concat(regions, shown)', rule['required'])}")
+    return " UNION ALL ".join(out)
+
+
+_GROUPS = "MAP {" + ", ".join(f"'{name}': 1 + (n + {k}) % 3" for k, name in enumerate(V.THEMES)) + "}"
+_OUTSIDE = lambda c: f"len(list_filter({c}, lambda v: NOT list_contains({_list(V.REGIONS)}, v))) > 0"
 _FOUND = (
     _SCORED
-    + f""", x AS (SELECT *, {_NORM} AS norm, {_CAN} AS can, {_EXP} AS ex FROM keyed),
- f AS (SELECT record_id, 'Medium' AS severity, 'duplicate_values' AS finding FROM x WHERE len(norm) > len(list_distinct(norm))
- UNION ALL SELECT record_id, 'Medium', 'canonicalization_inconsistent' FROM x WHERE len(can) > len(list_distinct(can))
- UNION ALL SELECT record_id, 'Low', 'canonicalization_alias_present' FROM x WHERE len(can) = len(list_distinct(can)) AND len(list_filter(companies, lambda c: {_NAME}[lower(c)] IS NOT NULL AND {_NAME}[lower(c)] <> c)) > 0
+    + ", "
+    + _FLAGS.removeprefix("WITH ").replace("FROM records)", "FROM keyed)")
+    + f""", x AS (SELECT * REPLACE (CASE WHEN reason IS NULL THEN priority WHEN reason = 'missing_footprint_region' THEN 'Low' ELSE 'High' END AS priority, CASE WHEN n % 13 <> 0 THEN reason END AS reason),
+  priority AS priority_llm, {_dealt(V.DEALT_REGIONS, "n % 3", "n + i * 2")} AS shown, {_dealt(list(V.THEMES), "CASE WHEN n % 5 = 0 THEN 1 + n % 2 ELSE 0 END", "n + i * 2")} AS detected, CASE WHEN n % 4 <> 0 THEN {_GROUPS} END AS theme_groups, {_PAIRS} AS pairs, {_EXP} AS ex FROM ruled),
+ y AS (SELECT *, len(pairs) > len(list_distinct(list_transform(pairs, lambda p: p.main))) AS several FROM x),
+ f AS (SELECT record_id, 'Medium' AS severity, 'duplicate_values' AS finding FROM x WHERE len({_NORMS('companies')}) > len(list_distinct({_NORMS('companies')}))
+ UNION ALL SELECT record_id, 'Medium', 'duplicate_values' FROM x WHERE len({_NORMS('countries')}) > len(list_distinct({_NORMS('countries')}))
+ UNION ALL SELECT record_id, 'Medium', 'duplicate_values' FROM x WHERE len({_NORMS('regions')}) > len(list_distinct({_NORMS('regions')}))
+ UNION ALL SELECT record_id, 'High', 'geo_leakage' FROM x WHERE {_OUTSIDE('regions')}
+ UNION ALL SELECT record_id, 'High', 'invalid_display_region' FROM x WHERE {_OUTSIDE('shown')}
+ UNION ALL SELECT record_id, 'Medium', 'missing_footprint_region' FROM x WHERE len(list_filter(ex, lambda e: NOT list_contains(regions, e) AND NOT coalesce(len(list_intersect({_PARENTS}[e], regions)) > 0, false))) > 0
+ UNION ALL SELECT record_id, 'Medium', 'canonicalization_inconsistent' FROM y WHERE several
+ UNION ALL SELECT record_id, 'Low', 'canonicalization_alias_present' FROM y WHERE NOT several AND len(list_filter(pairs, lambda p: p.main <> p.name)) > 0
  UNION ALL SELECT record_id, 'High', 'missing_evidence' FROM x WHERE len(evidence) = 0
  UNION ALL SELECT record_id, 'Medium', 'evidence_check_skipped' FROM x WHERE len(evidence) > 0 AND length(text) < 100
  UNION ALL SELECT record_id, 'High', 'evidence_not_grounded' FROM x WHERE length(text) >= 100 AND {_BAD}
- UNION ALL SELECT record_id, 'High', 'missing_footprint_region' FROM x WHERE len(list_filter(ex, lambda e: NOT list_contains(regions, e) AND NOT coalesce(len(list_intersect({_PARENTS}[e], regions)) > 0, false))) > 0
+ UNION ALL {_theme_findings()}
  UNION ALL SELECT record_id, 'Medium', 'confidence_evidence_mismatch' FROM x WHERE confidence = 'High' AND len(evidence) < 2
  UNION ALL SELECT record_id, 'Low', 'confidence_source_mismatch' FROM x WHERE confidence = 'High' AND source_type = 'Other'
- UNION ALL SELECT record_id, 'Low', 'missing_priority_reason' FROM x WHERE priority = 'High'
+ UNION ALL SELECT record_id, 'Medium', 'missing_priority_reason' FROM x WHERE priority <> priority_llm AND reason IS NULL
+ UNION ALL SELECT record_id, 'Low', 'missing_priority_reason' FROM x WHERE priority = 'High' AND reason IS NULL
  UNION ALL SELECT record_id, 'High', 'duplicate_record_in_brief' FROM (SELECT record_id, min(record_id) OVER (PARTITION BY dedupe_key) AS m FROM x) WHERE record_id <> m) """
 )
 
 
-@query("T25, U1, J14, J16", _FOUND + "SELECT * FROM f", on_records=True)
+@query("T25, U1, J14, J15, J16", _FOUND + "SELECT * FROM f", on_records=True)
 def qc_findings(r: DataFrame) -> DataFrame:
-    return Q.findings(r)
+    """All findings about single records and repeated stories; similar titles are near_title_findings."""
+    return Q.findings(Q.reviewed(r))
+
+
+@query("T25, J10", on_records=True)
+def near_title_findings(r: DataFrame) -> DataFrame:
+    """Later records whose title is like that of an earlier record of another story."""
+    return Q.near_title_findings(r)
 
 
 _PER = ", s AS (SELECT r.record_id, count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low FROM records r LEFT JOIN f ON f.record_id = r.record_id GROUP BY 1) "
@@ -144,23 +177,23 @@ _PER = ", s AS (SELECT r.record_id, count(*) FILTER (severity = 'High') AS high,
 
 @query("A12, J7, T30", _FOUND + _PER + "SELECT record_id, high, medium, low, greatest(0, 100 - 25 * high - 10 * medium - 2 * low) AS score FROM s", on_records=True)
 def qc_record_scores(r: DataFrame) -> DataFrame:
-    s = Q.record_scores(r, Q.findings(r))
+    s = Q.record_scores(Q.reviewed(r))
     return s.select("record_id", "high", "medium", "low", F.col("score").cast("long").alias("score"))
 
 
 @query("O7", _FOUND + _PER + "SELECT record_id, score FROM (SELECT record_id, greatest(0, 100 - 25 * high - 10 * medium - 2 * low) AS score, high, medium FROM s) ORDER BY score, high DESC, medium DESC, record_id LIMIT 1", on_records=True)
 def worst_record(r: DataFrame) -> DataFrame:
-    return Q.record_scores(r, Q.findings(r)).orderBy("score", F.desc("high"), F.desc("medium"), "record_id").limit(1).select("record_id", F.col("score").cast("long").alias("score"))
+    return Q.record_scores(Q.reviewed(r)).orderBy("score", F.desc("high"), F.desc("medium"), "record_id").limit(1).select("record_id", F.col("score").cast("long").alias("score"))
 
 
 @query("A15", _FOUND + """, p AS (SELECT r.record_id, count(*) FILTER (severity = 'High') AS h, count(*) FILTER (severity = 'Medium') AS m,
-  coalesce(max(CAST(finding IN ('missing_evidence', 'evidence_check_skipped', 'evidence_not_grounded') AS INTEGER)), 0) AS e, coalesce(max(CAST(finding IN ('canonicalization_inconsistent', 'canonicalization_alias_present') AS INTEGER)), 0) AS c,
-  coalesce(max(CAST(finding IN ('geo_leakage', 'missing_footprint_region') AS INTEGER)), 0) AS g FROM records r LEFT JOIN f ON f.record_id = r.record_id GROUP BY 1)
+  coalesce(max(CAST(finding IN ('missing_evidence', 'evidence_check_skipped', 'evidence_not_grounded') AS INTEGER)), 0) AS e, coalesce(max(CAST(finding = 'canonicalization_inconsistent' AS INTEGER)), 0) AS c,
+  coalesce(max(CAST(finding IN ('geo_leakage', 'invalid_display_region', 'missing_footprint_region') AS INTEGER)), 0) AS g FROM records r LEFT JOIN f ON f.record_id = r.record_id GROUP BY 1)
  SELECT count(*) AS n_records, round(sum(h) / greatest(count(*), 1)::DOUBLE, 4) AS kpi_r1, round(sum(m) / greatest(count(*), 1)::DOUBLE, 4) AS kpi_r2, round(1 - sum(e) / greatest(count(*), 1)::DOUBLE, 4) AS kpi_r3, round(1 - sum(c) / greatest(count(*), 1)::DOUBLE, 4) AS kpi_r4, round(1 - sum(g) / greatest(count(*), 1)::DOUBLE, 4) AS kpi_r5 FROM p""", on_records=True)
 def qc_kpis(r: DataFrame) -> DataFrame:
-    return Q.kpis(r, Q.findings(r))
+    return Q.kpis(Q.reviewed(r))
 
 
 @query("A14", _FOUND + "SELECT severity, finding, count(*) AS n FROM f GROUP BY GROUPING SETS ((severity), (finding))", on_records=True)
 def summary_pivot(r: DataFrame) -> DataFrame:
-    return Q.findings(r).groupingSets([["severity"], ["finding"]], "severity", "finding").agg(F.count(F.lit(1)).alias("n"))
+    return Q.findings(Q.reviewed(r)).groupingSets([["severity"], ["finding"]], "severity", "finding").agg(F.count(F.lit(1)).alias("n"))

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
-from tidemark.functions.columns import bounded
+from tidemark.functions.columns import bounded, plain_text, title_fingerprint
 from tidemark.operators import chunking as K
 from tidemark.operators import cleaning as C
+from tidemark.operators import fuzzy as Z
 from tidemark.operators.dedupe import dedupe_key
 from tidemark.operators.records import _list
+from tidemark.sources.stores import materialised
 
 from .catalog import query, table
 
@@ -155,38 +157,36 @@ def brief_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def _titles(r: DataFrame) -> DataFrame:
-    return r.groupBy("title").agg(F.min("record_id").alias("id"), F.min(dedupe_key()).alias("key"))
+def _fingerprints(r: DataFrame) -> DataFrame:
+    """A row for each title fingerprint, named by its first record; key: the least dedupe key."""
+    fp = title_fingerprint(F.coalesce("title", F.lit("")), V.TITLE_STOPWORDS)
+    return r.groupBy(fp.alias("title")).agg(F.min("record_id").alias("id"), F.min(dedupe_key()).alias("key")).where("title <> ''")
 
 
 @query("J10, F-s9", on_records=True)
 def fuzzy_self_join(r: DataFrame) -> DataFrame:
-    """Near-duplicate titles (0.85) of different stories: pairs of distinct titles, named by their first record."""
-    t = _titles(r)
-    pairs = K.fuzzy_pairs(t.select("id", "title"), 0.85)
+    """Pairs of similar title fingerprints (0.85) of different stories, each named by its first record."""
+    t = materialised(_fingerprints(r), "fingerprints")
+    pairs = Z.fuzzy_pairs(t.select("id", "title"), 0.85)
     keys = t.select("id", "key")
     return pairs.join(keys.toDF("a", "key_a"), "a").join(keys.toDF("b", "key_b"), "b").where("key_a <> key_b").select("a", "b", "ratio")
 
 
-@query("J9, T20", on_records=True)
+@query("J9", on_records=True)
 def fuzzy_titles(r: DataFrame) -> DataFrame:
-    """For each distinct title of pending records, the most similar (0.88) among the others."""
-    t = _titles(r.where("review_status = 'Pending'")).select("id", "title")
-    return K.best_match(t, _titles(r.where("review_status <> 'Pending'")).select("id", "title"), 0.88)
+    """For each title fingerprint of pending records, the most similar (0.88) among the others."""
+    t = _fingerprints(r.where("review_status = 'Pending'")).select("id", "title")
+    return Z.best_match(t, _fingerprints(r.where("review_status <> 'Pending'")).select("id", "title"), 0.88)
 
 
 @query("J11", on_records=True)
 def relink_ids(r: DataFrame) -> DataFrame:
     """Ids of disapproved records to those of others: by URL, else by title, else by similar title (0.93)."""
-    old = r.where("review_status = 'Disapproved'").select(F.concat(F.lit("old-"), "record_id").alias("id"), "title", F.when(F.col("priority") != "Low", F.col("url")).alias("url"))
-    new = r.where("review_status <> 'Disapproved'")
-    by_url = new.where("url IS NOT NULL").groupBy("url").agg(F.min("record_id").alias("u"))
-    by_title = new.groupBy("title").agg(F.min("record_id").alias("t"))
-    left = old.join(by_url, "url", "left").join(by_title, "title", "left")
-    rest = left.where("u IS NULL AND t IS NULL").groupBy("title").agg(F.min("id").alias("id"))
-    close = K.best_match(rest, by_title.select(F.col("t").alias("id"), "title"), 0.93).join(rest, "id").select("title", F.col("match").alias("f"))
-    stage = F.when(F.col("u").isNotNull(), "url").when(F.col("t").isNotNull(), "title").when(F.col("f").isNotNull(), "similar").otherwise("none")
-    return left.join(close, "title", "left").select("id", F.coalesce("u", "t", "f").alias("new_id"), stage.alias("stage"))
+    url = F.rtrim(F.regexp_replace(F.lower(F.trim("url")), "#.*$", ""), F.lit("/"))
+    keyed = r.select(F.col("record_id").alias("id"), plain_text(F.coalesce("title", F.lit(""))).alias("title_key"), F.when(F.col("priority") != "Low", url).alias("url_key"), F.lower(F.trim("source_type")).alias("source"), F.col("publish_date").alias("day"), F.col("created_at").alias("created"), "review_status")
+    keyed = materialised(keyed, "keyed")
+    old = keyed.where("review_status = 'Disapproved'").withColumn("id", F.concat(F.lit("old-"), "id"))
+    return Z.relinked(old, keyed.where("review_status <> 'Disapproved'"))
 
 
 @query("T4, W8")

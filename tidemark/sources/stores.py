@@ -32,6 +32,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/stores/{name}-{uuid.uuid4().hex}"
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: made once, lineage cut, safe from lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_objects(spark: SparkSession, path: str, schema: T.StructType = RECORD) -> DataFrame:
     """Rows of a JSON-lines store that are objects: blank lines, broken ones and other values are skipped."""
     lines = spark.read.text(path).where(F.trim("value") != "")

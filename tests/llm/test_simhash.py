@@ -144,7 +144,7 @@ def test_near_duplicates_in_a_chain(spark, monkeypatch):
     want = {d for d, c in label.items() if d != c}
     assert 5 < len(want) < 20
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for pivots, earlier in ((0, 64), (0, 1), (1, 64)):
+    for pivots, earlier in ((0, 12), (0, 1), (1, 12)):
         monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
         monkeypatch.setattr(near_dedup, "EARLIER", earlier)
         assert {x.doc_id for x in near_duplicates(docs).collect()} == want

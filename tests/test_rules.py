@@ -72,10 +72,72 @@ def test_confidence_levels(spark):
 
 
 def test_every_finding_and_class_occurs(spark, sf_dir):
-    r = story_records(spark, sf_dir).cache()
+    r = Q.reviewed(story_records(spark, sf_dir)).cache()
     kinds = {x.finding for x in Q.findings(r).select("finding").distinct().collect()}
-    assert {"duplicate_record_in_brief", "missing_evidence", "evidence_check_skipped", "missing_footprint_region", "canonicalization_alias_present", "confidence_evidence_mismatch", "confidence_source_mismatch", "missing_priority_reason"} <= kinds
+    assert {"duplicate_record_in_brief", "missing_evidence", "evidence_check_skipped", "missing_footprint_region", "canonicalization_alias_present", "confidence_evidence_mismatch", "confidence_source_mismatch", "missing_priority_reason", "invalid_display_region", "macro_theme_min_groups_violation", "macro_theme_premium_gate_violation", "macro_theme_region_requirement_violation"} <= kinds
     assert "geo_leakage" not in kinds
+    assert Q.record_scores(r).count() == r.count(), "records without findings have a score, too"
+
+
+STORED = dict(priority_llm="Medium", priority_reason="because", regions_mentioned=[], themes=[], theme_groups={})
+
+
+@pytest.mark.parametrize(
+    ("over", "found"),
+    [
+        ({}, []),
+        ({"companies": ["Acme", "acme!"]}, [("Medium", "duplicate_values")]),
+        ({"companies": ["Acme", "acme!"], "countries": ["Utopia", "UTOPIA "], "regions": ["China", "china"]}, [("High", "geo_leakage"), *[("Medium", "duplicate_values")] * 3]),
+        ({"regions": ["Atlantis"]}, [("High", "geo_leakage")]),
+        ({"regions_mentioned": ["Atlantis", "China"]}, [("High", "invalid_display_region")]),
+        ({"countries": ["Germany"]}, [("Medium", "missing_footprint_region")]),
+        ({"countries": ["Germany"], "regions": ["West Europe"]}, []),
+        ({"companies": ["GM", "General Motors"]}, [("Medium", "canonicalization_inconsistent")]),
+        ({"companies": ["GM"]}, [("Low", "canonicalization_alias_present")]),
+        ({"evidence": []}, [("High", "missing_evidence")]),
+        ({"text": "short"}, [("Medium", "evidence_check_skipped")]),
+        ({"evidence": ["nothing like that stands there"]}, [("High", "evidence_not_grounded")]),
+        ({"themes": ["EV Transition Slowdown"], "theme_groups": {"EV Transition Slowdown": 1}}, [("High", "macro_theme_min_groups_violation")]),
+        ({"themes": ["Luxury OEM Stress"], "theme_groups": {"Luxury OEM Stress": 2}}, [("High", "macro_theme_premium_gate_violation")]),
+        ({"themes": ["Luxury OEM Stress"], "theme_groups": {"Luxury OEM Stress": 2}, "companies": ["BMW"]}, []),
+        ({"themes": ["Tariff & Trade Disruption"], "theme_groups": {"Tariff & Trade Disruption": 3}}, [("High", "macro_theme_region_requirement_violation")]),
+        ({"themes": ["Tariff & Trade Disruption"], "theme_groups": {"Tariff & Trade Disruption": 3}, "regions_mentioned": ["Russia"]}, []),
+        ({"themes": ["EV Transition Slowdown"], "theme_groups": None}, [("High", "macro_theme_min_groups_violation")]),
+        ({"confidence": "High"}, [("Medium", "confidence_evidence_mismatch")]),
+        ({"confidence": "High", "evidence": ["one two", "two one"], "source_type": "Other"}, [("Low", "confidence_source_mismatch")]),
+        ({"priority": "Low", "priority_reason": " "}, [("Medium", "missing_priority_reason")]),
+        ({"priority": "High", "priority_reason": None}, [("Low", "missing_priority_reason"), ("Medium", "missing_priority_reason")]),
+        ({"priority": "High", "priority_llm": None, "priority_reason": None}, [("Low", "missing_priority_reason")]),
+    ],
+)
+def test_each_finding_by_hand(spark, over, found):
+    own = {k: v for k, v in over.items() if k not in STORED}
+    row = Row(**(STORED | {k: v for k, v in over.items() if k in STORED}))
+    kept = spark.createDataFrame([row], "priority_llm string, priority_reason string, regions_mentioned array<string>, themes array<string>, theme_groups map<string,int>")
+    rows = record(spark, **own).crossJoin(kept)
+    assert sorted((x.severity, x.finding) for x in Q.findings(rows).collect()) == sorted(found)
+    h, m, low = (sum(s == level for s, _ in found) for level in ("High", "Medium", "Low"))
+    assert Q.record_scores(rows).first().score == max(0, 100 - 25 * h - 10 * m - 2 * low)
+
+
+def test_similar_titles_of_other_stories(spark, sf_dir):
+    from difflib import SequenceMatcher
+
+    from tidemark.operators.dedupe import dedupe_key
+
+    r = story_records(spark, sf_dir)
+    rows = r.select("record_id", C.title_fingerprint("title", V.TITLE_STOPWORDS).alias("fp"), dedupe_key().alias("key")).orderBy("record_id").collect()
+    # the pair of fingerprints has the ratio in the order of their first records
+    first = {}
+    for x in rows:
+        first.setdefault(x.fp, x)
+    want = set()
+    for x in rows:
+        for e in first.values():
+            a, b = sorted((first[x.fp], e), key=lambda y: y.record_id)
+            if x.fp and e.fp and e.record_id < x.record_id and e.key != x.key and SequenceMatcher(None, a.fp, b.fp).ratio() >= 0.85:
+                want.add((x.record_id, e.record_id))
+    assert {(x.record_id, x.similar_to) for x in Q.near_title_findings(r).collect()} == want and want
 
 
 def test_grounding(spark):

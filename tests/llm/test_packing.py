@@ -60,7 +60,6 @@ def test_pack_against_the_library(spark, edge, none):
 
     path, cap = tokenizers.path("word_bpe_49k.json"), 512
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rows = pack(stored(cut_pieces(edge, path, cap, 1, True), "pieces"), cap).collect()
     want = Counter()
     for doc, text in edge_rows():

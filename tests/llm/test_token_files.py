@@ -13,19 +13,41 @@ from tidemark.llm.units import UnitEncoder
 from .conftest import edge_rows
 
 tokenizers = pytest.importorskip("public_tokenizers")
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 TEXTS = ["", " ", "  a b", "a  b \n c", "\n\n a's 'x \x1c z", "\xa0 foo  bar", "a\r\n  b ", "<|endoftext|> x", " \x1c a", "é é ́", "Stop. Go, now... THE End.", "can't won't I'LL", "日本語 text 123,456.", "x" * 3000]
 
 
 KINDS = [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)]
 
 
+PLAIN = {}
+
+
+def plain(path, texts):
+    """Ids of a tokenizer as its file makes it, by whole texts."""
+    t = PLAIN.setdefault(path, Tokenizer.from_file(path))
+    return [np.array(x.ids, np.uint32).tobytes() for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
 def same(e, texts):
     ids, ends = e.encode(pa.array(texts, pa.string()))
     got = [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    for text, x, y in zip(texts, got, e.library([t or "" for t in texts]), strict=True):
+    for text, x, y in zip(texts, got, plain(e.path, texts), strict=True):
         assert x == y, repr(text)
 
 
+@pytest.mark.parametrize(("name", "drops"), KINDS)
+def test_texts_with_added_tokens(name, drops):
+    e, r = UnitEncoder(tokenizers.path(name), drops), np.random.default_rng(4)
+    added = ["<|startoftext|>", "<|endoftext|>", "<|EndOfText|>", "<|", "<|endoftext", "endoftext|>", " <|endoftext|> ", "<|endoftext|><|endoftext|>"]
+    parts = [*added, "a", " b", "The end.", "\n\n", "  ", "é", "I'm", "<", "|>"]
+    texts = ["".join(r.choice(parts, r.integers(1, 9))) for _ in range(400)]
+    same(e, [*TEXTS, *added, *texts, None, ""])
+    for t in added:
+        same(e, [t])
+    assert any(np.frombuffer(x, np.uint32).max(initial=0) >= 49_406 for x in plain(e.path, texts)), "added tokens have ids of their own"
+
+
 @pytest.mark.parametrize(("name", "drops"), KINDS)
 def test_units_give_the_library_s_ids(name, drops):
     e = UnitEncoder(tokenizers.path(name), drops, memo_bytes=2000)
@@ -82,7 +104,6 @@ def test_files_against_the_library(spark, edge, none):
 
     path = tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = read_token_files(stored(write_token_files(edge, path, shard_tokens=500), "files")).collect()
     start, want = 0, []
     for doc, text in sorted(edge_rows(), key=lambda r: (-(1 << 63) if r[0] is None else r[0], r[1] or "")):

@@ -9,7 +9,7 @@ only.
 
 Texts are split and their units numbered in Arrow; only distinct units of a slice are looked up in Python, and those not
 in the memo go through the library, many at a time: a text of many units is encoded and its ids are parted again where a
-unit begins.
+unit begins.  A text that holds the string of an added token (an end mark, say) goes to the library whole.
 """
 
 from __future__ import annotations
@@ -45,7 +45,10 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         assert sys.byteorder == "little" and array("I").itemsize == 4
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # units hold no added token: texts with one don't come here
+        self.path, self.whole = path, None
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added, self.begin = "(?i)" + "|".join(map(re.escape, added)) if added else "", re.match(r"[^\w\s]*", os.path.commonprefix(added)).group()
         self.drops_space, self.memo_bytes, self.held = drops_space, memo_bytes, 0
         #: the tokenizer parts letters from "." and ",", and takes A-Z for a-z (its own file tells)
         tells = self.tokenizer.to_str().partition('"model"')[0]
@@ -63,6 +66,21 @@ class UnitEncoder:
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def with_added(self, texts: pa.Array) -> list[int]:
+        """Texts that may hold an added token's string, in whatever case."""
+        if not self.added:
+            return []
+        some = np.flatnonzero(pc.match_substring(texts, self.begin).to_numpy(zero_copy_only=False))
+        return some[pc.match_substring_regex(texts.take(pa.array(some)), self.added).to_numpy(zero_copy_only=False)].tolist() if len(some) else []
+
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        """Ids as the library gives them for whole texts, added tokens included."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return [array("I", x.ids).tobytes() for x in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _parted(self, ids: np.ndarray, units: list[str]) -> list[bytes]:
         """The ids of a text of units, parted where a unit begins."""
         if self.drops_space:
@@ -141,6 +159,15 @@ class UnitEncoder:
         texts = pc.fill_null(texts, "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        whole = self.with_added(texts)
+        if not whole:
+            return self._encode(texts)
+        mask = np.zeros(len(texts), bool)
+        mask[whole] = True
+        ids, edges = self._encode(pc.if_else(pa.array(mask), pa.scalar("", texts.type), texts))
+        return self._put(whole, self.encode_whole(texts.take(pa.array(whole)).to_pylist()), ids, edges)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pieces = pc.ascii_split_whitespace(texts) if self.drops_space else pc.split_pattern(texts, " ")
         ends = pieces.offsets.to_numpy().astype(np.int64)
         ends -= ends[0]
@@ -181,9 +208,13 @@ class UnitEncoder:
         of = dict(zip(odd, self.library([" " + u for u in odd]), strict=True))
         even = [u for u in units if u not in of]
         of.update(zip(even, self._ids_of(even), strict=True))
+        heads = self.library([h for h, _ in split])
+        return self._put(loose, [first + b"".join(map(of.__getitem__, rest)) for (_, rest), first in zip(split, heads, strict=True)], ids, edges)
+
+    def _put(self, places: list[int], got: list[bytes], ids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids and edges with those of some texts, which have none there, put in."""
         parts, sizes, last = [], np.diff(edges), 0
-        for k, (head, rest), first in zip(loose, split, self.library([h for h, _ in split]), strict=True):
-            raw = first + b"".join(map(of.__getitem__, rest))
+        for k, raw in zip(places, got, strict=True):
             parts += [ids[last : edges[k]], np.frombuffer(raw, np.uint32)]
             last, sizes[k] = edges[k], len(raw) // 4
         return np.concatenate([*parts, ids[last:]]), np.concatenate([[0], np.cumsum(sizes)])

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _literal(v: str | int) -> str:
+    return str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def texts(values: Iterable[str]) -> Column:
-    """An array literal of strings."""
+    """An array literal of strings, as one expression: a call for each value would make long tables slow to plan."""
     values = list(values)
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    return F.expr(f"array({', '.join(map(_literal, values))})") if values else F.array().cast("array<string>")
 
 
 def mapping(pairs: dict[str, str | int]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+    return F.expr(f"map({', '.join(_literal(x) for pair in pairs.items() for x in pair)})")
 
 
 def collapse(c: Column) -> Column:
@@ -78,6 +83,26 @@ def any_like(c: Column, patterns: Iterable[str]) -> Column:
     return c.rlike("(?i)" + "|".join(f"(?:{bounded(p)[4:]})" for p in patterns))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def tells_any(c: Column, patterns: Iterable[str]) -> Column:
+    """any_like() for a lower-cased text and patterns in lower case: literal ones are looked up as such, and of others their literal head first."""
+    out = F.lit(False)
+    for p in patterns:
+        head = re.match(r"(?:\\b)?([a-z0-9 -]*)", p).group(1)
+        if head == p:
+            out = out | c.contains(p)
+            continue
+        if p.removeprefix(r"\b")[len(head) : len(head) + 1] in ("?", "*", "{"):
+            head = head[:-1]
+        like = c.rlike(bounded(p)[4:])
+        out = out | (c.contains(head) & like if head and "|" not in p else like)
+    return out
+
+
 def contains_any(c: Column, parts: Iterable[str]) -> Column:
     out = F.lit(False)
     for p in parts:
@@ -112,7 +137,15 @@ def is_iso(c: Column) -> Column:
 
 
 def first_date(c: Column) -> Column:
-    """The first ISO, else day-month-year, else month-day-year date of a text; only the first place of each form is tried."""
-    part = lambda p, k: F.regexp_extract(c, p, k)
-    iso = F.try_to_date(F.nullif(part(ISO_DATE, 2), F.lit("")), "yyyy-MM-dd")
-    return F.coalesce(iso, made_date(part(DAY_MONTH_YEAR, 4), part(DAY_MONTH_YEAR, 3), part(DAY_MONTH_YEAR, 2)), made_date(part(MONTH_DAY_YEAR, 4), part(MONTH_DAY_YEAR, 2), part(MONTH_DAY_YEAR, 3)))
+    """The first ISO, else day-month-year, else month-day-year date of a text; only the first place of each form is tried.
+
+    A text is looked through once for each form, and only if it has four digits; the parts come from what is found.
+    """
+    part = lambda m, p, k: F.regexp_extract(m, p, k)
+
+    def found(text: Column) -> Column:
+        iso = F.try_to_date(F.nullif(part(text, ISO_DATE, 2), F.lit("")), "yyyy-MM-dd")
+        day_first = bind(part(text, DAY_MONTH_YEAR, 0), lambda m: made_date(*(part(m, DAY_MONTH_YEAR, k) for k in (4, 3, 2))))
+        return F.coalesce(iso, day_first, bind(part(text, MONTH_DAY_YEAR, 0), lambda m: made_date(*(part(m, MONTH_DAY_YEAR, k) for k in (4, 2, 3)))))
+
+    return bind(c, lambda text: F.when(text.rlike("[0-9]{4}"), found(text)))

@@ -57,12 +57,15 @@ def region_topic_matrix(records: DataFrame, regions: int = 6, topics: int = 8) -
     """Distinct records and summed weight 1 / (regions x topics) of each pair of the heaviest regions and topics, with its share in per cent."""
     pairs = records.where((F.size("regions") > 0) & (F.size("topics") > 0)).select("record_id", (F.lit(1.0) / (F.size("regions") * F.size("topics"))).alias("w"), F.explode("regions").alias("region"), "topics").select("record_id", "w", "region", F.explode("topics").alias("topic"))
     matrix = pairs.groupBy("region", "topic").agg(F.countDistinct("record_id").alias("n_records"), F.round(F.sum("w"), 4).alias("weight"))
-    # the matrix has a row for each pair of two vocabularies; both axes are chosen on the whole of it
-    best = lambda axis, most: F.broadcast(matrix.groupBy(axis).agg(F.round(F.sum("weight"), 4).alias("s")).orderBy(F.desc("s"), axis).limit(most).select(axis))
-    shown = matrix.join(best("region", regions), "region", "left_semi").join(best("topic", topics), "topic", "left_semi")
-    total = shown.agg(F.sum("weight").alias("_total"))
-    share = F.round(100.0 * F.col("weight") / F.greatest(F.col("_total"), F.lit(1e-9)), 1)
-    return shown.crossJoin(F.broadcast(total)).select("region", "topic", "n_records", "weight", share.alias("share_pct"))
+    # the matrix has a row for each pair of two vocabularies: windows over it rank both axes on the whole of it
+
+    def place(axis: str) -> Column:
+        return F.dense_rank().over(Window.orderBy(F.desc(f"_{axis}"), axis))
+
+    sums = matrix.withColumns({f"_{axis}": F.round(F.sum("weight").over(Window.partitionBy(axis)), 4) for axis in ("region", "topic")})
+    shown = sums.withColumns({"_r": place("region"), "_t": place("topic")}).where((F.col("_r") <= regions) & (F.col("_t") <= topics))
+    share = F.round(100.0 * F.col("weight") / F.greatest(F.sum("weight").over(Window.partitionBy(F.lit(1))), F.lit(1e-9)), 1)
+    return shown.select("region", "topic", "n_records", "weight", share.alias("share_pct"))
 
 
 def trend(runs: DataFrame, frame: int = 5) -> DataFrame:

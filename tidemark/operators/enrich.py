@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
-from tidemark.functions.columns import ISO_DATE, bounded, collapse, distinct_ignoring_case, first_date, is_iso, made_date, mapping, texts
+from tidemark.functions.columns import ISO_DATE, bind, bounded, collapse, distinct_ignoring_case, first_date, is_iso, made_date, mapping, texts
 
 from . import rules as R
 
@@ -74,8 +74,12 @@ def event_zone(text: Column) -> Column:
 
 def header_date(zone: Column, kind: str) -> Column:
     """The date of a header; only the first place of each pattern is tried."""
-    part = lambda p, k: F.regexp_extract(zone, "(?i)" + p, k)
-    return F.coalesce(*(made_date(part(p, 4), part(p, 2), part(p, 3)) for p in (MONTH_DAY_YEAR + e for e in HEADER_ENDINGS[kind])))
+
+    def found(text: Column, pattern: str) -> Column:
+        return bind(F.regexp_extract(text, pattern, 0), lambda m: made_date(*(F.regexp_extract(m, pattern, k) for k in (4, 2, 3))))
+
+    forms = ["(?i)" + MONTH_DAY_YEAR + e for e in HEADER_ENDINGS[kind]]
+    return bind(zone, lambda z: F.when(z.rlike("[0-9]{4}"), F.coalesce(*(found(z, p) for p in forms))))
 
 
 def dates(d: DataFrame) -> DataFrame:
@@ -120,11 +124,15 @@ def dates(d: DataFrame) -> DataFrame:
 
 def publisher(text: Column) -> Column:
     """The publisher that a text's markers tell."""
-    low = F.lower(text)
-    sp = F.lit(False)
-    for m in SP_MARKERS:
-        sp = sp | low.contains(m)
-    return F.when(sp, "S&P").when(low.contains("marklines"), "MarkLines").when(low.contains("automotive news"), "Automotive News").when(text.rlike(REUTERS_LINE), "Reuters")
+
+    def told(low: Column) -> Column:
+        sp = F.lit(False)
+        for m in SP_MARKERS:
+            sp = sp | low.contains(m)
+        reuters = low.contains("reuters") & text.rlike(REUTERS_LINE)
+        return F.when(sp, "S&P").when(low.contains("marklines"), "MarkLines").when(low.contains("automotive news"), "Automotive News").when(reuters, "Reuters")
+
+    return bind(F.lower(text), told)
 
 
 def known_companies() -> dict[str, str]:
@@ -153,14 +161,18 @@ def names(d: DataFrame, own_names: list[str]) -> DataFrame:
     """Steps 3, 5, 9 to 11, 17 and 18: URL, own company, source, actor, countries, government entities, companies."""
     url = collapse(F.col("original_url"))
     bag = F.lower(F.concat_ws(" ", F.when(F.trim("source_text") != "", F.col("source_text")), F.when(F.trim("title") != "", F.col("title")), *(F.array_join(F.filter(c, lambda x: F.trim(x) != ""), " ") for c in ("evidence", "insights", "keywords"))))
-    own = F.lit(False)
-    for n in own_names:
-        own = own | bag.rlike(alias_pattern(n.lower()))
+
+    def names_own(text: Column) -> Column:
+        out = F.lit(False)
+        for n in own_names:
+            out = out | (text.contains(n.lower()) & text.rlike(alias_pattern(n.lower())))
+        return out
+
     actor = F.lower(F.trim("actor_type"))
     actor = F.coalesce(F.try_element_at(mapping(V.ACTOR_ALIASES), actor), actor)
     d = d.withColumns({
         "url_final": F.when(url.rlike(r"^https?://[^ ]+$"), url),
-        "mentions_final": own,
+        "mentions_final": bind(bag, names_own),
         "source_final": F.coalesce(publisher(F.col("all_text")), F.col("source_1")),
         "actor_final": F.when(F.coalesce(actor, F.lit("")) == "", F.col("actor_type")).when(actor.isin(V.ACTOR_TYPES), actor).otherwise("other"),
         "countries_final": by_table(no_list("countries"), V.COUNTRY_ALIASES),
@@ -173,7 +185,7 @@ def names(d: DataFrame, own_names: list[str]) -> DataFrame:
 
 def region_hints(text: Column) -> Column:
     """Regions that a lower-cased text tells: by alias as a word, by name anywhere, by city."""
-    found = [F.when(text.rlike(alias_pattern(a)), F.lit(r)) for a, r in V.REGION_ALIASES.items()]
+    found = [F.when(text.contains(a) & text.rlike(alias_pattern(a)), F.lit(r)) for a, r in V.REGION_ALIASES.items()]
     found += [F.when(text.contains(r.lower()), F.lit(r)) for r in V.REGIONS] + [F.when(text.contains(c), F.lit(r)) for c, r in V.CITY_REGIONS.items()]
     return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
-from tidemark.functions.columns import any_like, texts, word
+from tidemark.functions.columns import tells_any, texts, word
 
 from .filters import key_maker, key_supplier
 
@@ -41,7 +41,7 @@ def theme_text() -> Column:
 
 def _group(kind: str, values: list[str]) -> Column:
     if kind == "keywords":
-        return any_like(F.col("_text"), values)
+        return tells_any(F.col("_text"), values)
     return F.coalesce(F.arrays_overlap("_companies" if kind == "companies" else kind, texts(values)), F.lit(False))
 
 
@@ -52,7 +52,7 @@ def _strength(k: int, rule: dict) -> Column:
     """0: the theme does not fire."""
     groups, fires = F.col(f"_g{k}"), F.col(f"_g{k}") >= 2
     if "anti" in rule:
-        fires &= (groups >= 3) | ~any_like(F.col("_text"), rule["anti"])
+        fires &= (groups >= 3) | ~tells_any(F.col("_text"), rule["anti"])
     if rule.get("premium"):
         fires &= _group("companies", V.PREMIUM_MAKERS)
     if "required" in rule:

@@ -32,8 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its files are fewer splits than that (one row group is one task); a larger table is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def story_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return records(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def query(covers: str, sql: str | None = None, on_records: bool = False):

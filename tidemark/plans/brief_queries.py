@@ -15,11 +15,11 @@ from .catalog import query, table
 from .record_queries import _BRIEFS, AS_OF, _briefs
 
 _LF = "regexp_replace(trim(coalesce(text, '')), '[ \\t\\r\\n\\f]+', ' ', 'g')"
-_LINES = f"""WITH c AS (SELECT conv_id, turn, conv_id % 5 AS brief_id, conv_id * 1000 + turn AS line_no, length(coalesce(text, '')) AS n, trim({_LF}) AS body, {_list(V.KNOWN_SECTIONS)}[((conv_id * 3 + conv_id // 5) % {len(V.KNOWN_SECTIONS)}) + 1] AS h FROM conversations),
+_LINES = f"""WITH c AS (SELECT conv_id, turn, conv_id // 5 AS brief_id, conv_id * 1000 + turn AS line_no, length(coalesce(text, '')) AS n, trim({_LF}) AS body, {_list(V.KNOWN_SECTIONS)}[((conv_id * 3 + conv_id // 5) % {len(V.KNOWN_SECTIONS)}) + 1] AS h FROM conversations),
  lines AS (SELECT brief_id, line_no, CASE WHEN turn = 0 THEN CASE n % 3 WHEN 0 THEN '## ' || h WHEN 1 THEN '<summary>' || h || '</summary> ' || body ELSE '**' || h || ':**' END
    WHEN n % 13 = 0 THEN '- **Regulatory & Safety:**' WHEN n % 13 = 1 THEN '<details>' WHEN n % 13 = 2 THEN 'None observed' WHEN n % 13 = 3 THEN 'Period: ' || n || ' days'
    ELSE CASE WHEN n % 7 = 0 THEN '' ELSE '- ' END || CASE WHEN n % 3 = 0 THEN 'Tidemark: ' ELSE '' END || body || CASE WHEN n % 11 < 3 THEN ' The board decided on the report next week' ELSE '' END
-     || CASE n % 5 WHEN 0 THEN '' WHEN 1 THEN ' REC:r' || (conv_id % 5) WHEN 2 THEN ' (rec # r' || (conv_id % 5) || ', REC:x1)' WHEN 3 THEN ' REC:1' ELSE ' REC:r' || (conv_id % 5) || ' REC:s' || (conv_id % 5) END END AS line FROM c),
+     || CASE n % 5 WHEN 0 THEN '' WHEN 1 THEN ' REC:r' || (conv_id // 5) WHEN 2 THEN ' (rec # r' || (conv_id // 5) || ', REC:x1)' WHEN 3 THEN ' REC:1' ELSE ' REC:r' || (conv_id // 5) || ' REC:s' || (conv_id // 5) END END AS line FROM c),
  selected AS (SELECT DISTINCT brief_id, ['r' || brief_id, 's' || brief_id] AS ids FROM lines),
  recs AS (SELECT brief_id, CASE WHEN brief_id % 3 = 0 THEN 'Low' ELSE 'High' END AS confidence, CASE WHEN brief_id % 2 = 0 THEN 'it could slip' ELSE 'it is firm' END AS said FROM selected),
  hl AS (SELECT *, CASE WHEN list_contains({_list(V.KNOWN_SECTIONS)}, trim(regexp_extract(trim(line), '{B.TITLE}', 1))) THEN trim(regexp_extract(trim(line), '{B.TITLE}', 1)) WHEN list_contains({_list(V.KNOWN_SECTIONS)}, upper(regexp_extract(line, '{B.SUMMARY}', 1))) THEN upper(regexp_extract(line, '{B.SUMMARY}', 1)) END AS heading FROM lines),
@@ -43,16 +43,16 @@ _LINES = f"""WITH c AS (SELECT conv_id, turn, conv_id % 5 AS brief_id, conv_id *
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Briefs made of conversations: a first turn is a heading of some form, the others are lines with citations of every kind."""
+    """Briefs made of five conversations each: a first turn is a heading of some form, the others are lines with citations of every kind."""
     c = table(spark, sf_dir, "conversations")
     n, conv = F.length(F.coalesce("text", F.lit(""))), F.col("conv_id")
-    body, own = F.trim(collapse(F.coalesce("text", F.lit("")))), (conv % 5).cast("string")
+    body, own = F.trim(collapse(F.coalesce("text", F.lit("")))), F.floor(conv / 5).cast("string")
     h = F.element_at(texts(V.KNOWN_SECTIONS), ((conv * 3 + F.floor(conv / 5)) % len(V.KNOWN_SECTIONS) + 1).cast("int"))
     cite = F.when(n % 5 == 0, "").when(n % 5 == 1, F.concat(F.lit(" REC:r"), own)).when(n % 5 == 2, F.concat(F.lit(" (rec # r"), own, F.lit(", REC:x1)"))).when(n % 5 == 3, " REC:1").otherwise(F.concat(F.lit(" REC:r"), own, F.lit(" REC:s"), own))
     head = F.when(n % 3 == 0, F.concat(F.lit("## "), h)).when(n % 3 == 1, F.concat(F.lit("<summary>"), h, F.lit("</summary> "), body)).otherwise(F.concat(F.lit("**"), h, F.lit(":**")))
     line = F.concat(F.when(n % 7 == 0, "").otherwise("- "), F.when(n % 3 == 0, "Tidemark: ").otherwise(""), body, F.when(n % 11 < 3, " The board decided on the report next week").otherwise(""), cite)
     line = F.when(F.col("turn") == 0, head).when(n % 13 == 0, "- **Regulatory & Safety:**").when(n % 13 == 1, "<details>").when(n % 13 == 2, "None observed").when(n % 13 == 3, F.concat(F.lit("Period: "), n.cast("string"), F.lit(" days"))).otherwise(line)
-    return c.select((conv % 5).alias("brief_id"), (conv * 1000 + F.col("turn")).alias("line_no"), line.alias("line"))
+    return c.select(F.floor(conv / 5).alias("brief_id"), (conv * 1000 + F.col("turn")).alias("line_no"), line.alias("line"))
 
 
 def _selected(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

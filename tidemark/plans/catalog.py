@@ -21,7 +21,6 @@ LEFT_OUT = {
     "S12": "calls a language model",
     "S18": "a driver-side spreadsheet; its sheets are findings_pivot, qc_record_scores, kpi_prev, quality_run and qc_findings",
     "S20": "a driver-side document writer, for which nothing is installed",
-    "S22": "caching is Spark's own: df.cache()",
     "T9": "calls language models in turn",
     "T24": "calls a language model",
     "M9": "locks a user interface",

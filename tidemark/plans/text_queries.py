@@ -92,9 +92,12 @@ def clean_or_original(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.md5(chosen).alias("text_md5"), little.alias("fell_back"))
 
 
-@query("T3", r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))[1:40] AS ls FROM documents), e AS (SELECT doc_id, trim(regexp_replace(unnest(ls), '[ \t\r\n\f]+', ' ', 'g')) AS line, generate_subscripts(ls, 1) AS idx FROM l),
+_TITLES = r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))[1:40] AS ls FROM documents), e AS (SELECT doc_id, trim(regexp_replace(unnest(ls), '[ \t\r\n\f]+', ' ', 'g')) AS line, generate_subscripts(ls, 1) AS idx FROM l),
  w AS (SELECT *, regexp_extract_all(line, '[A-Za-z][A-Za-z''-]*') AS ws, len(list_filter(string_split(line, ' '), lambda w: w <> '')) AS parts FROM e), k AS (SELECT *, len(ws) AS n, len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Z]'))) AS up, len(list_filter(ws, lambda w: regexp_matches(w, '^[A-Z''-]+$'))) AS shout FROM w)
- SELECT doc_id, arg_min(line, idx) AS title FROM k WHERE line <> '' AND NOT regexp_matches(line, '(?i)https?://|www\.') AND ((contains(line, ' - ') AND parts BETWEEN 6 AND 30) OR (n BETWEEN 6 AND 20 AND up >= 0.55 * n AND shout < 0.7 * n)) GROUP BY 1""")
+ SELECT doc_id, arg_min(line, idx) AS title FROM k WHERE line <> '' AND NOT regexp_matches(line, '(?i)https?://|www\.') AND ((contains(line, ' - ') AND parts BETWEEN 6 AND 30) OR (n BETWEEN 6 AND 20 AND up >= 0.55 * n AND shout < 0.7 * n)) GROUP BY 1"""
+
+
+@query("T3", _TITLES)
 def detect_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.title_line(table(spark, sf_dir, "documents"))
 
@@ -189,19 +192,47 @@ def relink_ids(r: DataFrame) -> DataFrame:
     return Z.relinked(old, keyed.where("review_status <> 'Disapproved'"))
 
 
-@query("T4, W8")
+_WS = r"[ \t\n\x0B\f\r]"
+_PARAGRAPHS = rf"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n{_WS}*\n+'), lambda p: regexp_replace(p, '^{_WS}+|{_WS}+$', '', 'g')), lambda p: p <> '')"
+_SENTENCES = rf"list_filter(list_transform(string_split(regexp_replace(p, '([.!?]){_WS}+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+_GROWN = "CASE WHEN a.open = '' THEN x.open ELSE a.open || ' ' || x.open END"
+#: A fold over sentences: chunks that are done, and the one that is open.
+_FOLD = f"""list_reduce(list_concat([{{'done': []::VARCHAR[], 'open': ''}}], list_transform({_SENTENCES}, lambda s: {{'done': []::VARCHAR[], 'open': s}})),
+  lambda a, x: CASE WHEN a.open <> '' AND length({_GROWN}) > 1200 THEN {{'done': list_append(a.done, a.open), 'open': x.open}} WHEN length({_GROWN}) >= 800 THEN {{'done': list_append(a.done, {_GROWN}), 'open': ''}} ELSE {{'done': a.done, 'open': {_GROWN}}} END)"""
+
+
+@query("T4, W8", f"""WITH p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (SELECT doc_id, {_PARAGRAPHS} AS ps FROM documents)),
+ r AS (SELECT doc_id, k, CASE WHEN length(p) <= 1200 THEN {{'done': [p], 'open': ''}} ELSE {_FOLD} END AS r FROM p),
+ c AS (SELECT doc_id, k, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS j FROM (SELECT doc_id, k, CASE WHEN r.open = '' THEN r.done ELSE list_append(r.done, r.open) END AS chunks FROM r))
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, j) - 1 AS INTEGER) AS idx, CAST(length(chunk) AS INTEGER) AS n_chars, md5(chunk) AS chunk_md5 FROM c""")
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence-bounded chunks of every document."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(K.sentence_chunks(F.col("text"))).alias("idx", "chunk"))
     return d.select("doc_id", "idx", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 
-@query("W7, T1")
+_MOST, _OVERLAP = 1500, 200
+_FRAME = V.CHUNK_HEADER.split("{i}")[0], V.CHUNK_HEADER.split("{i}")[1].split("{n}")[0], V.CHUNK_HEADER.split("{n}")[1].split("{t}")[0], V.CHUNK_HEADER.split("{t}")[1]
+_TAIL_END = rf"""regexp_replace(CASE WHEN length(a[-1]) > {_OVERLAP} AND regexp_matches(substring(a[-1], length(a[-1]) - {_OVERLAP}, 2), '^[\p{{L}}\p{{N}}]{{2}}$') THEN regexp_replace(right(a[-1], {_OVERLAP}), '^[\p{{L}}\p{{N}}]+', '') ELSE right(a[-1], {_OVERLAP}) END, '^{_WS}+|{_WS}+$', '', 'g')"""
+_LF2 = "chr(10) || chr(10)"
+
+
+def _plain(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("W7, T1", f"""WITH titles AS ({_TITLES}), d AS (SELECT d.doc_id, replace(d.text, chr(10), {_LF2}) AS text, coalesce(t.title, '') AS title FROM documents d LEFT JOIN titles t ON t.doc_id = d.doc_id),
+ p AS (SELECT doc_id, title, greatest({V.CHUNK_LEAST}, {_MOST - V.CHUNK_SPARE - sum(map(len, _FRAME)) - 2} - length(title)) AS room, {_PARAGRAPHS} AS ps FROM d),
+ k AS (SELECT doc_id, title, list_reduce(list_transform(ps, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) + 2 + length(x[1]) <= room THEN list_append(a[1:len(a) - 1], a[-1] || {_LF2} || x[1]) ELSE list_append(a, x[1]) END) AS packed FROM p WHERE len(ps) > 0),
+ l AS (SELECT doc_id, title, list_reduce(list_transform(packed, lambda x: [x]), lambda a, x: list_append(a, CASE WHEN {_TAIL_END} = '' THEN x[1] ELSE {_TAIL_END} || {_LF2} || x[1] END)) AS led FROM k),
+ c AS (SELECT doc_id, title, len(led) AS n, unnest(led) AS body, generate_subscripts(led, 1) AS i FROM l),
+ o AS (SELECT doc_id, i, {_plain(_FRAME[0])} || i || {_plain(_FRAME[1])} || n || {_plain(_FRAME[2])} || title || {_plain(_FRAME[3])} || body AS chunk FROM c)
+ SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, CAST(length(chunk) AS INTEGER) AS n_chars, md5(chunk) AS chunk_md5 FROM o""")
 def overlap_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with a header that begin with the tail of the chunk before; lines are taken for paragraphs."""
     docs = table(spark, sf_dir, "documents")
     titled = docs.select("doc_id", "text").join(C.title_line(docs), "doc_id", "left")
-    d = titled.select("doc_id", F.posexplode(K.overlap_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.coalesce("title", F.lit("")), 1500, 200)).alias("idx", "chunk"))
+    d = titled.select("doc_id", F.posexplode(K.overlap_chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.coalesce("title", F.lit("")), _MOST, _OVERLAP)).alias("idx", "chunk"))
     return d.select("doc_id", "idx", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 

@@ -206,7 +206,7 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRIVERS = "list_filter([" + ", ".join(f"CASE WHEN {g} <> 0 THEN {{'a': -abs({g}), 'k': '{k}', 'v': {g}}} END" for g, k in (("q1", "publish_date_present"), ("q2", "source_type_known"), ("q3", "evidence_bullets"), ("q4", "key_insights"), ("q5", "rule_corrections"), ("q6", "date_backfilled"))) + "], lambda x: x IS NOT NULL)"
 
 
-@query("T33", _sql(*_ALL, f"""SELECT record_id, CASE WHEN priority_final = priority_llm THEN 'Priority ' || priority_final || ' as extracted.' ELSE 'Priority ' || priority_llm || ' changed to ' || priority_final || ': ' || replace(priority_reason, '_', ' ') || '.' END AS sentence,
+@query("T33, T15", _sql(*_ALL, f"""SELECT record_id, CASE WHEN priority_final = priority_llm THEN 'Priority ' || priority_final || ' as extracted.' ELSE 'Priority ' || priority_llm || ' changed to ' || priority_final || ': ' || replace(priority_reason, '_', ' ') || '.' END AS sentence,
   array_to_string(list_transform(list_sort({_DRIVERS})[1:8], lambda e: e.k || CASE WHEN e.v > 0 THEN ' +' ELSE ' ' END || e.v), '; ') AS drivers, CAST({_SCORE} AS INTEGER) AS confidence_score FROM processed"""))
 def record_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why a record has its priority and confidence."""

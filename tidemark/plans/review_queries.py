@@ -11,6 +11,7 @@ from tidemark.operators import dedupe as D
 from tidemark.operators import filters as P
 from tidemark.operators import maintenance as M
 from tidemark.operators import quality as Q
+from tidemark.operators.merging import merge_lists, merge_records
 from tidemark.operators.records import RECORDS_SQL, _list
 
 from .catalog import query, table
@@ -100,24 +101,50 @@ _MERGE = f"""WITH c AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, t
  k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, kind ORDER BY place) AS rn FROM s WHERE short OR NOT any_short) """
 
 
-@query("A20, T10", _MERGE + """, g AS (SELECT conv_id, kind, string_agg(item, ' | ' ORDER BY rn) AS items, count(*) AS n FROM k WHERE rn <= cap GROUP BY ALL)
- SELECT conv_id, kind, md5(CASE WHEN kind = 'bullets' AND n < 2 THEN items || ' | Evidence extracted from cleaned document chunks.' ELSE items END) AS items_md5, CAST(CASE WHEN kind = 'bullets' THEN greatest(n, 2) ELSE n END AS INTEGER) AS n FROM g""")
-def chunk_merge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of a conversation's turns as one, by order, without repeats, capped; short bullets first, and two at least."""
-    from tidemark.operators.merging import merge_lists
-
+def _turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the extraction of each turn of a conversation may have given."""
     n, body = F.length(F.coalesce("text", F.lit(""))), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \t\r\n\f]+", " "))
     pick = lambda values, at: F.element_at(texts(values), (at % len(values) + 1).cast("int"))
-    chunks = table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn",
         F.array(pick(V.TOPICS, n), F.upper(pick(V.TOPICS, n + 4)), F.lit(" ")).alias("topics"),
         F.array(pick(V.DEALT_KEYWORDS, n), F.concat(F.lit(" "), pick(V.DEALT_KEYWORDS, n * 3), F.lit(" "))).alias("keywords"),
         F.array(body, F.concat(F.lit("Point "), (n % 7).cast("string"))).alias("bullets"),
+        F.when(n % 4 == 0, "Other").when(n % 4 == 1, "Reuters").otherwise("S&P").alias("source_type"),
+        F.when(n % 3 != 0, body).alias("title"),
+        F.when(n % 5 == 0, F.concat(F.lit("https://example.com/"), n.cast("string"))).otherwise(" ").alias("url"),
+        (n % 11 == 0).alias("mentions_our_company"),
+        F.when(n % 6 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (n % 28).cast("int"))).alias("publish_date"),
+        pick(["High", "Medium", "Low"], n).alias("publish_date_confidence"),
     )
-    m = merge_lists(chunks, "conv_id", "turn", {"topics": 3, "keywords": 12, "bullets": 4}, short="bullets")
+
+
+_CAPS = {"topics": 3, "keywords": 12, "bullets": 4}
+
+
+@query("A20", _MERGE + """, g AS (SELECT conv_id, kind, string_agg(item, ' | ' ORDER BY rn) AS items, count(*) AS n FROM k WHERE rn <= cap GROUP BY ALL)
+ SELECT conv_id, kind, md5(CASE WHEN kind = 'bullets' AND n < 2 THEN items || ' | Evidence extracted from cleaned document chunks.' ELSE items END) AS items_md5, CAST(CASE WHEN kind = 'bullets' THEN greatest(n, 2) ELSE n END AS INTEGER) AS n FROM g""")
+def chunk_merge_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of a conversation's turns as one, by order, without repeats, capped; short bullets first, and two at least."""
+    m = merge_lists(_turn_chunks(spark, sf_dir), "conv_id", "turn", _CAPS, short="bullets")
     return m.select("conv_id", "kind", F.md5(F.array_join("items", " | ")).alias("items_md5"), F.size("items").alias("n"))
 
 
+@query("T10, A19, A20, A21, A22", _MERGE + """, g AS (SELECT conv_id, kind, string_agg(item, ' | ' ORDER BY rn) AS items, count(*) AS n FROM k WHERE rn <= cap GROUP BY ALL),
+ li AS (SELECT conv_id, max(items) FILTER (kind = 'topics') AS topics, max(items) FILTER (kind = 'keywords') AS keywords, max(CASE WHEN n < 2 THEN items || ' | Evidence extracted from cleaned document chunks.' ELSE items END) FILTER (kind = 'bullets') AS bullets FROM g GROUP BY 1),
+ v AS (SELECT *, CASE n % 4 WHEN 0 THEN 'Other' WHEN 1 THEN 'Reuters' ELSE 'S&P' END AS source, CASE WHEN n % 3 <> 0 THEN body END AS title, CASE WHEN n % 5 = 0 THEN 'https://example.com/' || n ELSE ' ' END AS url, CASE WHEN n % 6 <> 0 THEN DATE '2024-01-01' + CAST(n % 28 AS INTEGER) END AS day, ['High', 'Medium', 'Low'][(n % 3) + 1] AS conf FROM c),
+ w AS (SELECT conv_id, source, row_number() OVER (PARTITION BY conv_id ORDER BY (source = 'Other'), count(*) DESC, min(turn)) AS place FROM v GROUP BY conv_id, source),
+ dd AS (SELECT conv_id, day, conf, row_number() OVER (PARTITION BY conv_id ORDER BY CASE conf WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END, day DESC) AS place FROM v WHERE day IS NOT NULL),
+ t AS (SELECT conv_id, count(*) AS n_chunks, arg_min(title, turn) FILTER (trim(title) <> '') AS title, arg_min(url, turn) FILTER (trim(url) <> '') AS url, bool_or(n % 11 = 0) AS ours FROM v GROUP BY 1)
+ SELECT t.conv_id, n_chunks, md5(coalesce(title, '')) AS title_md5, url, w.source AS source_type, ours AS mentions_our_company, CAST(dd.day AS VARCHAR) AS publish_date, dd.conf AS publish_date_confidence, coalesce(topics, '') AS topics, coalesce(keywords, '') AS keywords, md5(coalesce(bullets, '')) AS bullets_md5
+ FROM t JOIN w ON w.conv_id = t.conv_id AND w.place = 1 LEFT JOIN dd ON dd.conv_id = t.conv_id AND dd.place = 1 LEFT JOIN li ON li.conv_id = t.conv_id""")
+def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of a conversation, taken as chunk records, merged into one record."""
+    m = merge_records(_turn_chunks(spark, sf_dir), "conv_id", "turn", _CAPS, short="bullets")
+    joined = lambda c: F.array_join(c, " | ")
+    return m.select("conv_id", "n_chunks", F.md5(F.coalesce("title", F.lit(""))).alias("title_md5"), "url", "source_type", "mentions_our_company", F.col("publish_date").cast("string").alias("publish_date"), "publish_date_confidence", joined("topics").alias("topics"), joined("keywords").alias("keywords"), F.md5(joined("bullets")).alias("bullets_md5"))
+
+
 _NOW, _BEFORE = "publish_date BETWEEN DATE '2024-02-16' AND DATE '2024-02-22'", "publish_date BETWEEN DATE '2024-02-09' AND DATE '2024-02-15'"
 _CLOSURE = f"(list_contains(topics, 'Closure Technology & Innovation') OR regexp_matches(concat_ws(' ', title, array_to_string(keywords, ' '), array_to_string(evidence, ' '), array_to_string(insights, ' '), array_to_string(topics, ' ')), '(?i)(^|[^A-Za-z0-9_]){V.CLOSURE_PATTERN}($|[^A-Za-z0-9_])'))"
 _SIGNED = lambda d: f"CASE WHEN {d} > 0 THEN 'Increase ' || {d} WHEN {d} < 0 THEN 'Decrease ' || abs({d}) ELSE 'No change' END"

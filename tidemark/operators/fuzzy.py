@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -27,14 +28,50 @@ from pyspark.sql import types as T
 from tidemark.sources.stores import materialised
 
 LANES = 8  # longs of a bitmap
+CHARS, PAIRS = 64, 256  # bins of a title's counts
 CROWDED = 2_000  # prefixes with a gram from which on it is dealt out
 SMALL = 500_000  # rows up to which the table of grams is broadcast
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio; it depends on the order of its arguments."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+def _room(a: np.ndarray, b: np.ndarray, shared: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Which pairs of counts have as many common characters, and pairs of them, as so many shared characters bring."""
+    common = np.minimum(a, b).astype(np.int64)
+    return (common[:, :CHARS].sum(axis=1) >= shared) & (common[:, CHARS:].sum(axis=1) >= 3 * shared - both - 1)
+
+
+def reached(least: float) -> Callable[..., Column]:
+    """The Ratcliff-Obershelp ratio of two titles, or 0 where their counts (see `counts`) show that it is under `least`.
+
+    The ratio depends on the order of the titles.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.zeros(len(a))
+        both = np.array([len(p) + len(q) for p, q in zip(a, b, strict=True)], np.int64)
+        shared = np.ceil(least * both / 2 - 1e-9).astype(np.int64)
+        ok = np.zeros(len(a), bool)
+        for k in range(0, len(a), 2_000):
+            some = slice(k, k + 2_000)
+            rows = [np.frombuffer(b"".join(c[some]), np.uint16).reshape(-1, CHARS + PAIRS) for c in (x, y)]
+            ok[some] = _room(*rows, shared[some], both[some])
+        ok |= both > 60_000  # counts may not hold such lengths
+        for k in np.flatnonzero(ok).tolist():
+            out[k] = SequenceMatcher(None, a[k], b[k]).ratio()
+        return pd.Series(out)
+
+    return ratio
+
+
+@F.pandas_udf(T.BinaryType())
+def counts(titles: pd.Series) -> pd.Series:
+    """How often characters and pairs of neighbours stand in a title, in a fixed number of bins."""
+    out = []
+    for title in titles:
+        c = np.fromiter(map(ord, title or ""), np.int64, len(title or ""))
+        own = np.concatenate([np.bincount(c % CHARS, minlength=CHARS), np.bincount((c[:-1] * 31 + c[1:]) % PAIRS, minlength=PAIRS)])
+        out.append(np.minimum(own, 65_535).astype(np.uint16).tobytes())
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -73,8 +110,8 @@ def gram_size(ratio: float) -> int:
 
 
 def signed(titles: DataFrame) -> DataFrame:
-    """(id, title, n, s) of titles that are not empty, stored."""
-    t = titles.select("id", "title", F.length("title").alias("n"), signature("title").alias("s")).where("n > 0")
+    """(id, title, n, s, c) of titles that are not empty, stored."""
+    t = titles.select("id", "title", F.length("title").alias("n"), signature("title").alias("s"), counts("title").alias("c")).where("n > 0")
     return materialised(t, "titles")
 
 
@@ -192,9 +229,10 @@ def meetings(left: DataFrame, right: DataFrame | None, ratio: float) -> DataFram
 
 
 def exact(pairs: DataFrame, left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
-    """(a, b, ratio) of the pairs whose titles reach the ratio; left and right: id, title."""
-    both = pairs.join(left.select(F.col("id").alias("a"), F.col("title").alias("_a")), "a").join(right.select(F.col("id").alias("b"), F.col("title").alias("_b")), "b")
-    return both.select("a", "b", similarity("_a", "_b").alias("ratio")).where(F.col("ratio") >= ratio)
+    """(a, b, ratio) of the pairs whose titles reach the ratio; left and right as signed() gives them."""
+    side = lambda df, name: df.select(F.col("id").alias(name), F.col("title").alias(f"_{name}"), F.col("c").alias(f"_c{name}"))
+    both = pairs.join(side(left, "a"), "a").join(side(right, "b"), "b")
+    return both.select("a", "b", reached(ratio)("_a", "_b", "_ca", "_cb").alias("ratio")).where(F.col("ratio") >= ratio)
 
 
 def candidates(titles: DataFrame, ratio: float) -> DataFrame:

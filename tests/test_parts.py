@@ -201,3 +201,10 @@ def test_overwrite_survives(spark, tmp_path):
     S.overwrite_jsonl(row("2"), store)
     S.append_jsonl(spark.createDataFrame([(None, None)], "record_id string, title string"), store)
     assert [r.record_id for r in S.read_jsonl(spark, store).collect()] == ["2"] and [p.name for p in tmp_path.iterdir()] == ["s"]
+
+
+def test_line_differences(spark):
+    cases = [("a\nb", "a\nc", 1, 1), ("", "x\ny", 2, 0), (None, None, 0, 0), ("a\nb", "a\nb", 0, 0), ("a\nb\nc", "c", 0, 2), ("x\na\nb", "a\nb\nx", 1, 1), ("a", None, 0, 1)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(cases)], "i int, a string, b string")
+    got = df.select("i", K.line_diff("a", "b").alias("d")).orderBy("i").collect()
+    assert [(r.d.added, r.d.removed) for r in got] == [(x, y) for _, _, x, y in cases]

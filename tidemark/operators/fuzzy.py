@@ -140,13 +140,13 @@ def prefixes(titles: DataFrame, order: DataFrame, ratio: float, q: int) -> DataF
     return materialised(some.select("id", "n", "s", F.explode("some").alias("e")).select("e.gram", "e.pos", "id", "n", "s"), "prefixes")
 
 
-def _close(rows: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of all pairs of two sets of rows those that are near enough in length and place and have room for a match."""
+def _close(rows: dict[str, np.ndarray], left: np.ndarray, others: np.ndarray | None, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of two sets of rows (of one with itself without others) those that are near enough in length and place and have room for a match."""
     n, pos, bits = (rows[c] for c in ("n", "pos", "s"))
-    found = [(left[:0], right[:0])]
-    step = max(1, 200_000 // max(1, len(right)))
+    found = [(left[:0], left[:0])]
+    step = max(1, 200_000 // max(1, len(left if others is None else others)))
     for k in range(0, len(left), step):
-        x = left[k : k + step, None]
+        x, right = left[k : k + step, None], left[k:] if others is None else others
         both = n[x] + n[right]
         shared = np.ceil(ratio * both / 2 - 1e-9)
         apart = pos[x] - pos[right]
@@ -174,7 +174,7 @@ def _cell_pairs(cell: list[pa.RecordBatch], ratio: float) -> pa.RecordBatch | No
     data = {"n": rows["n"].to_numpy().astype(np.int64), "pos": rows["pos"].to_numpy().astype(np.int64), "s": rows["s"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, 2 * LANES)}
     each = np.flatnonzero(who == 2)
     if len(each):
-        x, y = _close(data, each, each, ratio)
+        x, y = _close(data, each, None, ratio)
         x, y = x[x < y], y[x < y]
     else:
         x, y = _close(data, np.flatnonzero(who == 0), np.flatnonzero(who == 1), ratio)

@@ -115,6 +115,14 @@ def test_chunks_lose_no_words_and_follow_the_rule(spark):
             assert " ".join(" ".join(chunks).split()) == " ".join(x.t.split())
 
 
+def test_trimming_takes_blanks_only_not_the_digits_of_an_index(spark):
+    text = " ".join(f"{k}{k} words of the sentence {k}." for k in range(14))
+    got = spark.createDataFrame([(text,)], "t string").select(K.sentence_chunks(F.col("t"), 60, 40).alias("s"), K.ordered_distinct(F.array(F.lit(" a"), F.lit("12 "), F.lit("2b2")), 3).alias("o")).first()
+    assert " ".join(got.s) == text and got.o == ["a", "12", "2b2"]
+    lines = spark.createDataFrame([("x\n" + "1" * 25 + "\n" + "2" * 25,)], "chunk string")
+    assert "nav_like" not in C.chunk_scores(lines, [], []).first().flags, "one of three lines is short"
+
+
 def test_overlap_is_recursive(spark):
     text = "\n\n".join((f"{c} " * 300).strip() for c in "abc")
     out = spark.range(1).select(K.overlap_chunks(F.lit(text), F.lit(""), 1100, 700).alias("o")).first().o

@@ -27,7 +27,8 @@ def _grown(done: Column, last: Column) -> Column:
 
 def _by_sentences(paragraph: Column, most: int, enough: int) -> Column:
     """Sentences joined until a chunk has `enough` characters, or the next would make it longer than `most`."""
-    sentences = F.filter(F.transform(F.split(paragraph, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    # not F.trim itself: transform would give it the index, as the characters to trim
+    sentences = F.filter(F.transform(F.split(paragraph, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
     def step(state: Column, s: Column) -> Column:
         joined = F.when(state["open"] == "", s).otherwise(F.concat(state["open"], F.lit(" "), s))
@@ -90,7 +91,7 @@ def ordered_distinct(c: Column, most: int) -> Column:
     low = lambda x: F.lower(F.trim(x))
     clean = F.filter(c, lambda x: x.isNotNull() & (F.trim(x) != ""))
     lows = F.transform(clean, low)
-    return F.slice(F.transform(F.filter(clean, lambda x, i: F.array_position(lows, low(x)) == i + 1), F.trim), 1, most)
+    return F.slice(F.transform(F.filter(clean, lambda x, i: F.array_position(lows, low(x)) == i + 1), lambda x: F.trim(x)), 1, most)
 
 
 # the functions above travel to executors by value, so these need no copy of the package

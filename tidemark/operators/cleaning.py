@@ -109,7 +109,7 @@ def chunk_scores(chunks: DataFrame, watch: list[str], topics: list[str]) -> Data
     c, low = F.col("chunk"), F.lower("chunk")
     month = "(Jan|January|Feb|February|Mar|March|Apr|April|May|Jun|June|Jul|July|Aug|August|Sep|Sept|September|Oct|October|Nov|November|Dec|December)"
     date = c.rlike(rf"(?i)(^|[^A-Za-z0-9_])(20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}\s+{month}\s+20[0-9]{{2}}|{month}\.?\s+[0-9]{{1,2}},\s+20[0-9]{{2}})($|[^A-Za-z0-9_])")
-    lines = F.filter(F.transform(F.split("chunk", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("chunk", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     short = F.size(F.filter(lines, lambda x: F.length(x) < 25))
     farm = F.size(lines) > 0
 

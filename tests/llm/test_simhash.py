@@ -73,6 +73,16 @@ def test_components_of_a_path_a_star_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stars_take_no_round(spark, monkeypatch):
+    from tidemark.llm import components as module
+
+    written, plain = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: written.append(name) or plain(df, name))
+    edges = spark.createDataFrame([(100, 100 + i) for i in range(1, 9)] + [(3, 2)], "a long, b long")
+    got = {x.node: x.component for x in components(edges).collect()}
+    assert got == {**{100 + i: 100 for i in range(9)}, 2: 2, 3: 2} and len(written) == 1
+
+
 def test_near_duplicates_against_jaccard(spark, edge, none, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import discard, sized, stored
 
 
+def _stars(rows: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: one grouping."""
+    end = lambda c, own, other: F.struct(F.col(c).alias("node"), F.lit(own).alias("own"), F.lit(other).alias("other"))
+    ends = rows.select(F.explode(F.array(end("u", 1, 0), end("v", 0, 1))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("own").alias("own"), F.max("other").alias("other")).where("own > 1 OR (own = 1 AND other = 1)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the least node that is reachable.
 
@@ -18,7 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     rows = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     rows = stored(rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     count = rows.count()  # no round makes more edges
-    while True:
+    while not _stars(rows):
         both = rows.unionByName(rows.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -27,8 +34,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = stored(sized(small.where("u <> v").distinct(), count), "edges")
         discard(rows)
         rows = new
-        twice = rows.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
-        inner = rows.select(F.col("v").alias("u")).distinct().join(rows, "u", "left_semi")
-        if twice.unionByName(inner).isEmpty():
-            break
     return rows.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(rows.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

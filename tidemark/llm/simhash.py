@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, lean, ship, sized, slices, stored, table
 from .components import components
+from .substrings import release
 
 
 def fingerprint(joined: bytes, lengths: np.ndarray, shingle: int, seeds: tuple[int, ...]) -> list[int]:
@@ -112,6 +113,7 @@ def link(nodes: DataFrame, lanes: int, bits: int, radius: int, most: int, verify
 
     first = hits.select(F.col("me").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("y IS NOT NULL")
     edges = stored(sized(near(first), count), "links")
+    release(nodes.sparkSession)
     found = components(edges)
     many = hits.where("deep").select("key", "exact", "me")
     if not many.isEmpty():
@@ -122,9 +124,12 @@ def link(nodes: DataFrame, lanes: int, bits: int, radius: int, most: int, verify
         if not many.isEmpty():
             sides = many.select("key", "label").distinct().join(many.where("exact").select("key", F.col("label").alias("other")).distinct(), "key").where("label <> other")
             pairs = many.join(sides, ["key", "label"]).select("key", F.col("me").alias("x"), "other").join(many.where("exact").select("key", F.col("me").alias("y"), F.col("label").alias("other")), ["key", "other"]).select("x", "y")
-            edges = edges.unionByName(stored(sized(near(pairs), count), "links"))
-            found = components(edges)
+            links = stored(sized(near(pairs), count), "links")
+            release(nodes.sparkSession)
+            # what is found so far is stars already
+            found = components(found.where("node <> component").toDF("a", "b").unionByName(links))
     discard(hits)
+    release(nodes.sparkSession)  # plans and shuffle files of the rounds
     return found
 
 

@@ -139,3 +139,11 @@ def test_every_entry_is_covered_or_left_out_with_a_reason():
 
 def test_months():
     assert C.MONTHS["sept"] == C.MONTHS["september"] == 9 and len(C.MONTHS) == 24
+
+
+def test_a_line_is_looked_through_once_for_each_form_of_a_date(spark):
+    head = ["no date 2024", "call 12 May 20245", "Dec. 31, 2023", "31 Dec 2023", "x 5 Mar. 2024 ", "2024-02-30 and 4 April 2024"]
+    rows = [("\r\n".join(head),), ("\n".join(["a"] * 60 + ["2024-01-05"]),), ("a\r" * 59 + "on Jan. 7, 2024",), (None,)]
+    df = spark.createDataFrame(rows, "t string").select(E.date_hint(F.col("t"), F.lit("given 2024-01-02"), F.lit(None).cast("string")).alias("h"))
+    assert [(r.h.hint, r.h.hint_source) for r in df.collect()] == [("2024-03-05", "pdf_header_publish_date"), ("2024-01-02", "pdf_metadata_publish_date"), ("2024-01-07", "pdf_header_publish_date"), ("2024-01-02", "pdf_metadata_publish_date")]
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract(") <= 20

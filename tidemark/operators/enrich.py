@@ -57,19 +57,32 @@ def with_texts(d: DataFrame) -> DataFrame:
     return d.withColumns({"all_text": F.concat_ws(" ", source, own), "field_text": own, "hint_text": F.lower(own)})
 
 
+def plain_ends(text: Column) -> Column:
+    """Lines end with a line feed; a text without a carriage return is left as it is."""
+    return bind(text, lambda t: F.when(t.contains("\r"), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t))
+
+
 def lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
+    return F.split(plain_ends(text), "\n")
+
+
+def head_lines(text: Column) -> Column:
+    """The header's lines as one text; what follows them is not split."""
+    return F.substring_index(plain_ends(text), "\n", HEADER_LINES)
 
 
 def header_zone(text: Column) -> Column:
-    return F.substring(F.array_join(F.slice(lines(text), 1, HEADER_LINES), "\n"), 1, HEADER_CHARS)
+    return F.substring(head_lines(text), 1, HEADER_CHARS)
 
 
 def event_zone(text: Column) -> Column:
     """What follows the header, or all if nothing does, without lines that bear a time stamp."""
-    all_lines = lines(text)
-    body = F.when(F.size(all_lines) > HEADER_LINES, F.slice(all_lines, HEADER_LINES + 1, 1 << 30)).otherwise(all_lines)
-    return F.array_join(F.filter(body, lambda x: ~x.rlike(STAMP_LINE)), "\n")
+    def body(all_lines: Column) -> Column:
+        rest = F.when(F.size(all_lines) > HEADER_LINES, F.slice(all_lines, HEADER_LINES + 1, 1 << 30)).otherwise(all_lines)
+        # a time has a colon: few lines go to the pattern
+        return F.array_join(F.filter(rest, lambda x: ~(x.contains(":") & x.rlike(STAMP_LINE))), "\n")
+
+    return bind(lines(text), body)
 
 
 def header_date(zone: Column, kind: str) -> Column:
@@ -323,22 +336,33 @@ def diagnostics(processed: DataFrame, most: int = 8) -> DataFrame:
 
 def line_date(line: Column) -> Column:
     """The date of a header's line: ISO, else month-day-year, else day-month-year; the last of a year is a fiscal date and doesn't count."""
-    part = lambda p, k: F.regexp_extract(line, p, k)
-    forms = [F.try_to_date(F.nullif(part(ISO_DATE, 2), F.lit("")), "yyyy-MM-dd"), made_date(part(ANY_MONTH_DAY_YEAR, 4), part(ANY_MONTH_DAY_YEAR, 2), part(ANY_MONTH_DAY_YEAR, 3)), made_date(part(DAY_MONTH_DOT_YEAR, 4), part(DAY_MONTH_DOT_YEAR, 3), part(DAY_MONTH_DOT_YEAR, 2))]
-    return F.coalesce(*(F.when(~((F.month(d) == 12) & (F.day(d) == 31)), d) for d in forms))
+    year_end = lambda d: F.when(~((F.month(d) == 12) & (F.day(d) == 31)), d)
+
+    def counted(d: Column) -> Column:
+        return bind(d, year_end)
+
+    def found(x: Column, pattern: str, year: int, month: int, day: int) -> Column:
+        # the parts come from what is found
+        return bind(F.regexp_extract(x, pattern, 0), lambda m: F.when(m != "", counted(made_date(*(F.regexp_extract(m, pattern, k) for k in (year, month, day))))))
+
+    iso = lambda x: counted(F.try_to_date(F.nullif(F.regexp_extract(x, ISO_DATE, 2), F.lit("")), "yyyy-MM-dd"))
+    forms = lambda x: F.coalesce(iso(x), found(x, ANY_MONTH_DAY_YEAR, 4, 2, 3), found(x, DAY_MONTH_DOT_YEAR, 4, 3, 2))
+    return bind(line, lambda x: F.when(x.rlike("[0-9]{4}"), forms(x)))
 
 
 def date_hint(text: Column, given: Column, metadata: Column) -> Column:
     """(hint, hint_source): the first dated line of the header, else the date given, else that of the file's metadata."""
-    dated = F.filter(F.transform(F.slice(lines(text), 1, HEADER_LINES), line_date), lambda d: d.isNotNull())
-    header = F.try_element_at(dated, F.lit(1)).cast("string")
+    dated = F.filter(F.transform(F.split(head_lines(text), "\n"), line_date), lambda d: d.isNotNull())
 
     def of(value: Column) -> Column:
         compact = F.regexp_extract(value, "D:([0-9]{4})([0-9]{2})([0-9]{2})", 0)
         return F.coalesce(F.try_to_date(F.nullif(F.regexp_replace(compact, "D:", ""), F.lit("")), "yyyyMMdd"), F.try_to_date(F.nullif(F.regexp_extract(value, ISO_DATE, 2), F.lit("")), "yyyy-MM-dd")).cast("string")
 
-    found = F.coalesce(header, of(given), of(metadata))
-    return F.struct(found.alias("hint"), F.when(header.isNotNull(), "pdf_header_publish_date").when(found.isNotNull(), "pdf_metadata_publish_date").alias("hint_source"))
+    def named(header: Column) -> Column:
+        say = lambda found: F.struct(found.alias("hint"), F.when(header.isNotNull(), "pdf_header_publish_date").when(found.isNotNull(), "pdf_metadata_publish_date").alias("hint_source"))
+        return bind(F.coalesce(header, of(given), of(metadata)), say)
+
+    return bind(F.try_element_at(dated, F.lit(1)).cast("string"), named)
 
 
 def fragments(title: str = "title") -> Column:

@@ -189,3 +189,10 @@ def test_days_are_those_of_utc_less_8_hours_in_summer_too(spark):
     # 07:30 UTC is half past midnight by summer time in Los Angeles
     r = spark.sql("SELECT 'r' AS record_id, timestamp_ntz'2024-07-01 07:30:00' AS created_at")
     assert tuple(date_functions(r).select("pacific_day", "quota_day", "week").first()) == ("2024-06-30", "2024-06-30", "2024-07-01")
+
+
+def test_rollups_make_themes_once(spark, sf_dir):
+    from tidemark.plans.rule_queries import theme_rollups
+
+    plan = theme_rollups(story_records(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "size(filter(" in x], "no filter repeats the themes' expression"

@@ -92,3 +92,18 @@ def test_whole_tables_as_sql(spark, sf_dir, duck):
 def test_tables_without_a_term(spark, text):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert got(rank_documents(docs, spark.createDataFrame([(1, "a")], "item_id long, text string"))) == []
+
+
+def test_a_row_group_of_the_index_has_few_shards(spark):
+    import glob
+
+    from tidemark.llm import lexical
+    from tidemark.llm.common import stored
+
+    words = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.lit(250_000).cast("long")), lambda i: F.hex(i * 104_729 + F.col("id"))), " ")
+    docs = spark.range(0, 12, 1, 1).select(F.col("id").alias("doc_id"), words.alias("text"))
+    path = stored(lexical.build_index(docs, 1_000_000), "index", **lexical.FEW_ROWS)._tidemark_path.replace("file://", "")
+    import pyarrow.parquet as pq
+
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    assert sum(m.num_rows for m in groups) == 12 and sum(m.num_row_groups for m in groups) > 1

@@ -29,6 +29,8 @@ from .common import discard, lean, ship, slices, stored, table
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 INDEX = "n_docs long, n_terms long, doc_ids array<long>, lengths array<int>, terms array<string>, counts array<int>, docs binary, tfs binary"
+# A row is a shard: a row group, which its writer and a task's reader hold whole, is ended after a few of them, not after 100.
+FEW_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id: behind all others among equal scores
 LONG = 256  # bytes from which the rest of a term is compared as a whole
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -204,7 +206,7 @@ def rank_documents(docs: DataFrame, items: DataFrame, top: int = 20, block: int
     holds of the queries is bounded by that (and by the longest item).
     """
     spark = docs.sparkSession
-    index = stored(build_index(docs), "index")
+    index = stored(build_index(docs), "index", **FEW_ROWS)
     sums = index.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     n_docs, n_terms = sums[0] or 0, sums[1] or 0
     words = F.regexp_extract_all(F.translate(F.col("text").cast("string"), UPPER, LOWER), F.lit(TERM), 0)

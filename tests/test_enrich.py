@@ -147,3 +147,13 @@ def test_a_line_is_looked_through_once_for_each_form_of_a_date(spark):
     df = spark.createDataFrame(rows, "t string").select(E.date_hint(F.col("t"), F.lit("given 2024-01-02"), F.lit(None).cast("string")).alias("h"))
     assert [(r.h.hint, r.h.hint_source) for r in df.collect()] == [("2024-03-05", "pdf_header_publish_date"), ("2024-01-02", "pdf_metadata_publish_date"), ("2024-01-07", "pdf_header_publish_date"), ("2024-01-02", "pdf_metadata_publish_date")]
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract(") <= 20
+
+
+def test_dates_are_looked_for_only_where_their_digits_stand(spark):
+    text = ["on 5 May 2024", "on 5 May\t2024 and 2024-01-02", "May 5,2024", "Sept. 5, 2024", "2024-13-01 then 6 June 2024", "code 2024", "5 May, 2024", None]
+    df = spark.createDataFrame([(t,) for t in text], "t string").select(C.first_date(F.col("t")).cast("string").alias("d"), E.event_zone(F.col("t")).alias("z"))
+    assert [r.d for r in df.collect()] == ["2024-05-05", "2024-01-02", "2024-05-05", "2024-09-05", "2024-06-06", None, None, None]
+    zone = spark.createDataFrame([("a: b\nx at 5:30 PM PST\r\nlast",)], "t string").select(E.event_zone(F.col("t"))).first()[0]
+    assert zone == "a: b\nlast"
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "contains(" in plan.lower() and plan.lower().count("rlike") >= 5, "cheap tests come before the patterns"

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from tidemark.llm import substrings, suffixes
 from tidemark.llm.near_dedup import drop_near_duplicates
-from tidemark.llm.windows import covered, runs, words
+from tidemark.llm.windows import covered, placed_runs, runs, words
 
 from .conftest import LONG, edge_rows
 
@@ -153,3 +153,37 @@ def test_bytes_against_brute_force(spark, edge, most, monkeypatch):
 
 def test_bytes_of_nothing(spark, none):
     assert suffixes.cut_repeats(none).count() == 0
+
+
+@given(st.lists(st.lists(st.integers(0, 2), max_size=60), max_size=5))
+@settings(max_examples=150, deadline=None)
+def test_equal_windows_have_their_anchor_at_one_place(docs):
+    n, k = 8, 3
+    h = np.array([x * 7919 + 1 for d in docs for x in d], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    symbols = [x for d in docs for x in d]
+    seen, double = {}, set()
+    anchor, start, count, _, again, at = placed_runs(h, np.cumsum([len(d) for d in docs], dtype=np.int64), n, k)
+    for m, s, c, g, a in zip(anchor.tolist(), start.tolist(), count.tolist(), again.tolist(), at.tolist(), strict=True):
+        double |= {m} if g else set()
+        assert g or c - 1 <= a <= n - k
+        for i in range(c):
+            seen.setdefault((m, tuple(symbols[s + i : s + i + n])), set()).add(a - i)
+    assert all(len(places) == 1 for (m, _), places in seen.items() if m not in double)
+
+
+def test_only_segments_that_may_repeat_are_sorted(spark, monkeypatch):
+    sorted_, whole = [], suffixes.stored
+
+    def spy(df, name, **options):
+        out = whole(df, name, **options)
+        if name == "owners":
+            sorted_.extend(r.doc_id for r in out.collect())
+        return out
+
+    monkeypatch.setattr(suffixes, "stored", spy)
+    r = np.random.default_rng(5)
+    noise = lambda size: "".join(map(chr, r.integers(97, 123, size)))
+    phrase, passage = noise(40), noise(110)
+    rows = [(d, noise(150) + phrase + noise(150)) for d in range(20)] + [(20, noise(90) + passage + noise(90)), (21, noise(70) + passage + noise(120))]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == bytes_left(rows, 100) and set(sorted_) == {20, 21}

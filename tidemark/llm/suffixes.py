@@ -1,7 +1,9 @@
 """Removal of repeated byte strings with suffix arrays.
 
 Windows of n bytes that may repeat are found by their anchors (windows.py).  Every run of such windows, with the bytes
-they cover, is a segment; equal segments are one, of which the earliest keeps its bytes.  Segments are dealt to shards by
+they cover, is a segment; equal segments are one, of which the earliest keeps its bytes.  Equal windows have their anchor at
+one place, so they also have the bytes in common that every window with the anchor thereabouts has: a segment whose bytes
+around the anchor no other has is left out.  The others are dealt to shards by
 their anchor, so equal windows meet in one shard, and a shard's suffix array shows which windows also start earlier.  An
 anchor with more segments than a shard may hold is dealt over several; each of these shards gives its first windows, and
 those that stand in several shards are found by their bytes, in sorted order, with the ends of equal ones by binary search.
@@ -18,10 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import discard, lean, ship, slices, stored, table
 from .substrings import release, rows_of
-from .windows import covered, mix, runs
+from .windows import covered, mix, placed_runs
 
 BYTES, GRAM = 100, 16
-ENTRIES = "anchor long, doc_id long, mark long, start int, windows int, again boolean"
+ENTRIES = "anchor long, doc_id long, mark long, start int, windows int, again boolean, at int"
+ZONES = 3  # ranges of an anchor's place in a window
 _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -111,15 +114,15 @@ def entries(docs: DataFrame, n: int, k: int, piece: int = 1 << 22) -> DataFrame:
                 parts, owner, offset = [], [], []
                 for d, t in enumerate(texts):
                     raw = np.frombuffer(t.as_buffer(), np.uint8) if len(t.as_buffer()) else np.zeros(0, np.uint8)
-                    for at in range(0, max(1, len(raw) - n + 1), piece):
-                        parts.append(raw[at : at + piece + n - 1])
+                    for x in range(0, max(1, len(raw) - n + 1), piece):
+                        parts.append(raw[x : x + piece + n - 1])
                         owner.append(d)
-                        offset.append(at)
+                        offset.append(x)
                 flat, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
-                anchor, start, count, own, again = runs(_SYMBOL[flat], ends, n, k)
+                anchor, start, count, own, again, at = placed_runs(_SYMBOL[flat], ends, n, k)
                 first = np.concatenate([[0], ends[:-1]])
                 to = pa.array(np.array(owner)[own])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), some.column("doc_id").take(to), some.column("mark").take(to), pa.array((start - first[own] + np.array(offset)[own]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again)], names=[x.split()[0] for x in ENTRIES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), some.column("doc_id").take(to), some.column("mark").take(to), pa.array((start - first[own] + np.array(offset)[own]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again), pa.array(at.astype(np.int32))], names=[x.split()[0] for x in ENTRIES.split(", ")])
 
     return rows_of(docs).mapInArrow(lean(run), ENTRIES)
 
@@ -140,6 +143,12 @@ def _spans(batch) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]
     return texts, starts, counts
 
 
+def zones(n: int, k: int) -> list[tuple[int, int]]:
+    """First and last place in a window of n bytes at which its anchor of k bytes stands, for each range of them."""
+    edges = [(n - k + 1) * z // ZONES for z in range(ZONES + 1)]
+    return [(a, b - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def shard_repeats(segments: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Which windows of a shard start earlier in it too: (place in the concatenated windows, place of the first).
 
@@ -167,11 +176,14 @@ def late_windows(docs: DataFrame, n: int = BYTES, k: int = GRAM, shard_segments:
     rows = rows_of(docs)
     index = stored(entries(docs, n, k), "run")
     met = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("anchor")
-    marked = index.join(met, "anchor", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("anchor", "start", "windows", "again")).alias("runs"))
+    marked = index.join(met, "anchor", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("anchor", "start", "windows", "again", "at")).alias("runs"))
     marked = stored(marked, "marked")
     discard(index)
     release(spark)
 
+    around = zones(n, k)
+    tag_names = [f"tag{z}" for z in range(len(around))]
+
     def describe(batches):
         import xxhash
 
@@ -179,32 +191,53 @@ def late_windows(docs: DataFrame, n: int = BYTES, k: int = GRAM, shard_segments:
             for i, j in slices(batch, 2_000_000):
                 some = batch.slice(i, j - i)
                 texts, starts, counts = _spans(some)
-                to = pa.array(np.repeat(np.arange(j - i), [len(s) for s in starts]))
+                text = np.repeat(np.arange(j - i), [len(s) for s in starts])
+                to = pa.array(text)
                 anchor = np.concatenate([r.values.field("anchor").to_numpy() for r in some.column("runs")])
                 again = np.concatenate([r.values.field("again").to_numpy(zero_copy_only=False) for r in some.column("runs")])
-                # 128 bits of a segment's bytes
+                at = np.concatenate([r.values.field("at").to_numpy() for r in some.column("runs")]).astype(np.int64)
+                start, count = np.concatenate(starts), np.concatenate(counts)
+                # 128 bits of a segment's bytes, and 64 of those that its windows with the anchor in a zone have in common
                 own: list[bytes] = []
                 for t, s, c in zip(texts, starts, counts, strict=True):
                     raw = memoryview(t)
                     own += [xxhash.xxh3_128_digest(raw[x : x + y + n - 1]) for x, y in zip(s.tolist(), c.tolist(), strict=True)]
+                views = [memoryview(t) for t in texts]
+                tags = []
+                for z, (lo, hi) in enumerate(around):
+                    ok = (at >= lo) & (at - hi < count)
+                    tag = np.zeros(len(at), np.uint64)
+                    tag[ok] = [xxhash.xxh3_64_intdigest(views[d][x - lo : x - hi + n], z) for d, x in zip(text[ok].tolist(), (start + at)[ok].tolist(), strict=True)]
+                    tags.append(pa.array(tag.view(np.int64), mask=~ok))
                 whole, half = np.frombuffer(b"".join(own), np.int64).reshape(-1, 2).T.copy()
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole), pa.array(half), some.column("doc_id").take(to), some.column("mark").take(to), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32)), pa.array(again)], names=["anchor", "whole", "half", "doc_id", "mark", "start", "windows", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole), pa.array(half), some.column("doc_id").take(to), some.column("mark").take(to), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(again), *tags], names=["anchor", "whole", "half", "doc_id", "mark", "start", "windows", "again", *tag_names])
 
-    segments = stored(_join(rows, marked, "runs").mapInArrow(lean(describe), "anchor long, whole long, half long, doc_id long, mark long, start int, windows int, again boolean"), "segments")
+    segments = stored(_join(rows, marked, "runs").mapInArrow(lean(describe), "anchor long, whole long, half long, doc_id long, mark long, start int, windows int, again boolean, " + ", ".join(f"{t} long" for t in tag_names)), "segments")
     discard(marked)
     release(spark)
     key = ["anchor", "whole", "half", "windows"]
-    first = stored(segments.groupBy(*key).agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("again").alias("again")), "first")
-    place = F.struct("doc_id", "mark", "start")
-    copies = stored(segments.join(first.where("n > 1").select(*key, "first"), key).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "mark", "start", "windows"), "copies")
+    # equal segments have equal tags, but where the anchor stands twice
+    first = stored(segments.groupBy(*key).agg(F.min(F.struct("doc_id", "mark", "start", *tag_names)).alias("first"), F.count(F.lit(1)).alias("n"), F.max("again").alias("again")), "first")
+    release(spark)
+    place = ["doc_id", "mark", "start"]
+    earliest = F.struct(*(F.col(f"first.{c}").alias(c) for c in place))
+    copies = stored(segments.select(*key, *place).join(first.where("n > 1").select(*key, earliest.alias("first")), key).where(~F.struct(*place).eqNullSafe(F.col("first"))).select(*place, "windows"), "copies")
     discard(segments)
+    release(spark)
     # the earliest of equal segments; one that is alone under its anchor, which its document has once, repeats nothing
-    crowd = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd"))
-    owners = first.select("anchor", "first.*", "windows", "again").join(crowd, "anchor").where("crowd > 1 OR again").withColumn("salts", F.ceil(F.col("crowd") / shard_segments).cast("int"))
-    owners = owners.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "start", "windows", "salts")).alias("runs"))
-    owners = stored(owners, "owners")
+    crowd = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("crowd"), F.max("again").alias("twice"))
+    owners = first.select("anchor", *(f"first.{c}" for c in place), "windows", F.array(*(f"first.{t}" for t in tag_names)).alias("tags")).join(crowd, "anchor").where("crowd > 1 OR twice")
+    owners = stored(owners.withColumn("salts", F.ceil(F.col("crowd") / shard_segments).cast("int")).drop("crowd"), "crowds")
     discard(first)
     release(spark)
+    # nor does one whose tags no other has, unless the anchor's place is not certain
+    tagged = owners.where("NOT twice").withColumn("tag", F.explode(F.filter("tags", lambda t: t.isNotNull()))).drop("tags")
+    shared = tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tag")
+    crowds, owners = owners, tagged.join(shared, "tag", "left_semi").drop("tag").unionByName(owners.where("twice").drop("tags"))
+    owners = owners.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("anchor", "start", "windows", "salts")).alias("runs"))
+    owners = stored(owners, "owners")
+    discard(crowds)
+    release(spark)
 
     def cut(batches):
         for batch in batches:

@@ -116,9 +116,14 @@ def runs(h: np.ndarray, ends: np.ndarray, n: int, k: int) -> tuple[np.ndarray, .
     h: hashes of the symbols of documents one after another, which end at `ends`.  again: the anchor's gram stands at two
     or more places of the document.
     """
+    return placed_runs(h, ends, n, k)[:5]
+
+
+def placed_runs(h: np.ndarray, ends: np.ndarray, n: int, k: int) -> tuple[np.ndarray, ...]:
+    """As runs(), and the anchor's place behind the run's start; of several places any one."""
     empty = np.zeros(0, np.int64)
     if len(h) < n:
-        return empty.astype(np.uint64), empty, empty, empty, empty.astype(bool)
+        return empty.astype(np.uint64), empty, empty, empty, empty.astype(bool), empty
     sums = prefix(h)
     grams = (sums[k:] - sums[:-k]) * powers(len(h))[1][: len(h) - k + 1]
     grams, w = mix(grams), n - k + 1
@@ -131,16 +136,19 @@ def runs(h: np.ndarray, ends: np.ndarray, n: int, k: int) -> tuple[np.ndarray, .
     change[1:] = (low[1:] != low[:-1]) | (owner[1 : len(low)] != owner[: len(low) - 1])
     start = np.flatnonzero(change & valid)
     if not len(start):
-        return empty.astype(np.uint64), empty, empty, empty, empty.astype(bool)
+        return empty.astype(np.uint64), empty, empty, empty, empty.astype(bool), empty
     # a run ends where the next begins, or where its document's windows end
     stop = np.minimum(np.append(start[1:], len(low)), ends[owner[start]] - n + 1)
     anchor, own, count = low[start], owner[start], stop - start
     # places whose gram is the least of a window around them; those with one gram in one document
     pad = np.zeros(w - 1, np.uint64)
     place = np.flatnonzero(sliding(np.maximum, np.concatenate([pad, low, pad]), w) == grams)
-    key = np.sort(grams[place] + owner[place].astype(np.uint64) * BASE)
-    twice = np.isin(anchor + own.astype(np.uint64) * BASE, key[1:][key[1:] == key[:-1]])
-    return anchor, start, count, own, twice
+    key = grams[place] + owner[place].astype(np.uint64) * BASE
+    order = np.argsort(key)
+    key = key[order]
+    first = np.searchsorted(key, anchor + own.astype(np.uint64) * BASE)
+    twice = np.append(key[1:] == key[:-1], False)[first]
+    return anchor, start, count, own, twice, place[order[first]] - start
 
 
 def covered(starts: np.ndarray, counts: np.ndarray, n: int, size: int) -> np.ndarray:

@@ -71,3 +71,28 @@ def test_record_titles_and_how_many_are_compared(spark, sf_dir):
 def test_a_pair_that_may_reach_the_ratio_has_a_common_gram():
     assert [Z.gram_size(r) for r in (0.5, 0.85)] == [1, 2]
     assert Z.least_common(10, 20, 0.85, 2) == 0 and Z.least_common(80, 80, 0.85, 2) == 68 - 25
+
+
+def test_few_pairs_leave_the_cells_that_are_not_similar(spark, edited):
+    some = {i: t for i, t in edited.items() if t and i[-1] in "abcde"}
+    similar = sum(ratio(some[a], some[b]) >= 0.85 for a, b in combinations(sorted(some), 2))
+    t = Z.signed(frame(spark, some))
+    assert "c" not in t.columns  # counts are made in the cells and go through no join
+    assert similar <= Z.candidates(t, 0.85).count() <= 1.25 * similar
+
+
+def test_no_match_is_longer_than_the_common_subsequence():
+    r = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(r.choices("abcé日", k=r.randint(0, 90))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for k, y in enumerate(b):
+                new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+            row = new
+        masks = {}
+        for k, x in enumerate(a):
+            masks[x] = masks.get(x, 0) | 1 << k
+        m = sum(block.size for block in SequenceMatcher(None, a, b).get_matching_blocks())
+        assert Z.common_length(masks, len(a), b) == row[-1] >= m

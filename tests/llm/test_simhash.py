@@ -158,3 +158,21 @@ def test_near_duplicates_in_a_chain(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
         monkeypatch.setattr(near_dedup, "EARLIER", earlier)
         assert {x.doc_id for x in near_duplicates(docs).collect()} == want
+
+
+def test_near_dedup_goes_through_fingerprints(spark, monkeypatch):
+    from tidemark.llm import near_dedup
+
+    linked, whole = [], near_dedup.link
+
+    def spy(nodes, *rest):
+        out = whole(nodes, *rest)
+        linked.append((nodes.count(), {r.node for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(near_dedup, "link", spy)
+    words = [f"w{i * i % 977}" for i in range(900)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, " ".join(f"v{i}" for i in range(900))), (4, ""), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()} == {1, 3, 4}
+    assert linked[0][0] == 4 and len(linked[0][1]) == 2

@@ -196,3 +196,18 @@ def test_rollups_make_themes_once(spark, sf_dir):
 
     plan = theme_rollups(story_records(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Filter" in x and "size(filter(" in x], "no filter repeats the themes' expression"
+
+
+def test_bullets_are_judged_as_one_by_one(spark):
+    bullets = ["Foo, Bar", "oo, Ba", "", "foo bar", "nothing of the kind here", "İ ΑΣ foo", None]
+    for source in ("x Foo, Bar y", "foo-bar nothing kind", "İ ΑΣ foo bar", "", None):
+        for some in ([b] for b in bullets):
+            got = spark.range(1).select(Q.ungrounded(F.array(*(F.lit(b).cast("string") for b in some)), F.lit(source).cast("string")), *(~Q.grounded(F.lit(b).cast("string"), F.lit(source).cast("string")) for b in some)).first()
+            assert bool(got[0]) == any(x for x in got[1:]), (some, source)
+
+
+def test_findings_come_from_one_pass_over_the_records(spark, sf_dir):
+    from tidemark.plans.catalog import story_records
+
+    found = Q.raised(Q.reviewed(story_records(spark, sf_dir)))
+    assert found.inputFiles() and all("/checked-" in f for f in found.inputFiles())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import vocab as V
-from tidemark.functions.columns import tells_any, texts, word
+from tidemark.functions.columns import bind, tells_any, texts, word
 
 from .filters import key_maker, key_supplier
 
@@ -18,21 +18,20 @@ def priority() -> tuple[Column, Column]:
     text = F.concat_ws(" ", "title", F.array_join("evidence", " "), F.array_join("insights", " "), F.array_join("keywords", " "))
     keyword = text.rlike(word(V.CLOSURE_PATTERN))
     supplier, maker = key_supplier(F.col("companies")), key_maker(F.col("companies"))
-    rules = [
-        (F.col("priority") == "High", None, None),
-        (supplier & footprint, "High", "footprint_and_key_supplier"),
-        (footprint & topic, "High", "footprint_and_closure_topic"),
-        (supplier & topic, "High", "key_supplier_and_closure_topic"),
-        (footprint & keyword, "High", "footprint_and_closure_keyword"),
-        (supplier & keyword, "High", "key_supplier_and_closure_keyword"),
-        (footprint & maker, "High", "footprint_and_key_oem"),
-        (~footprint & ~topic & ~keyword & ~maker & ~supplier, "Low", "missing_footprint_region"),
-    ]
-    value, reason = F.when(F.lit(False), ""), F.when(F.lit(False), "")
-    for condition, v, why in rules:
-        value = value.when(condition, F.lit(v) if v else F.col("priority"))
-        reason = reason.when(condition, F.lit(why))
-    return value.otherwise(F.col("priority")), reason
+    own = F.when(F.col("priority") == "High", F.lit(None).cast("string"))
+    own = own.when(supplier & footprint, "footprint_and_key_supplier").when(footprint & topic, "footprint_and_closure_topic").when(supplier & topic, "key_supplier_and_closure_topic")
+
+    def by_text(keyword: Column) -> Column:
+        """The rules that need the text, which is looked through once and only if none before them holds."""
+        found = F.when(footprint & keyword, "footprint_and_closure_keyword").when(supplier & keyword, "key_supplier_and_closure_keyword").when(footprint & maker, "footprint_and_key_oem")
+        return found.when(~footprint & ~topic & ~keyword & ~maker & ~supplier, "missing_footprint_region")
+
+    def both(reason: Column) -> Column:
+        value = F.when(reason == "missing_footprint_region", "Low").when(reason.isNotNull(), "High").otherwise(F.col("priority"))
+        return F.struct(value.alias("value"), reason.alias("reason"))
+
+    told = bind(own.otherwise(bind(keyword, by_text)), both)
+    return told["value"], told["reason"]
 
 
 def theme_text() -> Column:

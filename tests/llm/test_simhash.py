@@ -176,3 +176,14 @@ def test_near_dedup_goes_through_fingerprints(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()} == {1, 3, 4}
     assert linked[0][0] == 4 and len(linked[0][1]) == 2
+
+
+def test_the_driver_frees_its_memory_between_rounds(spark, monkeypatch):
+    from tidemark.llm import components as rounds
+    from tidemark.llm import substrings
+
+    freed = []
+    monkeypatch.setattr(substrings, "trim", lambda: freed.append(1))
+    path = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    assert {tuple(r) for r in rounds.components(path).collect()} == {(i, 0) for i in range(13)}
+    assert freed

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, sized, stored
+from .substrings import release
 
 
 def _stars(rows: DataFrame) -> bool:
@@ -34,4 +35,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = stored(sized(small.where("u <> v").distinct(), count), "edges")
         discard(rows)
         rows = new
+        release(rows.sparkSession)  # a round's plans are garbage that the driver's heap would grow by
     return rows.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(rows.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, discard, lean, new_path, ship, slices, stored, table
+from .common import delete, discard, lean, new_path, ship, slices, stored, table, trim
 from .windows import OTHER_BASE, covered, prefix, runs, span_hash, words
 
 WORDS, GRAM = 35, 6
@@ -124,10 +124,8 @@ class FingerprintIndex:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
-    import gc
-
-    gc.collect()
+    """Let Spark drop the shuffle files of finished steps now, not when the driver happens to collect its garbage; what they held of the driver's memory goes back."""
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 

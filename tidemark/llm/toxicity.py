@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, lean, ship, slices, stored, table
+from .common import discard, lean, ship, slices, stored, table, trim
 from .decontaminate import words_of
+from .substrings import release
 
 ROWS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 THRESHOLD = 0.3
@@ -223,6 +224,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> tuple[Te
         order = np.random.default_rng(3).permutation(len(got))
         texts = [np.frombuffer(got.column("words")[int(n)].as_buffer(), np.int32) for n in order]
         model.fit(texts, got.column("toxic").to_numpy()[order].astype(np.int64))
+        del texts
+    del got
+    trim()  # the sample and the sums of the training, before the driver goes on
     raw = stored(raw_scores(docs, model), "raw-scores")
     free = not_trained_on()
     if last["n"] == sample:
@@ -245,6 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> TextCNN:
     """
     model, raw = fitted(docs, labels, sample)
     discard(raw)
+    release(docs.sparkSession)
     return model
 
 

@@ -157,3 +157,16 @@ def test_dates_are_looked_for_only_where_their_digits_stand(spark):
     assert zone == "a: b\nlast"
     plan = df._jdf.queryExecution().analyzed().toString()
     assert "contains(" in plan.lower() and plan.lower().count("rlike") >= 5, "cheap tests come before the patterns"
+
+
+def test_quick_patterns_find_what_the_plain_ones_do(spark):
+    from tidemark.functions import vocab as V
+
+    texts_ = ["eu", "neu", "the eu.", "eu_x eu", "e.u.x", "e.u. x", "xe.u.a", "in usa\n", "u.s.", "u.s.a", "ü eu", "😀eu", "", "europe (including russia)", "a1 march 2024", "1 march 2024", "112 march 2024", "12 march 2024x", "x 3 march 2024 4 may 2025", "_5 may 2024 6 may 2024\n", "7 mayor 2024", "é8 may 2024", "😀 12\tMay\n2024"]
+    rows = spark.createDataFrame([(t,) for t in texts_], "t string")
+    aliases = [*V.REGION_ALIASES, "stellantis", "stellantis nv"]
+    got = rows.select(*(E.has_alias(F.col("t"), a) for a in aliases), *(F.col("t").rlike(E.alias_pattern(a)) for a in aliases)).collect()
+    assert all(tuple(r)[: len(aliases)] == tuple(r)[len(aliases) :] for r in got)
+    part = lambda p, k: F.regexp_extract("t", p, k)
+    for r in rows.select("t", *(part(C.DAY_MONTH_YEAR, k) for k in (2, 3, 4)), *(part(C.DAY_FIRST, k) for k in (1, 2, 3))).collect():
+        assert tuple(r)[1:4] == tuple(r)[4:], r

@@ -44,6 +44,12 @@ def alias_pattern(alias: str) -> str:
     return f"(^|[^a-z0-9_]){body}" + ("($|[^a-z0-9_])" if alias[-1].isalnum() else "[a-z0-9_]")
 
 
+def has_alias(text: Column, alias: str) -> Column:
+    """Whether a lower-cased text has alias_pattern(alias): looked up as it stands, then by its first letter and what stands before that."""
+    pattern = alias_pattern(alias).removeprefix("(^|[^a-z0-9_])")
+    return text.contains(alias) & text.rlike(f"{pattern[0]}(?<![a-z0-9_]{pattern[0]}){pattern[1:]}")
+
+
 def joined(*columns: str) -> Column:
     """Text and list columns as one text; nulls are left out."""
     lists = ("keywords", "evidence", "insights")
@@ -91,8 +97,9 @@ def header_date(zone: Column, kind: str) -> Column:
     def found(text: Column, pattern: str) -> Column:
         return bind(F.regexp_extract(text, pattern, 0), lambda m: made_date(*(F.regexp_extract(m, pattern, k) for k in (4, 2, 3))))
 
-    forms = ["(?i)" + MONTH_DAY_YEAR + e for e in HEADER_ENDINGS[kind]]
-    return bind(zone, lambda z: F.when(z.rlike("[0-9]{4}"), F.coalesce(*(found(z, p) for p in forms))))
+    # each form's digits and ending first: a search by digits passes over letters at once
+    forms = [(rf"(?i)[0-9],{WS}*[0-9]{{4}}{e}", "(?i)" + MONTH_DAY_YEAR + e) for e in HEADER_ENDINGS[kind]]
+    return bind(zone, lambda z: F.when(z.rlike("[0-9]{4}"), F.coalesce(*(F.when(z.rlike(needs), found(z, p)) for needs, p in forms))))
 
 
 def dates(d: DataFrame) -> DataFrame:
@@ -178,7 +185,7 @@ def names(d: DataFrame, own_names: list[str]) -> DataFrame:
     def names_own(text: Column) -> Column:
         out = F.lit(False)
         for n in own_names:
-            out = out | (text.contains(n.lower()) & text.rlike(alias_pattern(n.lower())))
+            out = out | has_alias(text, n.lower())
         return out
 
     actor = F.lower(F.trim("actor_type"))
@@ -198,13 +205,15 @@ def names(d: DataFrame, own_names: list[str]) -> DataFrame:
 
 def region_hints(text: Column) -> Column:
     """Regions that a lower-cased text tells: by alias as a word, by name anywhere, by city."""
-    found = [F.when(text.contains(a) & text.rlike(alias_pattern(a)), F.lit(r)) for a, r in V.REGION_ALIASES.items()]
+    found = [F.when(has_alias(text, a), F.lit(r)) for a, r in V.REGION_ALIASES.items()]
     found += [F.when(text.contains(r.lower()), F.lit(r)) for r in V.REGIONS] + [F.when(text.contains(c), F.lit(r)) for c, r in V.CITY_REGIONS.items()]
     return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
 def generic_europe(text: Column) -> Column:
-    return text.rlike(EUROPE_WORD) & ~text.rlike(SUB_EUROPE)
+    # what each alternative of a pattern has is looked up before the pattern
+    word = (text.contains("eu") | text.contains("e.u.")) & text.rlike(EUROPE_WORD)
+    return word & ~((text.contains("europe") | text.contains("russia")) & text.rlike(SUB_EUROPE))
 
 
 def append_once(log: Column, entry: Column) -> Column:
@@ -221,7 +230,9 @@ def regions(d: DataFrame) -> DataFrame:
     d = d.withColumns({"implied": F.array_distinct(F.concat(derived, F.col("relevant_0"))), "hinted": region_hints(F.col("hint_text")), "defaulted": (F.size("countries_final") == 0) & generic_europe(F.col("hint_text"))})
     d = d.withColumn("merged", F.array_distinct(F.concat("mentioned_0", "implied", "hinted", F.when(F.col("defaulted"), texts(["Europe"])).otherwise(no_list("regions_none")))))
     low = F.transform("countries_final", lambda c: F.lower(c))
-    us = F.arrays_overlap(low, texts(["united states", "canada"])) | F.col("field_text").rlike(US_NAMES) | F.col("field_text").rlike(US_TOKEN)
+    hint, own = F.col("hint_text"), F.col("field_text")
+    named = (hint.contains("united states") | hint.contains("u.s.a") | hint.contains("usa")) & own.rlike(US_NAMES)
+    us = F.arrays_overlap(low, texts(["united states", "canada"])) | named | (own.contains("US") & own.rlike(US_TOKEN))
     d = d.withColumns({"no_us": F.array_contains("merged", "United States") & ~us, "no_china": F.array_contains("merged", "China") & ~F.array_contains("implied", "China")})
     shown = F.filter("merged", lambda r: ~((r == "United States") & F.col("no_us")) & ~((r == "China") & F.col("no_china")))
     d = d.withColumn("shown", shown)
@@ -242,8 +253,8 @@ def _listed(c: str) -> Column:
 
 def rule_impact(changes: Column) -> Column:
     """Number of changes by reason."""
-    reasons = F.transform(changes, lambda x: x["reason"])
-    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(reasons)), lambda r: F.struct(r, F.size(F.filter(reasons, lambda x: x == r)))))
+    count = lambda reasons: F.map_from_entries(F.transform(F.array_sort(F.array_distinct(reasons)), lambda r: F.struct(r, F.size(F.filter(reasons, lambda x: x == r)))))
+    return bind(F.transform(changes, lambda x: x["reason"]), count)
 
 
 def postprocess(drafts: DataFrame, own_names: list[str]) -> DataFrame:

@@ -1,4 +1,6 @@
 import hashlib
+import os
+import time
 from collections import Counter
 
 import numpy as np
@@ -187,3 +189,23 @@ def test_only_segments_that_may_repeat_are_sorted(spark, monkeypatch):
     rows = [(d, noise(150) + phrase + noise(150)) for d in range(20)] + [(20, noise(90) + passage + noise(90)), (21, noise(70) + passage + noise(120))]
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == bytes_left(rows, 100) and set(sorted_) == {20, 21}
+
+
+def test_shuffle_files_go_with_their_step(spark, edge, monkeypatch):
+    roots = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for r in roots for _, _, names in os.walk(r) for f in names if f.startswith("shuffle_")}
+    left, whole, before = [], suffixes.stored, files()
+
+    def spy(df, name, **options):
+        out = whole(df, name, **options)
+        suffixes.release(spark)
+        until = time.time() + 5  # they are removed in the background
+        while files() - before and time.time() < until:
+            time.sleep(0.1)
+        left.append((name, len(files() - before)))
+        return out
+
+    monkeypatch.setattr(suffixes, "stored", spy)
+    assert suffixes.cut_repeats(edge).count() == edge.count()
+    assert len(left) > 7 and not [x for x in left if x[1]]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -124,7 +124,7 @@ class FingerprintIndex:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now, not when the driver happens to collect its garbage; what they held of the driver's memory goes back."""
+    """Give back what finished steps held of the driver's memory now, not when the driver happens to collect its garbage; stored() frees their shuffle files."""
     trim()
     spark.sparkContext._jvm.System.gc()
 

@@ -86,8 +86,9 @@ def whole_texts(r: DataFrame) -> DataFrame:
 def csv_export(r: DataFrame) -> DataFrame:
     """Records as a quoted CSV with lists as text and columns in the order of their names, read back."""
     path = S.scratch_path(r.sparkSession, "export")
-    S.write_csv(r.select("record_id", "topics", "regions", "title"), path)
-    back = r.sparkSession.read.option("header", True).option("emptyValue", "").option("escape", "\\").csv(path)
+    null = "\t"  # no title has a tab, as words end there
+    S.write_csv(r.select("record_id", "topics", "regions", "title"), path, null)
+    back = S.read_csv(r.sparkSession, path, null)
     return back.select("record_id", F.coalesce("topics", F.lit("")).alias("topics"), F.coalesce("regions", F.lit("")).alias("regions"), "title")
 
 

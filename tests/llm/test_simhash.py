@@ -187,3 +187,16 @@ def test_the_driver_frees_its_memory_between_rounds(spark, monkeypatch):
     path = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
     assert {tuple(r) for r in rounds.components(path).collect()} == {(i, 0) for i in range(13)}
     assert freed
+
+
+def test_what_explode_makes_is_not_broadcast(spark, monkeypatch):
+    from tidemark.llm import simhash as S
+
+    plans, stored = {}, S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name, **o: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), stored(df, name, **o))[1])
+    r = np.random.default_rng(4)
+    base = [int(x) for x in r.integers(0, 1 << 62, 40)]
+    rows = [(f, f) for f in sorted({b ^ (1 << int(k)) for b in base for k in r.choice(62, 4)} | {b ^ 3 << 60 for b in base} | set(base))]
+    nodes = S.stored(spark.createDataFrame(rows, "node long, l0 long"), "nodes")
+    assert link(nodes, 1, 32, 1, 3).count() > len(base)
+    assert "hits" in plans and not any("Broadcast" in p for name, p in plans.items() if name in ("hits", "mixed"))

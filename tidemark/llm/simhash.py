@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, lean, ship, sized, slices, stored, table
+from .common import apart, discard, lean, ship, sized, slices, stored, table
 from .components import components
 from .substrings import release
 
@@ -101,7 +101,7 @@ def link(nodes: DataFrame, lanes: int, bits: int, radius: int, most: int, verify
     ball = probes(nodes, lanes, bits, radius)
     # what stands under a key exactly: the least and the greatest node, and how many
     held = ball.where("exact").groupBy("key").agg(F.min("me").alias("low"), F.max("me").alias("high"), F.count(F.lit(1)).alias("n"))
-    hits = ball.join(held, "key")
+    hits = ball.join(apart(held), "key")
     deep = F.col("n") > 2
     hits = hits.where("n > 1 OR me.node <> low.node").select("key", "exact", "me", deep.alias("deep"), F.when(F.col("me.node") != F.col("low.node"), F.col("low")).alias("low"), F.when((F.col("n") > 1) & (F.col("me.node") != F.col("high.node")), F.col("high")).alias("high"))
     hits = stored(sized(hits, count, 2_000), "hits")
@@ -118,12 +118,12 @@ def link(nodes: DataFrame, lanes: int, bits: int, radius: int, most: int, verify
     many = hits.where("deep").select("key", "exact", "me")
     if not many.isEmpty():
         label = found.select(F.col("node").alias("_node"), "component")
-        many = many.join(label, F.col("me.node") == F.col("_node"), "left").select("key", "exact", "me", F.coalesce("component", "me.node").alias("label"))
+        many = many.join(apart(label), F.col("me.node") == F.col("_node"), "left").select("key", "exact", "me", F.coalesce("component", "me.node").alias("label"))
         mixed = many.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q").select("key")
-        many = stored(sized(many.join(mixed, "key"), count, 2_000), "mixed")
+        many = stored(sized(many.join(apart(mixed), "key"), count, 2_000), "mixed")
         if not many.isEmpty():
-            sides = many.select("key", "label").distinct().join(many.where("exact").select("key", F.col("label").alias("other")).distinct(), "key").where("label <> other")
-            pairs = many.join(sides, ["key", "label"]).select("key", F.col("me").alias("x"), "other").join(many.where("exact").select("key", F.col("me").alias("y"), F.col("label").alias("other")), ["key", "other"]).select("x", "y")
+            sides = many.select("key", "label").distinct().join(apart(many.where("exact").select("key", F.col("label").alias("other")).distinct()), "key").where("label <> other")
+            pairs = many.join(apart(sides), ["key", "label"]).select("key", F.col("me").alias("x"), "other").join(apart(many.where("exact").select("key", F.col("me").alias("y"), F.col("label").alias("other"))), ["key", "other"]).select("x", "y")
             links = stored(sized(near(pairs), count), "links")
             release(nodes.sparkSession)
             # what is found so far is stars already
@@ -144,12 +144,12 @@ def simhash_components(docs: DataFrame, shingle: int = 3, most: int = 3) -> Data
     marked = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(marked.groupBy("l0").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("l0")), "nodes")
     found = link(nodes.select("node", "l0"), 1, 32, 1, most)
-    named = nodes.join(found, "node", "left").select("l0", "first", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     count = nodes.count()
-    by_print = stored(sized(named.join(least, "component").select("l0", "component_id"), count), "components")
+    named = nodes.join(apart(found, count), "node", "left").select("l0", "first", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_print = stored(sized(named.join(apart(least, count), "component").select("l0", "component_id"), count), "components")
     discard(nodes)
-    return marked.select("doc_id", "l0").join(by_print, "l0").select("doc_id", F.lpad(F.lower(F.hex("l0")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.select("doc_id", "l0").join(apart(by_print, count), "l0").select("doc_id", F.lpad(F.lower(F.hex("l0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,12 @@ def test_no_match_is_longer_than_the_common_subsequence():
             masks[x] = masks.get(x, 0) | 1 << k
         m = sum(block.size for block in SequenceMatcher(None, a, b).get_matching_blocks())
         assert Z.common_length(masks, len(a), b) == row[-1] >= m
+
+
+def test_a_title_goes_out_once_for_each_of_few_parts(spark, edited, monkeypatch):
+    monkeypatch.setattr(Z, "CROWDED", 2)
+    dealt, spread = [], Z.spread
+    monkeypatch.setattr(Z, "spread", lambda rows, *c: (dealt.append(rows.count()) if c == ("cell",) else None, spread(rows, *c))[1])
+    t = Z.signed(frame(spark, edited))
+    Z.candidates(t, 0.85)
+    assert len(dealt) == 1 and dealt[0] <= 32 * t.count()

@@ -8,7 +8,7 @@ the first to arrive.  Otherwise it wins, also with equal quality, and all that i
 A batch is done at once.  Qualities have few values, so of each fingerprint and quality only the first record matters to
 those that come later; of the winners that meet a fingerprint only the last one counts in the end.  Both are grouped
 extremes, so that a title with a third of all records is never paired with itself.  The similar fingerprints are kept in
-the store with their prefix index: a batch looks up its own new fingerprints only.
+the store with their links: a batch meets the others with its own new fingerprints only.
 """
 
 from __future__ import annotations
@@ -41,21 +41,18 @@ class StoryStore:
         self.store, self.ratio = VersionedStore(spark, path), ratio
 
     def _similar(self, fresh: DataFrame) -> dict[str, DataFrame]:
-        """What the index gains by new fingerprints (id, title): titles, prefixes, links of either direction, and at first the order of grams."""
-        q = Z.gram_size(self.ratio)
+        """What the store gains by new fingerprints (id, title): titles, and links of either direction."""
         t = Z.signed(fresh)
-        known = "order" in self.store.tables()
-        order = self.store.read("order") if known else materialised(Z.gram_order(Z.gram_rows(t, q)), "order")
-        p = Z.prefixes(t, order, self.ratio, q)
-        pairs, all_titles = Z.meetings(p, None, self.ratio), t
-        if known:
-            pairs = pairs.unionByName(Z.meetings(p, self.store.read("prefixes"), self.ratio))
-            all_titles = t.unionByName(self.store.read("titles"))
+        pairs, all_titles = Z.meetings(t, None, self.ratio), t
+        if "titles" in self.store.tables():
+            known = self.store.read("titles").select(*t.columns)
+            pairs = pairs.unionByName(Z.meetings(t, known, self.ratio))
+            all_titles = t.unionByName(known)
         pairs = materialised(pairs, "candidates")
         # the ratio depends on which title is the new one
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         links = Z.exact(both, all_titles, all_titles, self.ratio)
-        return {"titles": t, "prefixes": p, "links": links} | ({} if known else {"order": order})
+        return {"titles": t, "links": links}
 
     def add(self, batch: DataFrame) -> int:
         """Add records; the version that has them.
